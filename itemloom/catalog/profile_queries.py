@@ -131,21 +131,25 @@ def _hist_sql(bins, lo_q, hi_q):
 e AS (SELECT metric, quantile_cont(value,{lo_q}) AS lo, quantile_cont(value,{hi_q}) AS hi FROM long GROUP BY 1),
 k AS (SELECT l.metric, split, lo, hi, least(floor((least(greatest(value,lo),hi)-lo)/(hi-lo)*{bins}),{bins - 1})::INT AS bin FROM long l JOIN e USING (metric)),
 c AS (SELECT metric, split, bin, count(*) AS n, any_value(lo) AS lo, any_value((hi-lo)/{bins}) AS w FROM k GROUP BY 1,2,3)
-SELECT metric, split, bin, round(lo+bin*w,6)+0.0 AS edge, n, round(n/(sum(n) OVER (PARTITION BY metric, split)*w),6)+0.0 AS density FROM c"""
+SELECT metric, split, bin, round(lo+bin*w,3)+0.0 AS edge, n, round(n/(sum(n) OVER (PARTITION BY metric, split)*w),8)+0.0 AS density FROM c"""
+
+
+def _density(df):
+    return df.withColumns({"edge": F.round("edge", 3) + F.lit(0.0), "density": F.round("density", 8) + F.lit(0.0)})
 
 
 @query("ds8_density_histogram", _hist_sql(40, 0.005, 0.995))
 def ds8(spark, sf):
-    return rounded(ds.density_histogram(views.numeric_lines(spark, sf), "split", METRICS, 40))
+    return _density(ds.density_histogram(views.numeric_lines(spark, sf), "split", METRICS, 40))
 
 
 @query("ds9_three_split_histogram", f"""WITH {SIZE_LONG},
 e AS (SELECT metric, quantile_cont(value,0.005) AS lo, quantile_cont(value,0.995) AS hi FROM long GROUP BY 1),
 k AS (SELECT l.metric, split, lo, hi, least(floor((least(greatest(value,lo),hi)-lo)/(hi-lo)*50),49)::INT AS bin FROM long l JOIN e USING (metric)),
 c AS (SELECT metric, split, bin, count(*) AS n, any_value(lo) AS lo, any_value((hi-lo)/50) AS w FROM k GROUP BY 1,2,3)
-SELECT metric, split, bin, round(lo+bin*w,6)+0.0 AS edge, n, round(n/(sum(n) OVER (PARTITION BY metric, split)*w),6)+0.0 AS density FROM c""", ("items",))
+SELECT metric, split, bin, round(lo+bin*w,3)+0.0 AS edge, n, round(n/(sum(n) OVER (PARTITION BY metric, split)*w),8)+0.0 AS density FROM c""", ("items",))
 def ds9(spark, sf):
-    return rounded(ds.density_histogram(_size_splits(spark, sf), "split", ["q_len", "a_len", "row_no"], 50))
+    return _density(ds.density_histogram(_size_splits(spark, sf), "split", ["q_len", "a_len", "row_no"], 50))
 
 
 @query("ds10_filtered_histogram", f"""WITH {LONG},
@@ -154,9 +158,9 @@ f AS (SELECT l.* FROM long l JOIN x USING (metric) WHERE value <= xmax),
 e AS (SELECT metric, split, min(value) AS lo, max(value) AS hi FROM f GROUP BY 1,2),
 k AS (SELECT f.metric, f.split, lo, hi, least(floor((value-lo)/(hi-lo)*50),49)::INT AS bin FROM f JOIN e ON f.metric=e.metric AND f.split=e.split),
 c AS (SELECT metric, split, bin, count(*) AS n, any_value(lo) AS lo, any_value((hi-lo)/50) AS w FROM k GROUP BY 1,2,3)
-SELECT metric, split, bin, round(lo+bin*w,6)+0.0 AS edge, n, round(n/(sum(n) OVER (PARTITION BY metric, split)*w),6)+0.0 AS density FROM c""")
+SELECT metric, split, bin, round(lo+bin*w,3)+0.0 AS edge, n, round(n/(sum(n) OVER (PARTITION BY metric, split)*w),8)+0.0 AS density FROM c""")
 def ds10(spark, sf):
-    return rounded(ds.density_histogram(views.numeric_lines(spark, sf), "split", METRICS, 50, mode="filter"))
+    return _density(ds.density_histogram(views.numeric_lines(spark, sf), "split", METRICS, 50, mode="filter"))
 
 
 @query("ds13_acceptance_verdict", f"""WITH {SIZE_LONG}, {KS3},
