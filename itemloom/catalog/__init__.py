@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profile_queries", "model_queries"]
+MODULES = ["profile_queries", "model_queries", "curation_queries"]
 
 
 def load():

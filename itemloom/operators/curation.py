@@ -279,8 +279,8 @@ def _picked(pool: Column, used: Column | None, gold: Column, order_key, limit: C
 
 
 def free_form_to_choices(
-    qa: DataFrame, seed: int = 42, near: int = 50, pool_size: int = 400, group: str = "img_id", k: str = "k",
-    answer: str = "answer_text",
+    qa: DataFrame, seed: int = 42, near: int = 50, pool_size: int = 400, max_answer_chars: int = 40,
+    group: str = "img_id", k: str = "k", answer: str = "answer_text",
 ) -> DataFrame:
     """Four-choice rows from filtered free-form answers (``norm`` is the compact key).
 
@@ -288,7 +288,8 @@ def free_form_to_choices(
     closest in length. Rows with fewer than three are left out. Each row looks at a bounded pool, and rows a
     pool could not serve are matched against everything, so no group is paired with itself.
     """
-    rows = qa.withColumn("__row", F.concat_ws("_", F.col(group), F.col(k).cast("string")))
+    bounded = qa.filter(F.length(answer) <= max_answer_chars)
+    rows = bounded.withColumn("__row", F.concat_ws("_", F.col(group), F.col(k).cast("string")))
 
     def key_of(row: Column):
         return lambda norm: F.md5(F.concat_ws(":", F.lit(str(seed)), row, norm))
@@ -324,17 +325,18 @@ def free_form_to_choices(
     ).withColumns({"__digit": tx.has_digit(F.col("text")), "__len": F.length("text")})
     lengths = uniq.groupBy("__digit", "__len").agg(F.count("*").alias("__c"))
     targets = rows.select(tx.has_digit(F.col(answer)).alias("__digit"), F.length(answer).alias("__target")).distinct()
-    head = Window.partitionBy("__digit", "__len").orderBy("norm")
+    uniq = uniq.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), "norm")))
+    head = Window.partitionBy("__digit", "__len").orderBy("__h")
     first_of_length = uniq.withColumn("__i", F.row_number().over(head)).filter(F.col("__i") <= pool_size)
-    # lengths are bounded by the answer-length filter, so both sides of this join are small and fixed
     neighbours = targets.join(first_of_length, "__digit").withColumn("__gap", F.abs(F.col("__len") - F.col("__target")))
-    nearest = Window.partitionBy("__digit", "__target").orderBy("__gap", "norm")
+    nearest = Window.partitionBy("__digit", "__target").orderBy("__gap", "__h")
     pool = neighbours.withColumn("__i", F.row_number().over(nearest)).filter(F.col("__i") <= pool_size).groupBy(
         "__digit", "__target"
     ).agg(F.array_sort(F.collect_list(F.struct("__i", "norm", "text"))).alias("__near"))
     sizes = lengths.groupBy("__digit").agg(F.sum("__c").alias("__class"))
     tagged = first.withColumns({"__digit": tx.has_digit(F.col(answer)), "__target": F.length(answer)})
-    with_pool = tagged.join(pool, ["__digit", "__target"], "left").join(sizes, "__digit", "left")
+    # at most 2 * max_answer_chars pools of pool_size short texts, and two class sizes: bounded by the parameters
+    with_pool = tagged.join(F.broadcast(pool), ["__digit", "__target"], "left").join(F.broadcast(sizes), "__digit", "left")
     used = F.transform("__same", lambda c: c["norm"])
     near_pool = F.coalesce(F.col("__near"), F.array().cast("array<struct<__i:int,norm:string,text:string>>"))
     usable = F.size(F.filter(near_pool, lambda c: _usable(c["norm"], gold) & ~F.array_contains(used, c["norm"])))
@@ -347,14 +349,20 @@ def free_form_to_choices(
         (F.size("__same") < 3) & (F.col("__seen") < near) & (F.col("__class") > pool_size)
     )
     if not starved.isEmpty():
-        # the pool held too few usable answers: rank the whole class for these rows, keeping only the nearest
-        asked = starved.select("__row", F.col("norm").alias("__g"), "__digit", "__target", used.alias("__used"), F.size("__same").alias("__have"))
-        found = asked.join(uniq, "__digit").filter(_usable(F.col("norm"), F.col("__g")) & ~F.array_contains("__used", F.col("norm")))
-        close = Window.partitionBy("__row").orderBy(F.abs(F.col("__len") - F.col("__target")), "norm")
-        best = found.withColumn("__i", F.row_number().over(close)).filter(F.col("__i") <= near)
-        drawn = best.groupBy("__row", "__have").agg(F.array_sort(F.collect_list(
-            F.struct(key_of(row)(F.col("norm")).alias("o"), "norm", "text")
-        )).alias("__all")).select("__row", F.slice("__all", 1, 3 - F.col("__have")).alias("__more"))
+        # the pool held too few usable answers: rank the whole class once per distinct gold answer; two more than
+        # needed, because up to two of them may already be used by the row
+        golds = starved.select(F.col("norm").alias("__g"), "__digit", "__target").distinct()
+        spread = golds.withColumn("__len", F.explode(F.sequence(F.lit(1), F.lit(max_answer_chars))))
+        found = spread.join(uniq, ["__digit", "__len"]).filter(_usable(F.col("norm"), F.col("__g")))
+        close = Window.partitionBy("__g", "__digit", "__target").orderBy(F.abs(F.col("__len") - F.col("__target")), "__h")
+        best = found.withColumn("__i", F.row_number().over(close)).filter(F.col("__i") <= near + 2).groupBy(
+            "__g", "__digit", "__target"
+        ).agg(F.array_sort(F.collect_list(F.struct("__i", "norm", "text"))).alias("__best"))
+        asked = starved.select("__row", F.col("norm").alias("__g"), "__digit", "__target", "__same")
+        fresh = F.transform("__same", lambda c: c["norm"])
+        drawn = asked.join(best, ["__g", "__digit", "__target"]).select(
+            "__row", _picked(F.col("__best"), fresh, F.col("__g"), key_of(F.col("__row")), 3 - F.size("__same"), near).alias("__more")
+        )
         with_pool = with_pool.join(drawn, "__row", "left").withColumn("__other", F.coalesce("__more", "__other")).drop("__more")
     options = F.concat(F.transform("__same", lambda c: c["text"]), F.transform("__other", lambda c: c["text"]))
     complete = with_pool.withColumn("__wrong", options).filter(F.size("__wrong") == 3)
