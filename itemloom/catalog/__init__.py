@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["profile_queries", "model_queries", "curation_queries"]
+MODULES = ["profile_queries", "model_queries", "curation_queries", "media_queries"]
 
 
 def load():

@@ -587,36 +587,9 @@ def cu10(spark, sf):
     return rounded(cu.same_group_share(converted(spark, sf)))
 
 
-@query("wn4_nearest_candidates", f"WITH {MC} SELECT rowkey, count(*) AS n FROM near GROUP BY 1", ("qa",))
+@query("wn4_nearest_candidates", f"WITH {MC} SELECT img_id, k, coalesce(h.n,0) AS same_group, (SELECT count(*) FROM near WHERE near.rowkey=q.rowkey) AS nearest FROM q LEFT JOIN have h USING (rowkey)", ("qa",))
 def wn4(spark, sf):
-    """Size of each row's nearest-answer pool, computed by a plain windowed join on length classes."""
-    from pyspark.sql import Window
-
-    q = qc.free_form_filter(views.qa(spark, sf)).withColumns({
-        "rowkey": F.concat_ws("_", "img_id", F.col("k").cast("string")), "digit": tx.has_digit(F.col("answer_text")),
-        "len": F.length("answer_text"),
-    })
-    golds = q.select("digit", F.col("norm").alias("gold"), F.col("len").alias("glen")).distinct()
-    uniq = q.groupBy("norm").agg(F.min(F.struct("img_id", "k", "answer_text")).alias("f")).select(
-        "norm", tx.has_digit(F.col("f.answer_text")).alias("digit"), F.length("f.answer_text").alias("len")
-    )
-    # answers are at most 40 characters long, so every gold answer asks for 40 length classes
-    asked = golds.withColumn("len", F.explode(F.sequence(F.lit(1), F.lit(40))))
-    near = asked.join(uniq, ["digit", "len"]).filter((F.col("norm") != F.col("gold")) & ~F.col("gold").contains(F.col("norm")) & ~F.col("norm").contains(F.col("gold")))
-    w = Window.partitionBy("digit", "gold", "glen").orderBy(F.abs(F.col("len") - F.col("glen")), F.md5(F.concat_ws(":", F.lit("42"), "norm")))
-    top = near.withColumn("rn", F.row_number().over(w)).filter("rn <= 53").select("digit", "gold", "glen", "norm", "rn")
-    used = q.join(converted_same(q), "rowkey", "left")
-    joined = used.join(top, (used.norm == top.gold) & (used.digit == top.digit) & (used["len"] == top.glen))
-    kept = joined.filter(~F.coalesce(F.array_contains("used", top.norm), F.lit(False)))
-    return kept.groupBy("rowkey").agg(F.least(F.count("*"), F.lit(50)).alias("n"))
-
-
-def converted_same(q):
-    """Keys of the first three same-group distractors of each row (groups here are single conversations)."""
-    own = q.select("img_id", "norm").distinct().groupBy("img_id").agg(F.collect_list("norm").alias("pool"))
-    ok = F.filter("pool", lambda c: (c != F.col("norm")) & ~F.col("norm").contains(c) & ~c.contains(F.col("norm")))
-    ordered = F.array_sort(F.transform(ok, lambda c: F.struct(F.md5(F.concat_ws(":", F.lit("42"), "rowkey", c)).alias("o"), c.alias("c"))))
-    return q.join(own, "img_id").select("rowkey", F.transform(F.slice(ordered, 1, 3), lambda s: s["c"]).alias("used"))
+    return cu.distractor_pools(qc.free_form_filter(views.qa(spark, sf)))
 
 
 AUGS = ["compression", "affine"]

@@ -278,15 +278,14 @@ def _picked(pool: Column, used: Column | None, gold: Column, order_key, limit: C
     return F.slice(ordered, 1, limit)
 
 
-def free_form_to_choices(
+def _with_distractors(
     qa: DataFrame, seed: int = 42, near: int = 50, pool_size: int = 400, max_answer_chars: int = 40,
     group: str = "img_id", k: str = "k", answer: str = "answer_text",
 ) -> DataFrame:
-    """Four-choice rows from filtered free-form answers (``norm`` is the compact key).
+    """Filtered free-form rows with chosen same-group (``__same``) and nearest (``__other``) distractors.
 
-    Distractors come first from the same group, then from the ``near`` answers of the same digit class that are
-    closest in length. Rows with fewer than three are left out. Each row looks at a bounded pool, and rows a
-    pool could not serve are matched against everything, so no group is paired with itself.
+    Each row looks at a bounded pool; rows a pool could not serve are matched against everything, so no group is
+    paired with itself.
     """
     bounded = qa.filter(F.length(answer) <= max_answer_chars)
     rows = bounded.withColumn("__row", F.concat_ws("_", F.col(group), F.col(k).cast("string")))
@@ -360,10 +359,34 @@ def free_form_to_choices(
         ).agg(F.array_sort(F.collect_list(F.struct("__i", "norm", "text"))).alias("__best"))
         asked = starved.select("__row", F.col("norm").alias("__g"), "__digit", "__target", "__same")
         fresh = F.transform("__same", lambda c: c["norm"])
+        fit = F.filter("__best", lambda c: _usable(c["norm"], F.col("__g")) & ~F.array_contains(fresh, c["norm"]))
         drawn = asked.join(best, ["__g", "__digit", "__target"]).select(
-            "__row", _picked(F.col("__best"), fresh, F.col("__g"), key_of(F.col("__row")), 3 - F.size("__same"), near).alias("__more")
+            "__row", F.size(fit).alias("__fit"),
+            _picked(F.col("__best"), fresh, F.col("__g"), key_of(F.col("__row")), 3 - F.size("__same"), near).alias("__more"),
         )
-        with_pool = with_pool.join(drawn, "__row", "left").withColumn("__other", F.coalesce("__more", "__other")).drop("__more")
+        with_pool = with_pool.join(drawn, "__row", "left").withColumns({
+            "__other": F.coalesce("__more", "__other"), "__seen": F.coalesce("__fit", "__seen"),
+        }).drop("__more", "__fit")
+    return with_pool.withColumn("__seen", F.least("__seen", F.lit(near)))
+
+
+def distractor_pools(qa: DataFrame, group: str = "img_id", k: str = "k", **options) -> DataFrame:
+    """How many same-group distractors each row found and how many nearest answers it could draw from."""
+    return _with_distractors(qa, group=group, k=k, **options).select(
+        group, k, F.size("__same").alias("same_group"), F.col("__seen").alias("nearest")
+    )
+
+
+def free_form_to_choices(
+    qa: DataFrame, seed: int = 42, group: str = "img_id", k: str = "k", answer: str = "answer_text", **options
+) -> DataFrame:
+    """Four-choice rows from filtered free-form answers (``norm`` is the compact key).
+
+    Distractors come first from the same group, then from the ``near`` answers of the same digit class that are
+    closest in length. Rows with fewer than three are left out.
+    """
+    row = F.col("__row")
+    with_pool = _with_distractors(qa, seed=seed, group=group, k=k, answer=answer, **options)
     options = F.concat(F.transform("__same", lambda c: c["text"]), F.transform("__other", lambda c: c["text"]))
     complete = with_pool.withColumn("__wrong", options).filter(F.size("__wrong") == 3)
     shown = F.array_sort(F.transform(

@@ -13,19 +13,25 @@ def box_corner(df: DataFrame, box: str = "box") -> DataFrame:
     })
 
 
-def reading_order_text(
+def reading_order_lines(
     boxes: DataFrame, image: str = "image_id", text: str = "txt", confidence: str = "conf", min_conf: float = 0.3,
     line_height: int = 40,
 ) -> DataFrame:
-    """Confident boxes of each image joined in reading order: lines from the top, left to right.
-
-    One text per image is the result itself, so its boxes meet in one row.
-    """
+    """Confident boxes joined from left to right, one row per image and line."""
     line = F.bround(F.col("top") / line_height, 0).cast("long")
-    kept = boxes.filter(F.col(confidence) >= min_conf)
-    entry = F.struct(line.alias("line"), F.col("lft").alias("lft"), F.col("top").alias("top"), F.col(text).alias("text"))
-    ordered = F.array_sort(F.collect_list(entry))
-    return kept.groupBy(image).agg(F.array_join(F.transform(ordered, lambda e: e["text"]), " | ").alias("ocr_text"))
+    entry = F.struct(F.col("lft").alias("lft"), F.col("top").alias("top"), F.col(text).alias("text"))
+    lines = boxes.filter(F.col(confidence) >= min_conf).groupBy(image, line.alias("line")).agg(
+        F.array_sort(F.collect_list(entry)).alias("entries")
+    )
+    return lines.select(image, "line", F.array_join(F.transform("entries", lambda e: e["text"]), " | ").alias("text"))
+
+
+def reading_order_text(boxes: DataFrame, image: str = "image_id", **options) -> DataFrame:
+    """One text per image: its lines from the top, joined the same way. The text itself is the result's cell."""
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return reading_order_lines(boxes, image, **options).groupBy(image).agg(
+        F.array_join(F.transform(ordered, lambda e: e["text"]), " | ").alias("ocr_text")
+    )
 
 
 def share_texts(items: DataFrame, texts: DataFrame, image: str = "image_id") -> DataFrame:

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
+    """Event time as a timestamp with the watermark, where one is wanted."""
+    return df if watermark is None else df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
 def vote_tally(votes: DataFrame, watermark: str | None = None, window: str = "1 day", item: str = "item_id", vote: str = "vote", ts: str = "ts") -> DataFrame:
     """Votes per window, item and value; the same plan serves a table and a stream."""
-    source = votes if watermark is None else votes.withWatermark(ts, watermark)
-    kept = source.filter(F.col(vote).isNotNull())
+    kept = _timed(votes, ts, watermark).filter(F.col(vote).isNotNull())
     return kept.groupBy(F.window(ts, window), item, vote).agg(F.count("*").alias("n"))
 
 
@@ -18,8 +22,7 @@ def window_drift(values: DataFrame, baseline: Column, column: str = "value", wat
 
     ``baseline`` is a struct expression with fields ``mean`` and ``std``, for instance literals.
     """
-    source = values if watermark is None else values.withWatermark(ts, watermark)
-    out = source.groupBy(F.window(ts, window)).agg(
+    out = _timed(values, ts, watermark).groupBy(F.window(ts, window)).agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")
     )
     base_mean, base_std = baseline.getField("mean"), baseline.getField("std")
@@ -32,4 +35,26 @@ def screen_arrivals(arriving: DataFrame, held_out: DataFrame, key: str, ts: str
     known = held_out.select(F.col(key).alias("__k")).distinct()
     flagged = arriving.join(known, F.col(key) == F.col("__k"), "left")
     flagged = flagged.withColumn("leaked", F.col("__k").isNotNull()).drop("__k")
-    return flagged.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    return _timed(flagged, ts, watermark).dropDuplicatesWithinWatermark([key])
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Process everything available and stop; each batch adds its rows with its number to a table of files.
+
+    A batch that is run again after a failure replaces its own folder, so results stay exact.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(store).start()
+    )
+    query.awaitTermination()
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Newest row per key from stored update batches."""
+    newest = F.max_by(F.struct(*[F.col(c) for c in updates.columns if c != "batch"]), "batch")
+    return updates.groupBy(*keys).agg(newest.alias("__row")).select("__row.*")
