@@ -31,7 +31,7 @@ def slot(array: Column, i: int) -> Column:
 def softmax(logits: Column) -> Column:
     shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
     total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    return F.zip_with(shifted, F.array_repeat(total, 4), lambda x, t: x / t)
 
 
 def argmax_letter(probs: Column) -> Column:

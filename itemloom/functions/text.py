@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from itemloom import CHOICES
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no built-in for it."""
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))

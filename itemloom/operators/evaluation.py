@@ -9,6 +9,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from itemloom import CHOICES
 from itemloom.functions import probs as pr
@@ -45,7 +46,7 @@ def by_variant(scored: DataFrame, variants: Sequence[str], variant: str = "varia
     ])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided McNemar p-value from the two discordant counts."""
     return pd.Series([_mcnemar(int(x), int(y)) for x, y in zip(b, c)], dtype="float64")
