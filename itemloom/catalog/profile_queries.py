@@ -467,7 +467,7 @@ def wn1(spark, sf):
 
     long = ds.long_metrics(views.numeric_lines(spark, sf), METRICS, ["split"])
     counts = long.groupBy("metric", "value").agg(F.count("*").alias("n"))
-    cum = running_sums(counts, ["metric"], ["value"], {"c": "n"}, numeric_bucket(long, "value", by="metric"))
+    cum = running_sums(counts, ["metric"], ["value"], {"c": "n"}, numeric_bucket(long, "value", by="metric"), few_groups=True)
     totals = long.groupBy("metric").agg(F.count("*").alias("total"))
     return cum.join(F.broadcast(totals), "metric").select("metric", "value", F.round(F.col("c") / F.col("total"), 6).alias("cdf"))
 

@@ -88,7 +88,8 @@ def edit_trail(df: DataFrame, edits: DataFrame, position: str = "pos") -> DataFr
     """
     steps = ranked_edits(edits)
     earlier = steps.select("key", "field", (F.col("step") + 1).alias("step"), F.col("after").alias("__prev"))
-    first_rows = _with_key(df).groupBy(F.col("__key").alias("key")).agg(
+    touched = _with_key(df).join(edits.select(F.col("key").alias("__e")).distinct(), F.col("__key") == F.col("__e"), "left_semi")
+    first_rows = touched.groupBy(F.col("__key").alias("key")).agg(
         *[F.min_by(F.coalesce(F.col(c), F.lit("")), position).alias(f"__{c}") for c in CHOICES]
     )
     joined = steps.join(earlier, ["key", "field", "step"], "left").join(first_rows, "key", "left")

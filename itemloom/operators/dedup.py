@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.operators.ordering import rank_by_number, running_sums, numeric_bucket
+from itemloom.operators.ordering import numeric_bucket, running_sums
 from itemloom.session import cut_lineage
 
 
@@ -18,7 +18,7 @@ def exact_groups(df: DataFrame, key: str, split_col: str, splits: Sequence[str],
     Members are not folded into one cell, since one group may hold a large part of the table; ``group_members``
     lists them row by row.
     """
-    per_split = [F.count_if(F.col(split_col) == s).alias(f"n_{s}") for s in splits]
+    per_split = [F.count(F.when(F.col(split_col) == s, 1)).alias(f"n_{s}") for s in splits]
     groups = (
         df.filter(F.col(key).isNotNull()).groupBy(key)
         .agg(F.count("*").alias("count"), F.min(position).alias("first_pos"), *per_split)
@@ -27,7 +27,9 @@ def exact_groups(df: DataFrame, key: str, split_col: str, splits: Sequence[str],
     label = F.concat_ws(";", *[
         F.when(F.col(f"n_{s}") > 0, F.concat(F.lit(f"{s}:"), F.col(f"n_{s}").cast("string"))) for s in sorted(splits)
     ])
-    return rank_by_number(groups, "first_pos", "group").withColumn("splits", label)
+    bucket = numeric_bucket(df, position, of="first_pos")  # bounds from the rows: no second grouping for them
+    numbered = running_sums(groups, [], ["first_pos"], {"group": F.lit(1).cast("long")}, bucket)
+    return numbered.withColumn("splits", label)
 
 
 def group_members(df: DataFrame, groups: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -170,7 +172,7 @@ def similar_pairs(
     )
     links = both_ways.unionByName(same)
     ranked = running_sums(
-        contents, [split_col, hash_col], ["p"], {"__r": F.lit(1).cast("long")}, numeric_bucket(contents, "p"),
+        contents, [split_col, hash_col], ["p"], {"__r": F.lit(1).cast("long")}, numeric_bucket(df, position, of="p"),
         below=2 * keep + 1,
     ).filter(F.col("__r") <= 2 * keep + 1)
     fields = [split_col, hash_col, content, "p", "copies", *columns]

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.operators.ordering import numeric_bucket, quantile_of, running_sums
+from itemloom.operators.ordering import column_buckets, numeric_bucket, quantile_of, running_sums
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
@@ -24,6 +24,21 @@ def _in_split(split_col: str, split: str) -> Column:
     return F.col(split_col) == split
 
 
+def _moments(df: DataFrame, split_col: str, splits: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Count, mean, deviation and extremes per metric: one wide aggregate, turned into one row per metric."""
+    def value(m, s):
+        return F.when(_in_split(split_col, s) & ~F.isnan(m), F.col(m))
+    parts = {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+    }
+    wide = df.agg(*[fn(value(m, s)).alias(f"{p}_{s}_{i}") for i, m in enumerate(metrics) for s in splits for p, fn in parts.items()])
+    rows = F.array(*[
+        F.struct(F.lit(m).alias("metric"), *[F.col(f"{p}_{s}_{i}").alias(f"{p}_{s}") for s in splits for p in parts])
+        for i, m in enumerate(metrics)
+    ])
+    return wide.select(F.inline(rows))
+
+
 def metric_profile(
     df: DataFrame,
     split_col: str,
@@ -38,23 +53,15 @@ def metric_profile(
     counts over distinct values give exact quantiles and the KS distance in the same pass.
     """
     quantiles = QUARTILES if quantiles is None else quantiles
-    long = long_metrics(df.filter(F.col(split_col).isin(*splits)), metrics, [split_col])
-    def value_in(s):
-        return F.when(_in_split(split_col, s), F.col("value"))
-    moments = long.groupBy("metric").agg(
-        *[agg for s in splits for agg in (
-            F.count(value_in(s)).alias(f"count_{s}"),
-            F.avg(value_in(s)).alias(f"mean_{s}"),
-            F.stddev_samp(value_in(s)).alias(f"std_{s}"),
-            F.min(value_in(s)).alias(f"min_{s}"),
-            F.max(value_in(s)).alias(f"max_{s}"),
-        )]
-    )
+    typed = df.filter(F.col(split_col).isin(*splits)).select(split_col, *[F.col(m).cast("double").alias(m) for m in metrics])
+    moments = _moments(typed, split_col, splits, metrics)
     if not quantiles and not ks_pairs:
         return moments
-    counts = long.groupBy("metric", "value").agg(*[F.count(value_in(s)).alias(f"n_{s}") for s in splits])
-    bucket = numeric_bucket(long, "value", by="metric")
-    cumulative = running_sums(counts, ["metric"], ["value"], {f"c_{s}": f"n_{s}" for s in splits}, bucket)
+    long = long_metrics(typed, metrics, [split_col])
+    # both uses of these counts share one shuffle; count_if would plan them differently
+    counts = long.groupBy("metric", "value").agg(*[F.count(F.when(_in_split(split_col, s), 1)).alias(f"n_{s}") for s in splits])
+    bucket = column_buckets(typed, metrics, "metric", "value")
+    cumulative = running_sums(counts, ["metric"], ["value"], {f"c_{s}": f"n_{s}" for s in splits}, bucket, few_groups=True)
     # one row per metric name on this side, so the hint is bounded by the length of the metric list
     sized = cumulative.join(
         F.broadcast(moments.select("metric", *[F.col(f"count_{s}").alias(f"total_{s}") for s in splits])), "metric"
@@ -147,7 +154,7 @@ def numeric_tests(df: DataFrame, split_col: str, base: str, other: str, metrics:
 
 def category_counts(df: DataFrame, split_col: str, splits: Sequence[str], category: str) -> DataFrame:
     """Counts of each category in each split, one row per category."""
-    return df.groupBy(category).agg(*[F.count_if(_in_split(split_col, s)).alias(f"n_{s}") for s in splits]).filter(
+    return df.groupBy(category).agg(*[F.count(F.when(_in_split(split_col, s), 1)).alias(f"n_{s}") for s in splits]).filter(
         F.greatest(*[F.col(f"n_{s}") for s in splits], F.lit(0)) > 0
     )
 
@@ -252,7 +259,7 @@ def rank_correlation(df: DataFrame, features: Sequence[str], targets: Sequence[s
 
     def average_rank(axis: str) -> DataFrame:
         counts = joint.groupBy("pair", axis).agg(F.sum("n").alias("k"))
-        cum = running_sums(counts, ["pair"], [axis], {"c": "k"}, numeric_bucket(complete, axis, by="pair"))
+        cum = running_sums(counts, ["pair"], [axis], {"c": "k"}, numeric_bucket(complete, axis, by="pair"), few_groups=True)
         return cum.select("pair", axis, (F.col("c") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r{axis}"))
 
     sizes = joint.groupBy("pair").agg(F.sum("n").alias("total"))

@@ -190,7 +190,7 @@ def hedge_choice(pairwise: DataFrame, best: str, min_distance: int = 30) -> Data
     """Candidates at least ``min_distance`` items from the best one, the closest to all others first."""
     both = pairwise.select(F.inline(F.array(
         F.struct(F.col("A").alias("candidate"), F.col("B").alias("other"), F.col("pred_diff").alias("d")),
-        F.struct(F.col("B"), F.col("A"), F.col("pred_diff")),
+        F.struct(F.col("B").alias("candidate"), F.col("A").alias("other"), F.col("pred_diff").alias("d")),
     )))
     table = both.filter(F.col("candidate") != best).groupBy("candidate").agg(
         F.max(F.when(F.col("other") == best, F.col("d"))).alias("distance_to_best"), F.avg("d").alias("mean_distance")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import images as im
 from itemloom.functions.hashing import seeded_key, uniform
+from itemloom.session import spread
 from itemloom.functions.images import affine_copy, crop_pixels, gaussian_blur, to_rgb
 
 # Crop families by name, the crop share, the band share, affine limits, blur radius, fill
@@ -42,7 +43,7 @@ def size_metrics(df: DataFrame, width: str = "width", height: str = "height", fi
 def pixel_table(images: DataFrame, image: str = "image") -> DataFrame:
     """Image rows with all pixel metrics as columns; one Arrow pass."""
     keep = [c for c in images.columns if c != image]
-    return images.select(*keep, im.pixel_metrics(im.image_part(image)).alias("__m")).select(*keep, "__m.*")
+    return spread(images).select(*keep, im.pixel_metrics(im.image_part(image)).alias("__m")).select(*keep, "__m.*")
 
 
 def hash_text(phash: Column) -> Column:

@@ -16,29 +16,61 @@ from itemloom.session import shuffle_width
 _BUCKET = "__bucket"
 
 
-def numeric_bucket(df: DataFrame, column: str, by: str | None = None, buckets: int | None = None) -> Column:
+# Share of rows looked at for bucket bounds. Bounds only balance the buckets: results are exact for any bounds.
+BOUND_SAMPLE = 0.02
+
+
+def numeric_bucket(
+    df: DataFrame, column: str, by: str | None = None, buckets: int | None = None, of: str | None = None
+) -> Column:
     """Order-preserving bucket number from approximate quantiles (one light pass, a few numbers on the driver).
 
-    ``by`` names a column with few values, such as a metric name; each value gets its own bounds.
+    ``by`` names a column with few values, such as a metric name; each value gets its own bounds. ``of`` names the
+    column to put into buckets when the bounds come from a cheaper table with the same value range.
     """
+    value = F.col(of or column)
     n = buckets or shuffle_width(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
-    bounds = F.percentile_approx(column, probs, max(1000, 20 * n)).alias("bounds")
+    bounds = F.percentile_approx(column, [i / n for i in range(1, n)], 20 * n).alias("bounds")
+    some = df.sample(fraction=BOUND_SAMPLE, seed=1)
     if by is None:
-        found = df.agg(bounds).first()["bounds"]
-        cuts = F.array(*[F.lit(x) for x in sorted(set(found or []))])
-        return _count_below(cuts, F.col(column))
+        found = some.agg(bounds).first()["bounds"]
+        return _bucket_of(value, sorted(set(found or [])))
     cases = None
-    for row in df.groupBy(by).agg(bounds).collect():
-        cuts = F.array(*[F.lit(x) for x in sorted(set(row["bounds"] or []))])
-        level = _count_below(cuts, F.col(column))
+    for row in some.groupBy(by).agg(bounds).collect():
+        level = _bucket_of(value, sorted(set(row["bounds"] or [])))
         hit = F.col(by) == row[by]
         cases = F.when(hit, level) if cases is None else cases.when(hit, level)
     return F.lit(0) if cases is None else F.coalesce(cases, F.lit(0))
 
 
-def _count_below(cuts: Column, value: Column) -> Column:
-    return F.size(F.filter(cuts, lambda b: b < value))
+def column_buckets(df: DataFrame, columns: list[str], name: str, value: str, buckets: int | None = None) -> Column:
+    """Buckets for the long form (``name``, ``value``) of several columns, with bounds taken from the wide form."""
+    n = buckets or shuffle_width(df.sparkSession)
+    probs = [i / n for i in range(1, n)]
+    some = df.sample(fraction=BOUND_SAMPLE, seed=1)
+    found = some.agg(*[
+        F.percentile_approx(F.when(~F.isnan(c), F.col(c)), probs, 20 * n).alias(f"b{i}") for i, c in enumerate(columns)
+    ]).first()
+    cases = None
+    for i, c in enumerate(columns):
+        level = _bucket_of(F.col(value), sorted(set(found[f"b{i}"] or [])))
+        hit = F.col(name) == c
+        cases = F.when(hit, level) if cases is None else cases.when(hit, level)
+    return F.coalesce(cases, F.lit(0))
+
+
+def _bucket_of(value: Column, cuts: list) -> Column:
+    """Number of cuts below a value: nested comparisons that compile for few cuts, a filtered array for many."""
+    if len(cuts) > 128:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda b: b < value))
+
+    def halve(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value > F.lit(cuts[mid]), halve(mid + 1, high)).otherwise(halve(low, mid))
+
+    return halve(0, len(cuts))
 
 
 def running_sums(
@@ -48,9 +80,13 @@ def running_sums(
     sums: dict[str, str | Column],
     bucket: Column,
     below: Column | int | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums in ``order`` within ``by``.
 
+    ``few_groups`` states that ``by`` takes few values by construction (metric names, splits, answer letters, or
+    nothing); then the bucket offsets, one row per group and bucket, are broadcast. Otherwise they are joined.
+
     ``bucket`` must follow ``order``. With ``below``, only rows of buckets whose first running sum (of the first
     entry) starts under that value are kept, which cuts a top-k to the buckets that can matter.
     """
@@ -66,7 +102,7 @@ def running_sums(
     if below is not None:
         offsets = offsets.filter(F.col(f"__o_{next(iter(values))}") < below)
     same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    joined = tagged.join(offsets, same)
+    joined = tagged.join(F.broadcast(offsets) if few_groups or not by else offsets, same)
     local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = joined.select(
         *df.columns,
@@ -75,18 +111,15 @@ def running_sums(
     return out
 
 
-def rank_by_key(df: DataFrame, key: str, name: str, by: list[str] | None = None, upto: int | None = None) -> DataFrame:
+def rank_by_key(
+    df: DataFrame, key: str, name: str, by: list[str] | None = None, upto: int | None = None, few_groups: bool = False
+) -> DataFrame:
     """1-based rank by a hex-hash key within ``by``; with ``upto``, only the first rows are kept."""
-    out = running_sums(df, by or [], [key], {name: F.lit(1).cast("long")}, key_bucket(F.col(key)), below=upto)
+    one = {name: F.lit(1).cast("long")}
+    out = running_sums(df, by or [], [key], one, key_bucket(F.col(key)), below=upto, few_groups=few_groups)
     return out if upto is None else out.filter(F.col(name) <= upto)
 
 
-def rank_by_number(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """1-based rank by a numeric column that is unique within ``by``."""
-    bucket = numeric_bucket(df, column)
-    return running_sums(df, by or [], [column], {name: F.lit(1).cast("long")}, bucket)
-
-
 def rank_pick(rank: Column, cumulative: Column, count: Column, value: Column) -> Column:
     """Aggregate: the value holding a 0-based rank, from distinct values with counts and running counts."""
     return F.max(F.when((cumulative > rank) & (cumulative - count <= rank), value))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from itemloom import CHOICES
 from itemloom.functions import probs as pr
+from itemloom.session import cut_lineage
 
 
 def fan_out_orders(df: DataFrame, orders: Sequence[Sequence[int]], choices: Sequence[str] = CHOICES) -> DataFrame:
@@ -96,6 +97,7 @@ def quantile_value(df: DataFrame, column: str, q: float) -> Column:
 
 def accuracy_report(predictions: DataFrame, gold: str, kind: str) -> DataFrame:
     """Accuracy over all rows, per type, and for the most uncertain quarter against the rest."""
+    predictions = cut_lineage(predictions.select("answer", gold, kind, "unc_score"))  # read several times below
     cut = quantile_value(predictions, "unc_score", 0.75)
     tagged = predictions.withColumn("ok", (F.col("answer") == F.col(gold)).cast("int"))
     tagged = tagged.withColumn("part", F.when(F.col("unc_score") >= cut, "top25_uncertain").otherwise("rest"))
@@ -124,6 +126,7 @@ def prediction_overview(predictions: DataFrame, low_margin: float = 0.15) -> Dat
 
 
 def uncertain_ids(predictions: DataFrame, low_margin: float = 0.15, q: float = 0.8) -> DataFrame:
+    predictions = cut_lineage(predictions)  # read several times below
     cut = quantile_value(predictions, "unc_score", q)
     return predictions.filter((F.col("margin") < low_margin) | (F.col("unc_score") >= cut))
 

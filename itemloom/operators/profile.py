@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from itemloom import CHOICES
 from itemloom.functions import rules, text as tx
+from itemloom.session import spread
 
 
 def _text(name: str) -> Column:
@@ -54,7 +55,7 @@ def normalize_columns(df: DataFrame, columns: Sequence[str] = ("question", *CHOI
 
 def text_features(df: DataFrame) -> DataFrame:
     """Normalized text with length, script and option features, full text and text-study question type."""
-    out = normalize_columns(df)
+    out = normalize_columns(spread(df))
     sizes = {c: F.length(f"{c}_norm") for c in CHOICES}
     q = F.col("question_norm")
     out = out.withColumns({
@@ -131,13 +132,13 @@ def top_prefixes(df: DataFrame, column: str, chars: int = 12, k: int = 30) -> Da
 
 def top_tokens(df: DataFrame, column: str, k: int = 40, stop_words: Sequence[str] = rules.STOP_WORDS) -> DataFrame:
     """Most frequent lower-cased tokens longer than one character, stop words removed."""
-    tokens = df.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[가-힣A-Za-z0-9]+"), F.lit(0))).alias("token"))
+    tokens = spread(df.select(column)).select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[가-힣A-Za-z0-9]+"), F.lit(0))).alias("token"))
     kept = tokens.filter((F.length("token") > 1) & ~F.col("token").isin(*stop_words))
     return top_values(kept, "token", k)
 
 
 def top_words(df: DataFrame, column: str, k: int = 30) -> DataFrame:
-    words = df.select(F.explode(F.regexp_extract_all(column, F.lit("[가-힣A-Za-z]+"), F.lit(0))).alias("word"))
+    words = spread(df.select(column)).select(F.explode(F.regexp_extract_all(column, F.lit("[가-힣A-Za-z]+"), F.lit(0))).alias("word"))
     return top_values(words, "word", k)
 
 

@@ -15,9 +15,9 @@ from itemloom.operators.ordering import rank_by_key, running_sums
 def first_fit(groups: DataFrame, stratum: str, size: str, key: str, fraction: float) -> DataFrame:
     """Flag groups taken, per stratum in key order, while the rows taken so far are below the target.
 
-    The target is the rounded share (half to even) of the stratum's rows.
+    The target is the rounded share (half to even) of the stratum's rows. Strata are labels, so there are few.
     """
-    sums = running_sums(groups, [stratum], [key], {"__cum": size}, key_bucket(F.col(key)))
+    sums = running_sums(groups, [stratum], [key], {"__cum": size}, key_bucket(F.col(key)), few_groups=True)
     targets = groups.groupBy(stratum).agg(F.bround(F.sum(size) * F.lit(float(fraction)), 0).alias("__target"))
     joined = sums.join(targets, stratum)
     return joined.withColumn("taken", F.col("__cum") - F.col(size) < F.col("__target")).drop("__cum", "__target")
@@ -63,7 +63,7 @@ def group_split(df: DataFrame, fraction: float, seed: int = 42, group: str = "gr
 def sample_rows(df: DataFrame, n: int, seed: int = 42, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
     """The first n rows in seeded order, over all rows or within each ``by`` group."""
     keyed = df.withColumn("__key", seeded_key(seed, F.col(id_col)))
-    return rank_by_key(keyed, "__key", "__rank", by, upto=n).drop("__key", "__rank")
+    return rank_by_key(keyed, "__key", "__rank", by, upto=n, few_groups=True).drop("__key", "__rank")
 
 
 def head_rows(df: DataFrame, n: int, position: str = "pos") -> DataFrame:
@@ -73,7 +73,7 @@ def head_rows(df: DataFrame, n: int, position: str = "pos") -> DataFrame:
 def assign_folds(df: DataFrame, folds: int, stratum: str, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Add ``fold``: seeded order within each stratum, dealt round robin."""
     keyed = df.withColumn("__key", seeded_key(seed, F.col(id_col)))
-    ranked = rank_by_key(keyed, "__key", "__rank", [stratum])
+    ranked = rank_by_key(keyed, "__key", "__rank", [stratum], few_groups=True)
     return ranked.withColumn("fold", ((F.col("__rank") - 1) % folds).cast("int")).drop("__key", "__rank")
 
 

@@ -48,3 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of order-preserving buckets to use for distributed running sums."""
     return max(8, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the input is too small to be read by that many tasks.
+
+    Large inputs arrive in enough pieces and pass through unchanged, so nothing big is shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    piece = 128 * 1024 * 1024
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * piece else df
