@@ -320,10 +320,6 @@ def mo32(spark, sf):
     return _spread(pd_.blend_by_type(aligned(spark, sf), weights, "label"), "id", "label", "pred")
 
 
-def _letters_case(expr):
-    return f"CASE WHEN {expr} THEN"
-
-
 @query("mo28_soft_export", f"SELECT id, {', '.join(f'round(p_{c},6)+0.0 AS {c}' for c in CHOICES)}, pred, gold AS answer FROM models WHERE model='A'", ("models",))
 def mo28(spark, sf):
     return rounded(pd_.soft_export(model_a(spark, sf), "gold"))
@@ -557,9 +553,6 @@ def ag18(spark, sf):
     return t.withColumn("delta_pp", F.col("delta_pp") + F.lit(0.0))
 
 
-LOGGED = "SELECT concat('v', CAST(floor(run/2) AS BIGINT)) AS variant, round(avg((pred=gold)::INT)+ (CASE WHEN floor(run/2)=2 THEN 0.01 ELSE 0 END),3) AS logged_accuracy"
-
-
 @query("qc11_accuracy_agreement", "WITH s AS (SELECT variant, round(avg((pred=gold)::INT),4) AS accuracy FROM variants GROUP BY 1) SELECT variant, accuracy, round(accuracy + CASE variant WHEN 'v2' THEN 0.01 ELSE 0.0 END,6) AS logged_accuracy, variant<>'v2' AS agrees FROM s", ("variants",))
 def qc11(spark, sf):
     s = ev.variant_summary(ev.graded(variants(spark, sf))).select("variant", "accuracy")

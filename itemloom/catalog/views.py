@@ -49,7 +49,7 @@ _SIZES = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus='
   CAST(200 + (l_partkey*37) % 3000 AS INT) AS width, CAST(200 + (l_suppkey*91 + l_linenumber*613) % 2500 AS INT) AS height,
   CAST(floor(l_extendedprice) AS BIGINT) AS file_bytes FROM {lineitem}"""
 
-# Variant models for paired comparison: model m is right on an item depending on label and vector sign.
+# SQL text of every view; later ones read earlier ones.
 _SQL = {
     **{
         name: text.format(sha="sha256(text)", **{t: t for t in ("documents", "events", "labels", "items", "conversations", "lineitem")})
