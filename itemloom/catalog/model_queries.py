@@ -386,17 +386,28 @@ def scored_items(spark, sf):
     return pd_.score(orders, _HashModel, "id string, run int, order array<int>")
 
 
-@query("mo4_batch_scorer")
+def _score(c):
+    codes = f"list_sum(list_transform(string_split({c}, ''), lambda ch: unicode(ch)))"
+    return f"CASE WHEN {c}='' THEN 0.0::DOUBLE ELSE length({c})%7 + ({codes}%101)/101.0::DOUBLE END AS l_{c}"
+
+
+# the stand-in's logits depend on an option's text only, so every display order gives the same original-slot values
+SCORED = f"""lg AS (SELECT id, {', '.join(_score(c) for c in CHOICES)} FROM items),
+sm AS (SELECT *, {', '.join(f"exp(l_{c}-m) AS e_{c}" for c in CHOICES)}, 1-1/(2+l_a+l_b+l_c+l_d) AS mass FROM (SELECT *, greatest(l_a,l_b,l_c,l_d) AS m FROM lg))"""
+_SCORED_P = ", ".join(f"round(e_{c}/(e_a+e_b+e_c+e_d),6)+0.0 AS p_{c}" for c in CHOICES)
+
+
+@query("mo4_batch_scorer", f"WITH {SCORED} SELECT id, run, {_SCORED_P} FROM sm, (VALUES (0),(1),(2),(3)) v(run)", ("items",))
 def mo4(spark, sf):
     return _spread(pd_.scored_probs(scored_items(spark, sf), "order"), "id", "run")
 
 
-@query("ud1_scorer_plug_in")
+@query("ud1_scorer_plug_in", f"WITH {SCORED} SELECT id, {_SCORED_P} FROM sm", ("items",))
 def ud1(spark, sf):
     return _spread(pd_.average_runs(pd_.scored_probs(scored_items(spark, sf), "order")), "id")
 
 
-@query("mo31_letter_mass_check")
+@query("mo31_letter_mass_check", f"WITH {SCORED} SELECT round(avg(mass),6) AS mean_mass, round(min(mass),6) AS min_mass, 4*count(*) AS n, avg(mass)<0.3 AS too_low FROM sm", ("items",))
 def mo31(spark, sf):
     return rounded(pd_.mass_check(scored_items(spark, sf)))
 
