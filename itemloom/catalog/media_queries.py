@@ -68,7 +68,15 @@ def im4(spark, sf):
     return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "entropy_bits"))
 
 
-@query("im5_edges_and_laplacian")
+GRID = f"""{PIXELS.split('px AS (')[0].rstrip().rstrip(',')},
+lum AS (SELECT id, i, ((coalesce(b[3*i+3],32)*19595+coalesce(b[3*i+2],32)*38470+coalesce(b[3*i+1],32)*7471+32768)>>16)/255 AS g
+  FROM (SELECT id, b, unnest(range(CAST(ceil(len(b)/{3 * PIXEL_WIDTH}) AS BIGINT)*{PIXEL_WIDTH})) AS i FROM bytes)),
+nb AS (SELECT id, i%{PIXEL_WIDTH} AS x, i//{PIXEL_WIDTH} AS y, g, lead(g) OVER w AS e, lead(g,{PIXEL_WIDTH}) OVER w AS s, lag(g) OVER w AS wv, lag(g,{PIXEL_WIDTH}) OVER w AS n FROM lum WINDOW w AS (PARTITION BY id ORDER BY i)),
+ed AS (SELECT id, avg(((abs(e-g)+abs(s-g))/2>0.10)::INT) AS d FROM nb WHERE x<{PIXEL_WIDTH - 1} AND s IS NOT NULL GROUP BY 1),
+la AS (SELECT id, var_pop(n+s+wv+e-4*g) AS v FROM nb WHERE x BETWEEN 1 AND {PIXEL_WIDTH - 2} AND n IS NOT NULL AND s IS NOT NULL GROUP BY 1)"""
+
+
+@query("im5_edges_and_laplacian", f"WITH {GRID} SELECT doc_id AS id, round(coalesce(d,0),6) AS edge_density, round(coalesce(v,0),6) AS laplacian_variance FROM documents LEFT JOIN ed ON ed.id=doc_id LEFT JOIN la ON la.id=doc_id")
 def im5(spark, sf):
     return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "edge_density", "laplacian_variance"))
 
@@ -83,7 +91,12 @@ def im7(spark, sf):
     return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "val_mean"))
 
 
-@query("im7_hue_mean")
+HUE = f"""{PIXELS}, hs AS (SELECT id, mx, (mx-mn) AS sp, CASE WHEN mx>1e-8 THEN (mx-mn)/mx ELSE 0 END AS sat, r, g, bb FROM (SELECT *, greatest(r,g,bb) AS mx, least(r,g,bb) AS mn FROM v)),
+hu AS (SELECT id, sat, 2*pi()*(CASE WHEN sp=0 THEN 0 WHEN mx=r THEN (g-bb)/sp + CASE WHEN g<bb THEN 6 ELSE 0 END WHEN mx=g THEN (bb-r)/sp+2 ELSE (r-g)/sp+4 END)/6 AS ang FROM hs),
+ag AS (SELECT id, avg(sat) AS sat_mean, avg(sin(ang)) FILTER (sat>0.1) AS sn, avg(cos(ang)) FILTER (sat>0.1) AS cs FROM hu GROUP BY 1)"""
+
+
+@query("im7_hue_mean", f"WITH {HUE} SELECT id, round((degrees(atan2(sn,cs))+360)%360,6) AS hue_mean, round(sat_mean,6) AS sat_mean FROM ag")
 def im7_hue(spark, sf):
     return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "hue_mean", "sat_mean"))
 
