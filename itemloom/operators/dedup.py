@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,64 +95,81 @@ def _masks(bits: list[int], groups: int, chosen: int) -> list[int]:
     return signed
 
 
-def _plan_masks(rows: int, threshold: int, bits: int, bucket: int) -> list[int]:
-    """Masks such that any two hashes within the threshold agree on one, wide enough for small buckets."""
+def _plan_masks(rows: int, threshold: int, bits: int) -> list[int]:
+    """Masks such that any two hashes within the threshold agree on one, for the least expected work.
+
+    More fixed bits mean more masks per hash but fewer chance meetings; the cheapest family depends on the rows.
+    """
+    plans = []
     for chosen in range(1, 5):
         groups = threshold + chosen
-        if groups > bits:
-            break
-        masks = _masks(list(range(bits)), groups, chosen)
-        if rows >> (bits * chosen // groups) <= bucket:
-            return masks
-        best = masks
-    return best
+        if groups <= bits:
+            meetings = rows / 2 ** (bits * chosen // groups + 1)
+            plans.append((comb(groups, chosen) * (1 + meetings), groups, chosen))
+    _, groups, chosen = min(plans)
+    return _masks(list(range(bits)), groups, chosen)
+
+
+def _meet(keyed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of hashes sharing a masked key that are within the threshold."""
+    a, b = keyed.select("mask", "key", F.col("h").alias("h1")), keyed.select("mask", "key", F.col("h").alias("h2"))
+    return (
+        a.join(b, ["mask", "key"]).filter("h1 < h2")
+        .select("h1", "h2", F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))).alias("distance"))
+        .filter(F.col("distance") <= threshold)
+    )
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.col("h").bitwiseAND(F.col("mask")))
 
 
-def hamming_pairs(hashes: DataFrame, column: str, threshold: int, bits: int = 64, bucket: int = 200) -> DataFrame:
+def _work(keyed: DataFrame) -> float:
+    """Comparisons a join on (mask, key) would make."""
+    sizes = keyed.groupBy("mask", "key").agg(F.count("*").cast("double").alias("n"))
+    return sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+
+
+def hamming_pairs(hashes: DataFrame, column: str, threshold: int, bits: int = 64, bucket: int = 2000) -> DataFrame:
     """All pairs of different hash values within a Hamming distance, each once as (h1, h2, distance).
 
     Hashes within the threshold agree on at least one bit mask of a suitable family, so equal masked values are
-    the join key. Buckets that are still crowded are split again by the bits not yet fixed, so no key pairs up
-    a large group; nothing is dropped.
+    the join key. Buckets of more than ``bucket`` hashes are split again by the bits not yet fixed, as long as
+    that at least halves their comparisons; where it does not, they consist of true pairs for the most part.
+    Nothing is dropped.
     """
     spark = hashes.sparkSession
     distinct = cut_lineage(hashes.select(F.col(column).alias("h")).filter("h IS NOT NULL").distinct())
-    masks = _plan_masks(distinct.count(), threshold, bits, bucket)
-    keyed = distinct.select("h", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    masks = _plan_masks(distinct.count(), threshold, bits)
+    keyed = _keys(distinct.select("h", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")))
     pairs = None
-    for depth in range(6):
-        keyed = keyed.withColumn("key", F.col("h").bitwiseAND(F.col("mask")))
-        refined, crowded = [], None
-        if depth < 5:
-            for m in masks:
-                free = [b for b in range(bits) if not (m >> b) & 1]
-                if len(free) > threshold + 1:
-                    refined += [(m, m | sub) for sub in _masks(free, threshold + 1, 1)]
-            sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket)
-            splittable = sorted({m for m, _ in refined})
-            crowded = cut_lineage(sizes.filter(F.col("mask").isin(splittable)).select("mask", "key"))
-            if crowded.isEmpty():
-                crowded = None
-        calm = keyed if crowded is None else keyed.join(crowded, ["mask", "key"], "left_anti")
-        a, b = calm.select("mask", "key", F.col("h").alias("h1")), calm.select("mask", "key", F.col("h").alias("h2"))
-        found = (
-            a.join(b, ["mask", "key"]).filter("h1 < h2")
-            .select("h1", "h2", F.bit_count(F.col("h1").bitwiseXOR(F.col("h2"))).alias("distance"))
-            .filter(F.col("distance") <= threshold)
-        )
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if crowded is None:
-            break
+    while True:
+        steps = []
+        for m in masks:
+            free = [b for b in range(bits) if not (m >> b) & 1]
+            if len(free) > threshold + 1:
+                steps += [(m, m | sub) for sub in _masks(free, threshold + 1, 1)]
+        splittable = sorted({m for m, _ in steps})
+        sizes = keyed.filter(F.col("mask").isin(splittable)).groupBy("mask", "key").agg(F.count("*").alias("n"))
+        crowded = cut_lineage(sizes.filter(F.col("n") > bucket))
+        before = crowded.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        if before == 0.0:
+            found = _meet(keyed, threshold)
+            return (found if pairs is None else pairs.unionByName(found)).distinct()
         hot = keyed.join(crowded, ["mask", "key"], "left_semi")
-        steps = spark.createDataFrame(refined, "mask long, wider long")  # as many rows as masks times runs
-        keyed = cut_lineage(hot.join(F.broadcast(steps), "mask").select("h", F.col("wider").alias("mask")).distinct())
-        masks = sorted({w for _, w in refined})
-    return pairs.distinct()
+        wider = spark.createDataFrame(steps, "mask long, wider long")  # as many rows as masks times runs of bits
+        split = cut_lineage(_keys(hot.join(F.broadcast(wider), "mask").select("h", F.col("wider").alias("mask")).distinct()))
+        if _work(split) > before / 2:
+            found = _meet(keyed, threshold)
+            return (found if pairs is None else pairs.unionByName(found)).distinct()
+        found = _meet(keyed.join(crowded, ["mask", "key"], "left_anti"), threshold)
+        pairs = found if pairs is None else pairs.unionByName(found)
+        keyed, masks = split, sorted({w for _, w in steps})
 
 
 def similar_pairs(
     df: DataFrame, hash_col: str, content: str, split_col: str, left: str, right: str, threshold: int = 6,
-    keep: int = 1000, bits: int = 64, position: str = "pos", columns: Sequence[str] = (), bucket: int = 200,
+    keep: int = 1000, bits: int = 64, position: str = "pos", columns: Sequence[str] = (), bucket: int = 2000,
 ) -> DataFrame:
     """The closest pairs of different contents within and across two splits.
 
