@@ -280,7 +280,7 @@ def _picked(pool: Column, used: Column | None, gold: Column, order_key, limit: C
 
 
 def _with_distractors(
-    qa: DataFrame, seed: int = 42, near: int = 50, pool_size: int = 400, max_answer_chars: int = 40,
+    qa: DataFrame, seed: int = 42, near: int = 50, pool_size: int = 128, max_answer_chars: int = 40,
     group: str = "img_id", k: str = "k", answer: str = "answer_text",
 ) -> DataFrame:
     """Filtered free-form rows with chosen same-group (``__same``) and nearest (``__other``) distractors.
@@ -411,25 +411,38 @@ def same_group_share(converted: DataFrame) -> DataFrame:
 def unique_ids(df: DataFrame, base: str, position: str = "pos") -> DataFrame:
     """Add ``rid``: the base name with as few trailing underscores as make it unique, earlier rows first.
 
-    Names sharing a root compete for the slots root, root_, root__ and so on. Every row starts at the slot its
-    rank among equal names allows; where rows of different names meet, the later ones move on until none meet.
+    Names sharing a root compete for the slots root, root_, root__ and so on; a name with k underscores starts at
+    slot k. Slots below the next longer name are taken by the first rows in order; later rows move on to that
+    name's slots and queue there with its own rows by position. So one ranking per name length is enough.
     """
     root = F.regexp_replace(base, "_+$", "")
     own = df.withColumns({"__root": root, "__off": (F.length(base) - F.length(root)).cast("long")})
-    ranked = running_sums(
-        own, ["__root", "__off"], [position], {"__k": F.lit(1).cast("long")}, numeric_bucket(df, position)
+    by_length = Window.partitionBy("__root").orderBy("__off")  # as many rows per root as name lengths
+    kinds = own.select("__root", "__off").distinct().select(
+        "__root", "__off", F.row_number().over(by_length).alias("__level"), F.lead("__off").over(by_length).alias("__next")
     )
-    slots = ranked.withColumn("__slot", F.col("__off") + F.col("__k") - 1)
-    mixed = own.groupBy("__root").agg(F.countDistinct("__off").alias("__kinds")).filter("__kinds > 1")
-    if not mixed.isEmpty():
-        meet = Window.partitionBy("__root", "__slot").orderBy(position)
-        slots = cut_lineage(slots)
-        while True:
-            moved = cut_lineage(slots.withColumn("__behind", F.row_number().over(meet) - 1))
-            if moved.filter("__behind > 0").isEmpty():
-                break
-            slots = moved.withColumn("__slot", F.col("__slot") + F.col("__behind")).drop("__behind")
-    return slots.select(*df.columns, F.concat("__root", F.expr("repeat('_', CAST(__slot AS INT))")).alias("rid"))
+    levels = kinds.agg(F.max("__level")).first()[0] or 0
+    if levels > 1:
+        kinds = cut_lineage(kinds)
+    rows = own.join(kinds, ["__root", "__off"])
+    bucket = numeric_bucket(df, position)
+    fields = [*df.columns, "__root", "__off", "__next"]
+    out, waiting = None, None
+    for level in range(1, levels + 1):
+        queue = rows.filter(F.col("__level") == level).select(*fields)
+        if waiting is not None:
+            here = kinds.filter(F.col("__level") == level).select("__root", "__off", "__next")
+            queue = queue.unionByName(waiting.drop("__off", "__next").join(here, "__root").select(*fields))
+        ranked = running_sums(queue, ["__root"], [position], {"__k": F.lit(1).cast("long")}, bucket)
+        if level < levels:
+            ranked = cut_lineage(ranked)
+        fits = F.col("__next").isNull() | (F.col("__k") <= F.col("__next") - F.col("__off"))
+        placed = ranked.filter(fits).withColumn("__slot", F.col("__off") + F.col("__k") - 1)
+        waiting = ranked.filter(~fits).drop("__k")
+        out = placed if out is None else out.unionByName(placed)
+    if out is None:
+        return df.withColumn("rid", F.col(base))
+    return out.select(*df.columns, F.concat("__root", F.expr("repeat('_', CAST(__slot AS INT))")).alias("rid"))
 
 
 # ---- augmentation and stages --------------------------------------------------------------------------------------
