@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import bpe, exact, jaccard, quality_rules, shards
+from itemloom.llm import bpe, exact, jaccard, mixing, quality_rules, shards
 from itemloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,37 @@ JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) c USING (doc
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard.near_duplicates(docs, n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+# Twenty rounds of raking over the cells, then the scale: the fewest cells taken whole such that no other one passes 1
+_MIX = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(lang, chr(1)) AS lang,
+  CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN contains(text, 'ights reserved') OR contains(text, 'icense') THEN 'legal'
+    WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact' WHEN contains(text, ' | ') THEN 'table'
+    WHEN contains(text, '?') THEN 'questions' ELSE 'prose' END AS topic,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+s AS (SELECT source, pow(sum(n), 0.7) AS r FROM c GROUP BY 1), l AS (SELECT lang, pow(sum(n), 0.7) AS r FROM c GROUP BY 1),
+t AS (SELECT topic, pow(sum(n), 0.8) AS r FROM c GROUP BY 1), a AS (SELECT sum(n) AS n FROM c),
+b AS (SELECT c.*, a.n * s.r / (SELECT sum(r) FROM s) AS ts, a.n * l.r / (SELECT sum(r) FROM l) AS tl,
+  a.n * t.r / (SELECT sum(r) FROM t) AS tt FROM c JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic), a),
+i(k, source, lang, topic, n, ts, tl, tt, w) AS (SELECT 0, *, n FROM b UNION ALL
+  SELECT k + 1, source, lang, topic, n, ts, tl, tt, w * tt / sum(w) OVER (PARTITION BY topic) FROM (
+    SELECT * REPLACE (w * tl / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+      SELECT * REPLACE (w * ts / sum(w) OVER (PARTITION BY source) AS w) FROM i WHERE k < 20))),
+f AS (SELECT source, lang, topic, n, w, w / n AS f, row_number() OVER (ORDER BY w / n DESC) AS k FROM i WHERE k = 20),
+g AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
+  sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM f),
+z AS (SELECT (0.8 * a.n - whole) / rest AS scale FROM g, a WHERE (0.8 * a.n - whole) / rest * f < 1 ORDER BY k LIMIT 1),
+o AS (SELECT source, lang, topic, least(1, f * scale) AS probability FROM f, z)
+SELECT doc_id, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(coalesce(probability, 0), 6) AS probability,
+CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < coalesce(probability, 0) AS kept
+FROM d LEFT JOIN o USING (source, lang, topic)"""
+
+
+@query("op1_mixing", _MIX)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+        F.round("mix_probability", 6).alias("probability"), F.col("mix_taken").alias("kept"),
+    )
