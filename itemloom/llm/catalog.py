@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import bpe, exact, jaccard, mixing, quality_rules, shards
+from itemloom.llm import bpe, exact, jaccard, mixing, quality_rules, shards, urls
 from itemloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,50 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
         F.round("mix_probability", 6).alias("probability"), F.col("mix_taken").alias("kept"),
     )
+
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def _url_sql() -> str:
+    """The models level by level: contexts of no, one, two and three symbols."""
+    levels = ["l0 AS (SELECT 1 / 33.0::DOUBLE AS py, 1 / 33.0::DOUBLE AS pn)"]
+    for k in (1, 2, 3, 4):
+        below = "JOIN l0 ON true" if k == 1 else f"JOIN l{k - 1} b ON b.g = substr(o.g, 2)"
+        p = ", ".join(
+            f"CASE WHEN n{s} = 0 THEN p{s} ELSE (c{s} + t{s} * p{s}) / (n{s} + t{s}) END AS p{s}" for s in "yn"
+        )
+        levels.append(f"""o{k} AS (SELECT g, cy, cn, sum(cy) OVER c AS ny, sum((cy > 0)::INT) OVER c AS ty, sum(cn) OVER c AS nn,
+  sum((cn > 0)::INT) OVER c AS tn FROM (SELECT substr(gram, {5 - k}) AS g, sum(y) AS cy, sum(n) AS cn FROM c4 GROUP BY 1)
+  WINDOW c AS (PARTITION BY substr(g, 1, {k - 1}))), l{k} AS (SELECT o.g, {p} FROM o{k} o {below})""")
+    return f"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+q AS (SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT *, CASE WHEN ('.' || host).ends_with('.example.net') AND path.starts_with('/en/') THEN 'example.net/en/'
+  WHEN ('.' || host).ends_with('.example.com') AND path.starts_with('/de/') THEN 'example.com/de/'
+  WHEN ('.' || host).ends_with('.org') AND path.starts_with('/fr/') THEN 'org/fr/'
+  WHEN ('.' || host).ends_with('.net') AND path.starts_with('/') THEN 'net/' END AS rule FROM q),
+m AS (SELECT row_number() OVER () AS row_no, page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS side,
+  substr(md5(url), 1, 1) IN ('0', '1', '2') AS held,
+  regexp_replace(regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+    '[=&%_~+:;,#@!]', '?', 'g'), '[^a-z0./?\\-]', '*', 'g') AS marks FROM r),
+x AS MATERIALIZED (SELECT row_no, side, held, length(marks) AS len, substr('^^^' || marks, i, 4) AS gram FROM (
+  SELECT *, unnest(range(1, length(marks) + 1)) AS i FROM m)),
+c4 AS MATERIALIZED (SELECT gram, count(*) FILTER (side = 'allow' AND NOT held) AS y, count(*) FILTER (side = 'block' AND NOT held) AS n FROM x GROUP BY 1),
+{", ".join(levels)},
+s AS (SELECT row_no, sum(ln(py) - ln(pn)) / max(len) AS score FROM x JOIN l4 ON l4.g = x.gram GROUP BY 1),
+j AS MATERIALIZED (SELECT m.*, score FROM m LEFT JOIN s USING (row_no)),
+b AS (SELECT least(greatest(floor((score + 5) / 0.02), 0), 500) AS step, count(*) FILTER (side = 'allow') AS y, count(*) FILTER (side = 'block') AS n
+  FROM j WHERE held AND side IS NOT NULL AND score IS NOT NULL GROUP BY 1),
+e AS (SELECT step, round(coalesce(sum(y) OVER w, 0) / sum(y) OVER () + 1 - coalesce(sum(n) OVER w, 0) / sum(n) OVER (), 9) AS error FROM b
+  WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT step * 0.02 - 5 AS cut FROM e ORDER BY error, step LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(side, CASE WHEN score < (SELECT cut FROM k) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
+
+
+@query("op9_url_filters", _url_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
