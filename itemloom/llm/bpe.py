@@ -12,12 +12,12 @@ and any text length are fine. Input columns other than the id and the text are n
 from __future__ import annotations
 
 import base64
-import functools
 import gc
 import hashlib
+import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from types import ModuleType
 
 import pyarrow as pa
 import regex
@@ -38,7 +38,6 @@ FIELDS = {
 }
 
 
-@functools.cache
 def byte_characters() -> str:
     """One printable character for every byte: itself where it prints in Latin-1, else the next one from 256 on."""
     prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -46,16 +45,6 @@ def byte_characters() -> str:
     return "".join(chr(b if b in prints else next(spare)) for b in range(256))
 
 
-@functools.cache
-def _spelling() -> dict[int, str]:
-    return dict(enumerate(byte_characters()))
-
-
-def spelled(data: bytes) -> str:
-    """Bytes as characters of the byte table."""
-    return data.decode("latin-1").translate(_spelling())
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
@@ -77,6 +66,11 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        table = dict(enumerate(byte_characters()))
+
+        def spelled(data: bytes) -> str:
+            return data.decode("latin-1").translate(table)
+
         merges = [
             (spelled(token[:i]), spelled(token[i:]))
             for token in sorted(ranks, key=ranks.get)
@@ -175,10 +169,13 @@ class Codec:
         return tuple(out[w] for w in wanted)
 
 
-@functools.lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
-    """Built once per worker and vocabulary."""
-    return Codec(path, pattern)
+    """Built once per worker process and vocabulary, so that tasks that follow one another share its table."""
+    held = sys.modules.setdefault("_itemloom_worker", ModuleType("_itemloom_worker")).__dict__.setdefault("codecs", {})
+    if (path, pattern) not in held:
+        held.clear()
+        held[path, pattern] = Codec(path, pattern)
+    return held[path, pattern]
 
 
 def encode(

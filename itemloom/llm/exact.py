@@ -21,10 +21,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.store import stored
+from itemloom.llm.store import stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Pieces that the rows of one chain are dealt into while their bytes are compared.
+SALTS = 16
+
 
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; pure ASCII text takes the short way."""
@@ -92,8 +95,11 @@ def exact_duplicates(
     texts = docs.select(F.col(id_column).alias("id"), text.alias("norm")).withColumns(
         {"key": key(F.col("norm")), "digest": digest(F.col("norm"))}
     )
+    # the salt deals a hot chain out over tasks, each of which sends on its own least and greatest text
+    salted = several.select("g_key", "g_digest", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("g_salt"))
+    texts = texts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     unlike = stored(
-        texts.join(several, same, "left_semi").groupBy("key", "digest")
+        texts.join(salted, same & (F.col("salt") == F.col("g_salt")), "left_semi").groupBy("key", "digest")
         .agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select(F.col("key").alias("u_key"), F.col("digest").alias("u_digest")),
         "unlike",
     )
@@ -141,3 +147,20 @@ def owned(chains: DataFrame, capacity: int) -> DataFrame:
     if tagged is None:
         tagged = chains.withColumns({"bucket_low": F.lit(-(2**63)), "local_depth": F.lit(0)})
     return tagged.repartitionByRange("bucket_low", "key")
+
+
+def first_of_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of every group of equal texts; same columns."""
+    verdict = exact_duplicates(docs, id_column, text_column, **options).filter("NOT kept").select(
+        F.col(id_column).alias("v_id"), F.col("text_key").alias("v_key"), F.col(id_column).eqNullSafe(F.col("keep_id")).alias("tie")
+    )
+    gone = stored(verdict, "copies")
+    key = options.get("key", text_key)(options.get("normalise", ascii_lower)(F.coalesce(F.col(text_column), F.lit(""))))
+    same = F.col(id_column).eqNullSafe(F.col("v_id")) & (key == F.col("v_key"))
+    others = without(docs, gone.filter("NOT tie"), same)
+    ties = gone.filter("tie")
+    if ties.isEmpty():
+        return others
+    # rows that share the id of the row that stays: one of them
+    tied = docs.withColumn("__key", key).join(ties, same, "left_semi").dropDuplicates([id_column, "__key"]).drop("__key")
+    return others.join(ties, same, "left_anti").unionByName(tied)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.graph import components, extended
-from itemloom.llm.store import stored
+from itemloom.llm.store import stored, without
 from itemloom.llm.words import WordHasher, mix, runs
 
 #: Bits of an n-gram hash. Two sets of 1,000 hold a false match with a chance of 4e-9.
@@ -168,7 +168,10 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80
 ) -> DataFrame:
-    """Component of every row: the id, text_key, n_shingles, component_id (smallest linked id, its own included)."""
+    """Component of every row: the id, text_key, n_shingles, component_id (smallest linked id, its own included), component.
+
+    ``component`` names the component by its smallest node and is null for an empty set.
+    """
     rows = stored(sketched(docs, id_column, text_column, n, percent), "sketches")
     names = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     keyed = rows.select("node", F.explode("keys").alias("key"))
@@ -207,9 +210,22 @@ def near_duplicates(
     least = names.join(labels, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "least")
     ids = stored(least, "nodes")
     lowest = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(ids.join(lowest, "component").select(F.col("node").alias("m_node"), "component_id"), "named")
+    named = stored(ids.join(lowest, "component").select(F.col("node").alias("m_node"), F.col("component").alias("m_component"), "component_id"), "named")
     # null nodes match nothing and name themselves
     return rows.select("id", "text_key", "n_shingles", "node").join(named, F.col("node") == F.col("m_node"), "left").select(
         F.col("id").alias(id_column), "text_key", "n_shingles",
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("m_component").alias("component"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of every component, the one with its smallest id; same columns. Empty sets all stay."""
+    found = stored(near_duplicates(docs, id_column, text_column, n, percent).filter("component IS NOT NULL").select(
+        "component", F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_key").alias("row")
+    ), "members")
+    groups = found.groupBy("component").agg(F.min("row").alias("top"), F.count("*").alias("size")).filter("size > 1")
+    groups = stored(groups.select(F.col("component").alias("c"), "top"), "tops")
+    gone = found.join(groups, F.col("component") == F.col("c")).filter(~F.col("row").eqNullSafe(F.col("top"))).select(
+        F.col("row.id").alias("v_id"), F.col("row.text_key").alias("v_key")
     )
+    return without(docs, stored(gone, "near-copies"), F.col(id_column).eqNullSafe(F.col("v_id")) & (F.xxhash64(text_column) == F.col("v_key")))

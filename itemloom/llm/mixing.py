@@ -130,3 +130,8 @@ def sampled(
     return rows.join(odds, on, "left").withColumns({
         "mix_probability": known, "mix_taken": chance / F.lit(float(2**52)) < known,
     }).drop("mix_source", "mix_lang", *[f"o_{d}" for d in DIMENSIONS], "o_probability")
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The sampled rows of ``docs``; same columns."""
+    return sampled(docs, **options).filter("mix_taken").select(*docs.columns)

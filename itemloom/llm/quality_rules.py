@@ -19,10 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from itemloom.llm.store import stored
 from itemloom.llm.words import WordHasher, runs
@@ -50,7 +52,7 @@ def _profile(text: bytes, hasher: WordHasher) -> tuple:
     dup_lines = len(full) - len({r for r, _ in full})
     windows = runs(hasher(words), WINDOW)
     repeat = _repeated(windows, n)
-    plain = [b" ".join(r.split()).lower().translate(_DIGITS) for r, _ in full]
+    plain = [normalised(r) for r, _ in full]
     sizes: dict[bytes, int] = {}
     least: dict[bytes, int] = {}
     low = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -61,7 +63,7 @@ def _profile(text: bytes, hasher: WordHasher) -> tuple:
             sizes[line] = sizes.get(line, 0) + c
             least[line] = min(m, least.get(line, int(low)))
     two = sorted(least.values())[:2] + [int(low)]
-    names = [_signed(xxhash.xxh3_64_intdigest(x)) for x in sizes]
+    names = [line_hash(x) for x in sizes]
     lines = [
         {"line": h, "rest": _signed(two[1] if least[line] == two[0] else two[0]), "words": words_of}
         for h, (line, words_of) in zip(names, sizes.items(), strict=True)
@@ -69,6 +71,14 @@ def _profile(text: bytes, hasher: WordHasher) -> tuple:
     return n, chars, symbols, dup_lines, repeat, lines
 
 
+def normalised(line: bytes) -> bytes:
+    return b" ".join(line.split()).lower().translate(_DIGITS)
+
+
+def line_hash(line: bytes) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(line))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -139,3 +149,34 @@ def line_rules(
         "n_dup_lines", "n_repeat_words", base.alias("base_failed"), lost_words.alias("n_lost_words"),
         F.coalesce("removed", F.array().cast("array<long>")).alias("removed_lines"), (~base & ~depleted).alias("kept"),
     )
+
+
+@F.pandas_udf(StringType())
+def without_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
+    """Texts without the lines whose hashes are listed."""
+    out = []
+    for text, hashes in zip(texts, removed, strict=True):
+        if text is None or hashes is None or not len(hashes):
+            out.append(text)
+            continue
+        gone = set(hashes)
+        lines = [(x, normalised(x.encode())) for x in text.split("\n")]
+        out.append("\n".join(x for x, plain in lines if not plain or line_hash(plain) not in gone))
+    return pd.Series(out, dtype=object)
+
+
+def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` without rejected documents, and without the removed lines in the others; same columns."""
+    rules = line_rules(docs, id_column, text_column, **options)
+    found = rules.filter("NOT kept OR size(removed_lines) > 0").select(
+        F.col(id_column).alias("r_id"), F.col("text_key").alias("r_key"), F.col("rule_host").alias("r_host"), F.col("kept").alias("r_kept"),
+        F.col("removed_lines").alias("r_lines"),
+    )
+    # rows that agree in id, text and host have one verdict
+    found = stored(found.dropDuplicates(["r_id", "r_key", "r_host"]), "verdicts")
+    same = (
+        F.col(id_column).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_column) == F.col("r_key"))
+        & F.col(options.get("host_column", "source")).cast("string").eqNullSafe(F.col("r_host"))
+    )
+    rest = docs.join(found, same, "left").filter("r_kept IS NULL OR r_kept")
+    return rest.withColumn(text_column, without_lines(F.col(text_column), F.col("r_lines"))).select(*docs.columns)

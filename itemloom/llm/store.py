@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from itemloom.session import ensure_checkpoint_dir
 
@@ -24,3 +25,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a stored list of ids and hashes that may be broadcast: 16 bytes each, so 8 MB.
+SMALL_LIST = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """Rows of ``docs`` that match no row of a stored list; the list is broadcast only when it is counted to be small."""
+    small = gone.limit(SMALL_LIST + 1).count() <= SMALL_LIST
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
