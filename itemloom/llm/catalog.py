@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import bpe, exact, jaccard, mixing, quality_rules, shards, urls
+from itemloom.llm import bpe, exact, jaccard, mixing, quality_rules, resample, shards, urls
 from itemloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,9 @@ SELECT page_id, host, path, rule, coalesce(side, CASE WHEN score < (SELECT cut F
 @query("op9_url_filters", _url_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return resample.resampled(table(spark, sf_dir, "documents"), trusted)
