@@ -7,13 +7,14 @@ bit, so the Hamming distance of two sketches is at most the symmetric difference
 be equal (pigeonhole). Sets are sketched per size band, with d for the largest pair of the band; a set near the lower
 end of its band is sketched for the band below as well. Joining on (band, word number, word) misses no link.
 
-Sketch words that many sets share are never expanded into pairs. Each shared word has a leader, its smallest node, and
-every other node is compared with the leader only, by exact intersection. What two followers x and y have to say to
+Sketch words that many sets share are never expanded into pairs. Each shared word has a leader, the node with the most
+shared words (the middle of a group of copies), and every other node is compared with the leader only, by exact
+intersection. What two followers x and y have to say to
 each other is found through their differences from the leader: if they are similar, these differences D(x), D(y)
 overlap in at least (|D(x)| + |D(y)| - d) / 2 elements, so they share an element among the first |D| - overlap + 1 in
 any common order (those the leader lacks come first). Such elements, named after the leader, are the shared words of
-the next round. Words whose nodes already are in one component are done. Leaders grow from round to round, so this ends;
-no group is capped and no link between components is lost.
+the next round, where differences are kept relative to the first leader, the centre. Words whose nodes already are in one component are done. Leaders are taken in one fixed order, so this
+ends; groups of a few nodes are compared pair by pair at once. No group is capped and no link between components is lost.
 
 Defined results: null or empty text, or text without words, has no n-grams and is linked with nothing; with fewer words
 than n the whole sequence is the one n-gram; rows with a null id are linked but name no component, and a component of
@@ -37,6 +38,8 @@ from itemloom.llm.words import WordHasher, mix, runs
 BITS = 48
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.5
+#: After the first round, groups of up to this many nodes are compared pair by pair.
+FEW = 32
 
 
 def band_limits(size: int) -> list[int]:
@@ -140,29 +143,73 @@ def node_sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> Data
     return _binary(docs, id_column, text_column, []).mapInArrow(work, "node long, grams array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(leader, node, linked, keys): exact verdict on every pair, and the pair's keys for the next round."""
-    a, b, total = F.size("x"), F.size("y"), F.size("x") + F.size("y")
-    both = (
+def first_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, node, a, b, linked, diff): exact verdict, sizes, and what differs, elements that the leader lacks first."""
+    return (
         pairs.join(sets.select(F.col("node").alias("leader"), F.col("grams").alias("x")), "leader")
         .join(sets.select("node", F.col("grams").alias("y")), "node")
-        .select("leader", "node", "x", "y", F.size(F.array_intersect("x", "y")).alias("common"))
+        .select(
+            "leader", "node", F.size("x").alias("a"), F.size("y").alias("b"), F.size(F.array_intersect("x", "y")).alias("common"),
+            F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("diff"),
+        )
+        .withColumn("linked", 100 * F.col("common") >= percent * (F.col("a") + F.col("b") - F.col("common"))).drop("common")
+    )
+
+
+def later_pairs(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
+    """(center, leader, node, a, b, linked, diff) of (center, leader, node) from both differences to the centre.
+
+    Where the node differs from the leader, its own deviations from the centre come first: they are its own edits,
+    while the leader's edits are missing in everybody else as well.
+    """
+    own = diffs.select("center", F.col("node").alias("leader"), F.col("b").alias("a"), F.col("diff").alias("x"))
+    other = diffs.select("center", "node", "b", F.col("diff").alias("y"))
+    both = pairs.join(own, ["center", "leader"]).join(other, ["center", "node"]).select(
+        "center", "leader", "node", "star", "a", "b", F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("diff")
     )
-    apart = total - 2 * F.col("common")
-    linked = 100 * F.col("common") >= percent * (total - F.col("common"))
+    union = F.col("a") + F.col("b") + F.size("diff")  # twice the union
+    return both.withColumn("linked", 100 * (F.col("a") + F.col("b") - F.size("diff")) >= percent * union)
+
+
+def followed(found: DataFrame, percent: int, *context: str) -> DataFrame:
+    """(center, node, key): the shared words of the next round from compared pairs."""
+    a, b, apart = F.col("a"), F.col("b"), F.size("diff")
     out, whole = 100 - percent, 100 + percent
-    # sizes of partners of y: up to b * 100 / percent, from b * percent / 100
+    # sizes of partners of the node: up to b * 100 / percent, from b * percent / 100
     most = F.floor((b + F.floor(b * 100 / F.lit(percent))) * out / F.lit(whole))
-    # y is linked to the leader, so a partner in another component is not and is this far from the leader at least
+    # if the node is linked to the leader, a partner in another component is not, and is this far from the leader at least
     least = F.floor((a + F.ceil(b * percent / F.lit(100))) * out / F.lit(whole)) + 1
-    other = F.when(linked, F.greatest(least, apart - most)).otherwise(F.greatest(F.lit(1), apart - most))
+    other = F.when(F.col("linked"), F.greatest(least, apart - most)).otherwise(F.greatest(F.lit(1), apart - most))
     overlap = F.greatest(F.lit(1), F.ceil((apart + other - most) / F.lit(2)))
-    first = F.greatest(F.lit(0), apart - overlap + 1).cast("int")
-    differing = F.slice(F.concat(F.array_except("y", "x"), F.array_except("x", "y")), 1, F.greatest(first, F.lit(1)))
-    return both.select(
-        "leader", "node", linked.alias("linked"),
-        F.when(first > 0, F.transform(differing, lambda e: F.xxhash64(F.col("leader"), e))).otherwise(F.array().cast("array<long>")).alias("keys"),
-    )
+    first = (apart - overlap + 1).cast("int")
+    words = F.transform(F.slice("diff", F.lit(1), first), lambda e: F.xxhash64(*[F.col(c) for c in context], e))
+    shared = found.filter(first > 0).withColumn("words", words)
+    return shared.select(F.col(context[0]).alias("center"), "node", F.explode("words").alias("key")).distinct()
+
+
+def _links(found: DataFrame) -> DataFrame:
+    return found.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
+def led(members: DataFrame, weight: DataFrame, few: int, *context: str) -> DataFrame:
+    """(*context, leader, node, star): pairs to compare among the nodes of every key.
+
+    With more than ``few`` nodes, each goes with the heaviest node (of equal ones the largest) and ``star`` is true.
+    Otherwise all are compared, less than ``few`` per node, and nothing is left for a next round.
+    """
+    ranked = members.join(weight.withColumnRenamed("node", "w_node"), F.col("node") == F.col("w_node")).select("key", "node", "weight", *context)
+    ranked = stored(ranked, "ranked")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("size"))
+    leaders = stored(leaders.select(F.col("key").alias("k"), F.col("top.node").alias("leader"), "size"), "leaders")
+    same = F.col("key") == F.col("k")
+    pairs = ranked.join(leaders.filter(F.col("size") > few), same).filter("node <> leader").select(*context, "leader", "node", F.lit(1).alias("star"))
+    if few > 2:
+        small = ranked.join(leaders.filter(F.col("size") <= few), same).select("key", "node", *context)
+        twin = small.select(F.col("key").alias("k2"), F.col("node").alias("leader"))
+        pairs = pairs.unionByName(
+            small.join(twin, (F.col("key") == F.col("k2")) & (F.col("node") < F.col("leader"))).select(*context, "leader", "node", F.lit(0).alias("star"))
+        )
+    return pairs.groupBy(*context, "leader", "node").agg(F.max("star").alias("star"))
 
 
 def near_duplicates(
@@ -175,13 +222,12 @@ def near_duplicates(
     rows = stored(sketched(docs, id_column, text_column, n, percent), "sketches")
     names = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     keyed = rows.select("node", F.explode("keys").alias("key"))
-    shared = (
-        keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-        .filter("leader <> last").select(F.col("key").alias("k"), "leader")
-    )
-    shared = stored(shared, "shared")
-    pairs = keyed.join(shared, F.col("key") == F.col("k")).filter("node <> leader").select("leader", "node").distinct()
-    pairs = stored(pairs, "pairs")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size"))
+    shared = stored(shared.filter("a <> b").select(F.col("key").alias("k"), "size"), "shared")
+    members = stored(keyed.join(shared, F.col("key") == F.col("k")).groupBy("key", "node").agg(F.max("size").alias("size")), "shared-rows")
+    # the node whose words are shared most is the middle of its group: the others differ from it by their own edits only
+    weight = stored(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    pairs = stored(led(members.select("node", "key"), weight, 1), "pairs")
     # one row of every node that takes part; only these texts are read again
     taking = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
     chosen = (
@@ -191,22 +237,21 @@ def near_duplicates(
     same = F.col(id_column).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_column) == F.col("r_key"))
     texts = docs.select(id_column, text_column).join(stored(chosen, "chosen"), same, "left_semi")
     sets = stored(node_sets(texts, id_column, text_column, n).dropDuplicates(["node"]), "sets")
-    labels = None
+    found = stored(first_pairs(pairs, sets, percent), "compared")
+    diffs = found.select(F.col("leader").alias("center"), "node", "b", "diff")
+    labels = stored(components(_links(found)), "labels")
+    keys = followed(found, percent, "leader")
     while True:
-        found = stored(compared(pairs, sets, percent), "compared")
-        new = found.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        labels = stored(components(new), "labels") if labels is None else extended(labels, new)
-        follow = found.select("node", F.explode("keys").alias("key")).distinct()
-        follow = follow.join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
-        open_keys = (
-            follow.groupBy("key").agg(F.min("node").alias("leader"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-            .filter("c1 <> c2").select(F.col("key").alias("k"), "leader")
-        )
-        pairs = stored(
-            follow.join(stored(open_keys, "open"), F.col("key") == F.col("k")).filter("node <> leader").select("leader", "node").distinct(), "pairs"
-        )
+        keys = keys.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
+        keys = stored(keys.select("center", "node", "key", F.coalesce("component", "node").alias("component")), "keys")
+        unsettled = keys.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
+        unsettled = stored(unsettled.select(F.col("key").alias("k")), "unsettled")
+        pairs = stored(led(keys.join(unsettled, F.col("key") == F.col("k")).select("center", "node", "key"), weight, FEW, "center"), "pairs")
         if pairs.isEmpty():
             break
+        found = stored(later_pairs(pairs, diffs, percent), "compared")
+        labels = extended(labels, _links(found))
+        keys = followed(found.filter("star = 1"), percent, "center", "leader")
     least = names.join(labels, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "least")
     ids = stored(least, "nodes")
     lowest = ids.groupBy("component").agg(F.min("least").alias("component_id"))
