@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import bpe, exact, jaccard, mixing, quality_rules, resample, shards, urls
+from itemloom.llm import bpe, chat, exact, jaccard, mixing, quality_rules, resample, shards, urls
 from itemloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
     return resample.resampled(table(spark, sf_dir, "documents"), trusted)
+
+
+def _transcripts(conversations: DataFrame) -> DataFrame:
+    """Lines of every conversation. By md5 of conversation and turn, a turn's first line has one of four markers or none."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "turn")), 1, 2), 16, 10).cast("int") % 8
+    names = {"system": ["System", "Instructions"], "user": ["User", "Human", "Q", "Customer"], "assistant": ["Assistant", "AI", "Bot", "A"]}
+    mark = F.lit("")
+    for role, words in names.items():
+        chosen = F.element_at(F.array(*[F.lit(f"{words[i % len(words)]}: ") for i in range(8)]), h + 1)
+        mark = F.when((F.col("role") == role) & (h < 6), chosen).otherwise(mark)
+    lines = conversations.select("conv_id", "turn", F.col("role").alias("true_role"), mark.alias("mark"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("nth", "line"))
+    return lines.select("conv_id", "turn", "nth", "true_role", (F.col("nth") == 0).alias("true_opens"), F.when(F.col("nth") == 0, F.concat("mark", "line")).otherwise(F.col("line")).alias("line"))
+
+
+@query("op8_chat_formatting")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _transcripts(table(spark, sf_dir, "conversations"))
+    seen = chat.observed(lines, "conv_id", ["turn", "nth"], "line", "true_role", "true_opens")
+    model = chat.fitted(seen, "true_role", "true_opens", 200_000)
+    return chat.formatted(seen, model, "true_role").withColumnRenamed("id", "conv_id")
