@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import bpe, chat, exact, jaccard, mixing, quality_rules, resample, shards, urls
+from itemloom.llm import bpe, chat, exact, jaccard, mixing, passages, quality_rules, resample, shards, urls
 from itemloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = chat.observed(lines, "conv_id", ["turn", "nth"], "line", "true_role", "true_opens")
     model = chat.fitted(seen, "true_role", "true_opens", 200_000)
     return chat.formatted(seen, model, "true_role").withColumnRenamed("id", "conv_id")
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
