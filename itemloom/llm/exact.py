@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.store import stored, without
+from itemloom.llm.store import shielded, stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -151,16 +151,18 @@ def owned(chains: DataFrame, capacity: int) -> DataFrame:
 
 def first_of_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` with one row of every group of equal texts; same columns."""
-    verdict = exact_duplicates(docs, id_column, text_column, **options).filter("NOT kept").select(
-        F.col(id_column).alias("v_id"), F.col("text_key").alias("v_key"), F.col(id_column).eqNullSafe(F.col("keep_id")).alias("tie")
+    inner, place, back = shielded(docs)
+    own, text = place[id_column], F.coalesce(F.col(place[text_column]), F.lit(""))
+    verdict = exact_duplicates(inner, own, place[text_column], **options).filter("NOT kept").select(
+        F.col(own).alias("v_id"), F.col("text_key").alias("v_key"), F.col(own).eqNullSafe(F.col("keep_id")).alias("tie")
     )
     gone = stored(verdict, "copies")
-    key = options.get("key", text_key)(options.get("normalise", ascii_lower)(F.coalesce(F.col(text_column), F.lit(""))))
-    same = F.col(id_column).eqNullSafe(F.col("v_id")) & (key == F.col("v_key"))
-    others = without(docs, gone.filter("NOT tie"), same)
+    keyed = inner.withColumn("doc_key", options.get("key", text_key)(options.get("normalise", ascii_lower)(text)))
+    same = F.col(own).eqNullSafe(F.col("v_id")) & (F.col("doc_key") == F.col("v_key"))
+    others = without(keyed, gone.filter("NOT tie"), same)
     ties = gone.filter("tie")
     if ties.isEmpty():
-        return others
+        return back(others)
     # rows that share the id of the row that stays: one of them
-    tied = docs.withColumn("__key", key).join(ties, same, "left_semi").dropDuplicates([id_column, "__key"]).drop("__key")
-    return others.join(ties, same, "left_anti").unionByName(tied)
+    tied = keyed.join(ties, same, "left_semi").dropDuplicates([own, "doc_key"])
+    return back(others.join(ties, same, "left_anti").unionByName(tied))

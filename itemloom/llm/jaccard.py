@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.graph import components, extended
-from itemloom.llm.store import stored, without
+from itemloom.llm.store import shielded, stored, without
 from itemloom.llm.words import WordHasher, mix, runs
 
 #: Bits of an n-gram hash. Two sets of 1,000 hold a false match with a chance of 4e-9.
@@ -264,13 +264,19 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of every component, the one with its smallest id; same columns. Empty sets all stay."""
-    found = stored(near_duplicates(docs, id_column, text_column, n, percent).filter("component IS NOT NULL").select(
-        "component", F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_key").alias("row")
-    ), "members")
+    """``docs`` with one row of every component, the one with its smallest id; same columns.
+
+    Rows without n-grams all stay, and so do rows that agree in id and text with the row that stays.
+    """
+    inner, place, back = shielded(docs)
+    own, text = place[id_column], place[text_column]
+    found = near_duplicates(inner, own, text, n, percent).filter("component IS NOT NULL").select(
+        "component", F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), "text_key").alias("row")
+    )
+    found = stored(found, "members")
     groups = found.groupBy("component").agg(F.min("row").alias("top"), F.count("*").alias("size")).filter("size > 1")
     groups = stored(groups.select(F.col("component").alias("c"), "top"), "tops")
     gone = found.join(groups, F.col("component") == F.col("c")).filter(~F.col("row").eqNullSafe(F.col("top"))).select(
         F.col("row.id").alias("v_id"), F.col("row.text_key").alias("v_key")
     )
-    return without(docs, stored(gone, "near-copies"), F.col(id_column).eqNullSafe(F.col("v_id")) & (F.xxhash64(text_column) == F.col("v_key")))
+    return back(without(inner, stored(gone, "near-copies"), F.col(own).eqNullSafe(F.col("v_id")) & (F.xxhash64(text) == F.col("v_key"))))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.llm.store import stored
+from itemloom.llm.store import shielded, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURES = {"source": 0.7, "lang": 0.7, "topic": 0.8}
@@ -118,7 +118,10 @@ def sampled(
     source_column: str = "source", lang_column: str = "lang", targets: dict[str, dict[str, float]] | None = None,
     temperatures: dict[str, float] | None = None, rounds: int = 20,
 ) -> DataFrame:
-    """``docs`` with mix_topic, mix_tokens, mix_probability and mix_taken; no row is dropped."""
+    """``docs`` with mix_topic, mix_tokens, mix_probability and mix_taken (columns with these names are replaced).
+
+    No row is dropped.
+    """
     rows = measured(docs, text_column, source_column, lang_column)
     sums = rows.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("n"))
     cells = stored(sums.toDF(*DIMENSIONS, "n"), "sums")
@@ -132,6 +135,10 @@ def sampled(
     }).drop("mix_source", "mix_lang", *[f"o_{d}" for d in DIMENSIONS], "o_probability")
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
+def taken(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", lang_column: str = "lang", **options
+) -> DataFrame:
     """The sampled rows of ``docs``; same columns."""
-    return sampled(docs, **options).filter("mix_taken").select(*docs.columns)
+    inner, place, back = shielded(docs)
+    columns = {"id_column": id_column, "text_column": text_column, "source_column": source_column, "lang_column": lang_column}
+    return back(sampled(inner, **{k: place[v] for k, v in columns.items()}, **options).filter("mix_taken"))

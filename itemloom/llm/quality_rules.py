@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from itemloom.llm.store import stored
+from itemloom.llm.store import shielded, stored
 from itemloom.llm.words import WordHasher, runs
 
 SYMBOLS = b"#*$%&|<>"
@@ -165,18 +165,28 @@ def without_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` without rejected documents, and without the removed lines in the others; same columns."""
-    rules = line_rules(docs, id_column, text_column, **options)
-    found = rules.filter("NOT kept OR size(removed_lines) > 0").select(
-        F.col(id_column).alias("r_id"), F.col("text_key").alias("r_key"), F.col("rule_host").alias("r_host"), F.col("kept").alias("r_kept"),
+def apply_rules(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **options
+) -> DataFrame:
+    """``docs`` without rejected documents, and without the removed lines in the others; same columns.
+
+    A column ``n_chars`` that holds the length of the text does so afterwards.
+    """
+    inner, place, back = shielded(docs)
+    own, text, host = place[id_column], place[text_column], place[host_column]
+    found = line_rules(inner, own, text, host, **options).filter("NOT kept OR size(removed_lines) > 0").select(
+        F.col(own).alias("r_id"), F.col("text_key").alias("r_key"), F.col("rule_host").alias("r_host"), F.col("kept").alias("r_kept"),
         F.col("removed_lines").alias("r_lines"),
     )
     # rows that agree in id, text and host have one verdict
     found = stored(found.dropDuplicates(["r_id", "r_key", "r_host"]), "verdicts")
     same = (
-        F.col(id_column).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_column) == F.col("r_key"))
-        & F.col(options.get("host_column", "source")).cast("string").eqNullSafe(F.col("r_host"))
+        F.col(own).eqNullSafe(F.col("r_id")) & (F.xxhash64(text) == F.col("r_key")) & F.col(host).cast("string").eqNullSafe(F.col("r_host"))
     )
-    rest = docs.join(found, same, "left").filter("r_kept IS NULL OR r_kept")
-    return rest.withColumn(text_column, without_lines(F.col(text_column), F.col("r_lines"))).select(*docs.columns)
+    rest = inner.join(found, same, "left").filter("r_kept IS NULL OR r_kept")
+    if size := place.get("n_chars"):
+        shorter = rest.withColumn("before", F.length(text)).withColumn(text, without_lines(F.col(text), F.col("r_lines")))
+        rest = shorter.withColumn(size, F.when(F.col(size) == F.col("before"), F.length(text)).otherwise(F.col(size)).cast(docs.schema["n_chars"].dataType))
+    else:
+        rest = rest.withColumn(text, without_lines(F.col(text), F.col("r_lines")))
+    return back(rest)

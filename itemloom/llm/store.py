@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +36,14 @@ def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     """Rows of ``docs`` that match no row of a stored list; the list is broadcast only when it is counted to be small."""
     small = gone.limit(SMALL_LIST + 1).count() <= SMALL_LIST
     return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` under names that no operator uses, where each column went, and the way back to the old columns.
+
+    So extra columns may bear any name, also one that an operator adds on its way.
+    """
+    names = docs.columns
+    place = {n: f"column_{i}" for i, n in enumerate(names)}
+    inner = docs.toDF(*[f"column_{i}" for i in range(len(names))])
+    return inner, place, lambda df: df.select(*[F.col(f"column_{i}").alias(n) for i, n in enumerate(names)])
