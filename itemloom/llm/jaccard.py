@@ -2,9 +2,11 @@
 
 A document is the set of its word n-grams (hashed to 48 bits). Texts with the same set are one node. Two sets of sizes
 a and b with Jaccard similarity of at least ``percent`` differ in at most d = (a + b)(100 - p) / (100 + p) elements.
-A sketch XORs every element into one of d + 1 words of 64 bits: an element that only one of two sets holds flips one
-bit, so the Hamming distance of two sketches is at most the symmetric difference, and of d + 1 words at least one must
-be equal (pigeonhole). Sets are sketched per size band, with d for the largest pair of the band; a set near the lower
+A sketch holds the parity of every element in a bit of its own, in one of d + 3 words; words are so long that they are
+kept as the XOR of the 64-bit codes of their elements. An element that only one of two sets holds flips one bit, so the
+Hamming distance of two sketches is at most the symmetric difference, and at least three words must be equal
+(pigeonhole). Words without elements say little; a set names them only if it has three or more, for otherwise one of
+the three equal words is another. Sets are sketched per size band, with d for the largest pair of the band; a set near the lower
 end of its band is sketched for the band below as well. Joining on (band, word number, word) misses no link.
 
 Sketch words that many sets share are never expanded into pairs. Each shared word has a leader, the node with the most
@@ -38,6 +40,8 @@ from itemloom.llm.words import WordHasher, mix, runs
 BITS = 48
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.5
+#: Words of a sketch beyond those that the pigeonhole needs, so that as many empty ones may go unnamed.
+SPARE = 2
 #: After the first round, groups of up to this many nodes are compared pair by pair.
 FEW = 32
 
@@ -69,6 +73,7 @@ def sketch_keys(grams: np.ndarray, percent: int, limits: list[int]) -> np.ndarra
     """Keys (band, word number, word) of a set in its band and, near the band's lower end, in the one below."""
     n = len(grams)
     band = int(np.searchsorted(limits, n, "right")) - 1
+    codes = mix(grams + np.uint64(1))
     keys = []
     for b in (band, band - 1):
         if b < 0:
@@ -77,14 +82,15 @@ def sketch_keys(grams: np.ndarray, percent: int, limits: list[int]) -> np.ndarra
         above = last * 100 // percent  # largest partner in the next band
         if b < band and n > above:
             continue
-        words = most_apart(last, max(last, above), percent) + 1
+        words = most_apart(last, max(last, above), percent) + 1 + SPARE
         at = (grams * np.uint64(words)) >> np.uint64(BITS)  # grows with the hash, so words are slices
         starts = np.searchsorted(at, np.arange(words, dtype=np.uint64))
-        bits = np.uint64(1) << (mix(grams) & np.uint64(63))
-        value = np.bitwise_xor.reduceat(np.append(bits, np.uint64(0)), starts)
-        value[np.diff(np.append(starts, n)) == 0] = 0
+        empty = np.diff(np.append(starts, n)) == 0
+        value = np.bitwise_xor.reduceat(np.append(codes, np.uint64(0)), starts)
         name = np.arange(words, dtype=np.uint64) + np.uint64((b + 1) << 40)
-        keys.append(mix(value ^ mix(name)))
+        value = np.where(empty, np.uint64(0), value)
+        chosen = slice(None) if empty.sum() > SPARE else ~empty
+        keys.append(mix(value ^ mix(name))[chosen])
     return np.concatenate(keys)
 
 
@@ -222,8 +228,9 @@ def near_duplicates(
     rows = stored(sketched(docs, id_column, text_column, n, percent), "sketches")
     names = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     keyed = rows.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size"))
-    shared = stored(shared.filter("a <> b").select(F.col("key").alias("k"), "size"), "shared")
+    # words of copies only are counted as shared here, and have a single node in the next step
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stored(shared.select(F.col("key").alias("k"), "size"), "shared")
     members = stored(keyed.join(shared, F.col("key") == F.col("k")).groupBy("key", "node").agg(F.max("size").alias("size")), "shared-rows")
     # the node whose words are shared most is the middle of its group: the others differ from it by their own edits only
     weight = stored(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
