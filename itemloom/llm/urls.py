@@ -7,7 +7,7 @@ Witten-Bell weights on two, one and none, in proportion to how many different sy
 context counts not at all. A url's score is the mean over its characters of log p(accepted) - log p(rejected).
 
 Four fifths of the rule-decided urls (by md5 of the url) are counted; the others calibrate the cut, in steps of 0.02,
-where the sum of both error rates is smallest (of equal ones the lowest cut). Counts cover every url. The table of
+where the sum of both error rates is smallest (of equal ones the lowest cut); without held-out urls of both sides the cut is 0. Counts cover every url. The table of
 4-grams has at most 33**4 rows whatever the input, so it may be broadcast.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; an url without characters, and
@@ -93,8 +93,8 @@ def calibrated_cut(scores: DataFrame) -> float:
     step = F.least(F.greatest(F.floor((F.col("score") + SPAN) / STEP), F.lit(0)), F.lit(steps)).alias("step")
     bins = scores.groupBy(step).agg(F.sum((F.col("side") == "allow").cast("int")).alias("yes"), F.sum((F.col("side") == "block").cast("int")).alias("no"))
     below, everything = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    lost = F.coalesce(F.sum("yes").over(below), F.lit(0)) / F.sum("yes").over(everything)
-    passed = 1 - F.coalesce(F.sum("no").over(below), F.lit(0)) / F.sum("no").over(everything)
+    lost = F.try_divide(F.coalesce(F.sum("yes").over(below), F.lit(0)), F.sum("yes").over(everything))
+    passed = 1 - F.try_divide(F.coalesce(F.sum("no").over(below), F.lit(0)), F.sum("no").over(everything))
     best = bins.select("step", F.round(lost + passed, 9).alias("error")).orderBy("error", "step").first()
     return best["step"] * STEP - SPAN if best is not None and best["error"] is not None else 0.0
 
