@@ -136,11 +136,11 @@ def qc5(spark, sf):
     return qc.contract_counts(it)
 
 
-@query("qc6_key_sets", """WITH a AS (SELECT DISTINCT doc_id AS k FROM labels), b AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id%2=0), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k=b.k)
+@query("qc6_key_sets", """WITH a AS (SELECT DISTINCT doc_id AS k FROM labels), b AS (SELECT DISTINCT doc_id AS k FROM documents), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k=b.k)
 SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS common, count(*) FILTER (y IS NULL) AS only_left, count(*) FILTER (x IS NULL) AS only_right,
   count(*) FILTER (x IS NOT NULL AND y IS NOT NULL)=0 AS disjoint, count(*) FILTER (x IS NULL OR y IS NULL)=0 AS equal FROM j""")
 def qc6(spark, sf):
-    docs = table(spark, sf, "documents").filter("doc_id % 2 = 0").select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id")
     return qc.key_set_comparison(table(spark, sf, "labels").select("doc_id"), docs, "doc_id")
 
 
@@ -558,15 +558,17 @@ def cu17(spark, sf):
 MC = f"""{QAF},
 own AS (SELECT img_id, norm, min(answer_text) AS text FROM q GROUP BY 1,2),
 uniq AS (SELECT norm, answer_text AS text, digit, length(answer_text) AS len FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY img_id, k, answer_text) AS rn FROM q) WHERE rn=1),
-same AS (SELECT rowkey, cn, ct FROM (SELECT q.rowkey, o.norm AS cn, o.text AS ct, row_number() OVER (PARTITION BY q.rowkey ORDER BY md5(concat_ws(':','42',q.rowkey,o.norm))) AS rn
-  FROM q JOIN own o ON o.img_id=q.img_id AND o.norm<>q.norm AND NOT contains(q.norm,o.norm) AND NOT contains(o.norm,q.norm)) WHERE rn<=3),
+ring AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY md5(concat_ws(':','42',norm))) - 1 AS pos, count(*) OVER (PARTITION BY img_id) AS n FROM own),
+same AS (SELECT rowkey, cn, ct, rn FROM (SELECT q.rowkey, o.norm AS cn, o.text AS ct, row_number() OVER (PARTITION BY q.rowkey
+  ORDER BY (o.pos - CAST('0x'||substring(md5(concat_ws(':','42',q.rowkey)),1,12) AS BIGINT) % o.n + o.n) % o.n) AS rn
+  FROM q JOIN ring o ON o.img_id=q.img_id AND o.norm<>q.norm AND NOT contains(q.norm,o.norm) AND NOT contains(o.norm,q.norm)) WHERE rn<=3),
 have AS (SELECT rowkey, count(*) AS n FROM same GROUP BY 1),
 near AS (SELECT rowkey, cn, ct FROM (SELECT q.rowkey, u.norm AS cn, u.text AS ct, row_number() OVER (PARTITION BY q.rowkey ORDER BY abs(u.len-length(q.answer_text)), md5(concat_ws(':','42',u.norm))) AS rn
   FROM q JOIN uniq u ON u.digit=q.digit AND u.norm<>q.norm AND NOT contains(q.norm,u.norm) AND NOT contains(u.norm,q.norm)
   WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.rowkey=q.rowkey AND s.cn=u.norm)) WHERE rn<=50),
 other AS (SELECT rowkey, ct, rn FROM (SELECT n.rowkey, n.ct, row_number() OVER (PARTITION BY n.rowkey ORDER BY md5(concat_ws(':','42',n.rowkey,n.cn))) AS rn, coalesce(h.n,0) AS hn FROM near n LEFT JOIN have h USING (rowkey)) WHERE rn<=3-hn),
 wrong AS (SELECT rowkey, ct, row_number() OVER (PARTITION BY rowkey ORDER BY tier, rn) AS i, count(*) OVER (PARTITION BY rowkey) AS total FROM (
-  SELECT rowkey, ct, 1 AS tier, row_number() OVER (PARTITION BY rowkey ORDER BY md5(concat_ws(':','42',rowkey,cn))) AS rn FROM same UNION ALL SELECT rowkey, ct, 2, rn FROM other)),
+  SELECT rowkey, ct, 1 AS tier, rn FROM same UNION ALL SELECT rowkey, ct, 2, rn FROM other)),
 opts AS (SELECT rowkey, 0 AS i, answer_text AS t FROM q WHERE rowkey IN (SELECT rowkey FROM wrong WHERE total=3) UNION ALL SELECT rowkey, i, ct FROM wrong WHERE total=3),
 placed AS (SELECT *, row_number() OVER (PARTITION BY rowkey ORDER BY md5(concat_ws(':','42',rowkey,CAST(i AS VARCHAR)))) AS slot FROM opts),
 mc AS (SELECT concat('qa_',rowkey) AS id, max(t) FILTER (slot=1) AS a, max(t) FILTER (slot=2) AS b, max(t) FILTER (slot=3) AS c, max(t) FILTER (slot=4) AS d,

@@ -394,9 +394,9 @@ def txt22(spark, sf):
 
 # ---- counts, cross tables, summaries ---------------------------------------------------------------------------
 
-@query("ag1_value_counts", "SELECT l.answer, coalesce(n,0) AS n, round(coalesce(n,0)/(SELECT count(*) FROM items WHERE answer<>'c'),6) AS share FROM (VALUES ('a'),('b'),('c'),('d')) l(answer) LEFT JOIN (SELECT answer, count(*) AS n FROM items WHERE answer<>'c' GROUP BY 1) USING (answer)", ("items",))
+@query("ag1_value_counts", "SELECT l.answer, coalesce(n,0) AS n, round(coalesce(n,0)/(SELECT count(*) FROM items ),6) AS share FROM (VALUES ('a'),('b'),('c'),('d')) l(answer) LEFT JOIN (SELECT answer, count(*) AS n FROM items  GROUP BY 1) USING (answer)", ("items",))
 def ag1(spark, sf):
-    return rounded(pf.value_counts(views.items(spark, sf).filter("answer <> 'c'"), "answer", CHOICES))
+    return rounded(pf.value_counts(views.items(spark, sf), "answer", CHOICES))
 
 
 @query("ag2_category_by_split", f"""SELECT question_type, n_train, n_test, n_dev, round(n_train/sum(n_train) OVER ()*100,6) AS pct_train, round(n_test/sum(n_test) OVER ()*100,6) AS pct_test, round(n_dev/sum(n_dev) OVER ()*100,6) AS pct_dev FROM (

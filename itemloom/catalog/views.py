@@ -33,7 +33,7 @@ _VOTES = """SELECT CAST(floor(event_id/5) AS BIGINT) AS item_id, CAST(1+event_id
 FROM {events}"""
 _DOCGROUPS = """SELECT doc_id AS pos, concat('doc_', doc_id) AS id, concat('docs/doc_', doc_id, '.txt') AS path,
   CASE WHEN doc_id % 10 < 5 THEN 'train' WHEN doc_id % 10 < 9 THEN 'test' ELSE 'dev' END AS split,
-  {sha} AS sha, md5(substring(text,1,40)) AS near_key, substring(text,1,60) AS question,
+  {sha} AS sha, md5(lower(regexp_replace(text,'[^a-zA-Z]+','',{all}))) AS near_key, text AS question,
   substring('abcd',CAST(1+doc_id%4 AS INT),1) AS answer FROM {documents}"""
 _EDITS = """SELECT concat('doc_',doc_id) AS id, 'delete' AS action, '' AS field, '' AS before, '' AS after, 1 AS seq FROM {labels} WHERE toxic=1
 UNION ALL SELECT concat('doc_',doc_id),'mark_hard','','','',1 FROM {labels} WHERE toxic=0 AND quality=0
@@ -52,7 +52,7 @@ _SIZES = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus='
 # SQL text of every view; later ones read earlier ones.
 _SQL = {
     **{
-        name: text.format(sha="sha256(text)", **{t: t for t in ("documents", "events", "labels", "items", "conversations", "lineitem")})
+        name: text.format(sha="sha256(text)", all="'g'", **{t: t for t in ("documents", "events", "labels", "items", "conversations", "lineitem")})
         for name, text in (
             ("items", _ITEMS), ("kitems", _KITEMS), ("votes", _VOTES), ("docgroups", _DOCGROUPS), ("edits", _EDITS),
             ("qa", _QA), ("boxes", _BOXES), ("sizes", _SIZES),
@@ -140,7 +140,7 @@ def votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docgroups(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_DOCGROUPS.replace("{sha}", "sha2(text,256)"), documents=_read(spark, sf, "documents"))
+    return spark.sql(_DOCGROUPS.replace("{sha}", "sha2(text,256)").replace("{all}", "1"), documents=_read(spark, sf, "documents"))
 
 
 def edits(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from itemloom import CHOICES
 from itemloom.functions import text as tx
 from itemloom.functions.answers import mirror_letter, same_value
 from itemloom.functions.hashing import seeded_key
-from itemloom.operators.ordering import numeric_bucket, running_sums
+from itemloom.operators.ordering import numeric_bucket, rank_by_key, running_sums
 from itemloom.operators.quality import ContractError
 from itemloom.operators.splitting import shuffled
 from itemloom.session import cut_lineage
@@ -279,45 +279,61 @@ def _picked(pool: Column, used: Column | None, gold: Column, order_key, limit: C
     return F.slice(ordered, 1, limit)
 
 
+def _same_group(rows: DataFrame, group: str, answer: str, seed: int, width: int) -> DataFrame:
+    """Add ``__same``: up to three usable answers of the row's own group.
+
+    The distinct answers of a whole group form one ring in the order of a seeded key; every row starts at a hashed place
+    and takes the first usable ones from there. ``width`` is only how many places are looked at per pass: rows that
+    lack answers walk on, twice as far each time, until they have been around.
+    """
+    own = rows.groupBy(group, "norm").agg(F.min(answer).alias("text"))
+    keyed = own.withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(seed)), "norm")))
+    ring = cut_lineage(rank_by_key(keyed, "__key", "__pos", by=[group]).select(
+        F.col(group).alias("__g"), "__pos", F.col("norm").alias("__cand"), F.col("text").alias("__text")
+    ))
+    sizes = ring.groupBy("__g").agg(F.count("*").alias("__n"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "__row")), 1, 12), 16, 10).cast("long")
+    walking = rows.select("__row", F.col(group).alias("__r"), "norm").join(sizes, F.col("__r") == F.col("__g")).drop("__g")
+    walking = cut_lineage(walking.withColumn("__start", place % F.col("__n")))
+    picks, base = None, 0
+    while True:
+        steps = walking.withColumn("__t", F.explode(F.sequence(F.lit(base).cast("long"), F.least(F.col("__n"), F.lit(base + width)) - 1)))
+        at = (F.col("__start") + F.col("__t")) % F.col("__n") + 1
+        hits = steps.withColumn("__at", at).join(ring, (F.col("__r") == F.col("__g")) & (F.col("__at") == F.col("__pos")))
+        first = F.row_number().over(Window.partitionBy("__row").orderBy("__t"))
+        new = hits.filter(_usable(F.col("__cand"), F.col("norm"))).withColumn("__i", first).filter("__i <= 3")
+        new = cut_lineage(new.select("__row", "__t", "__cand", "__text"))
+        picks = new if picks is None else picks.unionByName(new)
+        base += width
+        width *= 2
+        enough = picks.groupBy("__row").count().filter("count >= 3")
+        walking = cut_lineage(walking.filter(F.col("__n") > base).join(enough, "__row", "left_anti"))
+        if walking.isEmpty():
+            break
+    # at most three per pass and row
+    taken = picks.groupBy(F.col("__row").alias("__p")).agg(
+        F.slice(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("o"), F.col("__cand").alias("norm"), F.col("__text").alias("text")))), 1, 3).alias("__same")
+    )
+    none = F.array().cast("array<struct<o:bigint,norm:string,text:string>>")
+    return rows.join(taken, F.col("__row") == F.col("__p"), "left").drop("__p").withColumn("__same", F.coalesce("__same", none))
+
+
 def _with_distractors(
-    qa: DataFrame, seed: int = 42, near: int = 50, pool_size: int = 128, max_answer_chars: int = 40,
+    qa: DataFrame, seed: int = 42, near: int = 50, pool_size: int = 128,
     group: str = "img_id", k: str = "k", answer: str = "answer_text",
 ) -> DataFrame:
     """Filtered free-form rows with chosen same-group (``__same``) and nearest (``__other``) distractors.
 
-    Each row looks at a bounded pool; rows a pool could not serve are matched against everything, so no group is
-    paired with itself.
+    ``pool_size`` is how much is looked at per pass. It changes the work and not the result: rows that a pass could not
+    serve look further, so no group is paired with itself.
     """
-    bounded = qa.filter(F.length(answer) <= max_answer_chars)
-    rows = bounded.withColumn("__row", F.concat_ws("_", F.col(group), F.col(k).cast("string")))
+    rows = qa.withColumn("__row", F.concat_ws("_", F.col(group), F.col(k).cast("string")))
 
     def key_of(row: Column):
         return lambda norm: F.md5(F.concat_ws(":", F.lit(str(seed)), row, norm))
 
-    gold, row = F.col("norm"), F.col("__row")
-    # --- same group: distinct answers dealt into buckets of about pool_size, rows drawn to one of them
-    own = rows.groupBy(group, "norm").agg(F.min(answer).alias("text"))
-    counts = own.groupBy(group).agg(F.count("*").alias("__n"), F.ceil(F.count("*") / pool_size).alias("__b"))
-    def bucket(c):
-        return F.pmod(F.xxhash64(c), F.col("__b"))
-    pools = own.join(counts, group).groupBy(group, bucket(F.col("norm")).alias("__bucket")).agg(
-        F.collect_list(F.struct("norm", "text")).alias("__pool")
-    )
-    placed = rows.join(counts, group).withColumn("__bucket", bucket(row)).join(pools, [group, "__bucket"], "left")
-    empty = F.array().cast("array<struct<norm:string,text:string>>")
-    first = placed.withColumn("__same", _picked(F.coalesce("__pool", empty), None, gold, key_of(row), 3)).drop("__pool", "__bucket")
-    first = cut_lineage(first)
-    short = first.filter((F.size("__same") < 3) & (F.col("__b") > 1))
-    if not short.isEmpty():
-        # a bucket did not serve these: look at the whole group once per distinct gold answer
-        wanted = short.select(group, F.col("norm").alias("__g")).distinct()
-        found = wanted.join(own, group).filter(_usable(F.col("norm"), F.col("__g")))
-        ranked = found.withColumn("__o", F.md5(F.concat_ws(":", F.lit(str(seed)), "__g", "norm")))
-        top = ranked.withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__g").orderBy("__o"))).filter("__rn <= 3")
-        full = top.groupBy(group, "__g").agg(F.collect_list(F.struct(F.col("__o").alias("o"), "norm", "text")).alias("__full"))
-        first = first.join(full.withColumnRenamed("__g", "norm"), [group, "norm"], "left").withColumn(
-            "__same", F.when((F.size("__same") < 3) & (F.col("__b") > 1), F.coalesce("__full", "__same")).otherwise(F.col("__same"))
-        ).drop("__full")
+    gold = F.col("norm")
+    first = cut_lineage(_same_group(rows, group, answer, seed, min(8, pool_size)))
     # --- other groups: per digit class and length, the first answers at each distance
     order = F.struct(F.col(group), F.col(k), F.col(answer))
     uniq = rows.groupBy("norm").agg(F.min(order).alias("__first")).select(
@@ -335,13 +351,13 @@ def _with_distractors(
     ).agg(F.array_sort(F.collect_list(F.struct("__i", "norm", "text"))).alias("__near"))
     sizes = lengths.groupBy("__digit").agg(F.sum("__c").alias("__class"))
     tagged = first.withColumns({"__digit": tx.has_digit(F.col(answer)), "__target": F.length(answer)})
-    # at most 2 * max_answer_chars pools of pool_size short texts, and two class sizes: bounded by the parameters
-    with_pool = tagged.join(F.broadcast(pool), ["__digit", "__target"], "left").join(F.broadcast(sizes), "__digit", "left")
+    # two class sizes; the pools are as many as there are answer lengths and are joined
+    with_pool = tagged.join(pool, ["__digit", "__target"], "left").join(F.broadcast(sizes), "__digit", "left")
     used = F.transform("__same", lambda c: c["norm"])
     near_pool = F.coalesce(F.col("__near"), F.array().cast("array<struct<__i:int,norm:string,text:string>>"))
     usable = F.size(F.filter(near_pool, lambda c: _usable(c["norm"], gold) & ~F.array_contains(used, c["norm"])))
     with_pool = with_pool.withColumns({
-        "__other": _picked(near_pool, used, gold, key_of(row), 3 - F.size("__same"), near),
+        "__other": _picked(near_pool, used, gold, key_of(F.col("__row")), 3 - F.size("__same"), near),
         "__seen": usable,
     }).drop("__near")
     with_pool = cut_lineage(with_pool)
@@ -352,7 +368,7 @@ def _with_distractors(
         # the pool held too few usable answers: rank the whole class once per distinct gold answer; two more than
         # needed, because up to two of them may already be used by the row
         golds = starved.select(F.col("norm").alias("__g"), "__digit", "__target").distinct()
-        spread = golds.withColumn("__len", F.explode(F.sequence(F.lit(1), F.lit(max_answer_chars))))
+        spread = golds.join(lengths.select("__digit", "__len"), "__digit")
         found = spread.join(uniq, ["__digit", "__len"]).filter(_usable(F.col("norm"), F.col("__g")))
         close = Window.partitionBy("__g", "__digit", "__target").orderBy(F.abs(F.col("__len") - F.col("__target")), "__h")
         best = found.withColumn("__i", F.row_number().over(close)).filter(F.col("__i") <= near + 2).groupBy(
