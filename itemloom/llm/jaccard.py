@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.graph import components, extended
-from itemloom.llm.store import shielded, stored, without
+from itemloom.llm.store import light, shielded, stored, without
 from itemloom.llm.words import WordHasher, mix, runs
 
 #: Bits of an n-gram hash. Two sets of 1,000 hold a false match with a chance of 4e-9.
@@ -242,7 +242,7 @@ def near_duplicates(
         .select(F.col("r.id").alias("r_id"), F.col("r.text_key").alias("r_key"))
     )
     same = F.col(id_column).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_column) == F.col("r_key"))
-    texts = docs.select(id_column, text_column).join(stored(chosen, "chosen"), same, "left_semi")
+    texts = docs.select(id_column, text_column).join(light(stored(chosen, "chosen")), same, "left_semi")
     sets = stored(node_sets(texts, id_column, text_column, n).dropDuplicates(["node"]), "sets")
     found = stored(first_pairs(pairs, sets, percent), "compared")
     diffs = found.select(F.col("leader").alias("center"), "node", "b", "diff")

@@ -32,10 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SMALL_LIST = 500_000
 
 
+def light(rows: DataFrame) -> DataFrame:
+    """A stored list of ids and hashes, to be broadcast only when it is counted to be small."""
+    return F.broadcast(rows) if rows.limit(SMALL_LIST + 1).count() <= SMALL_LIST else rows
+
+
 def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
-    """Rows of ``docs`` that match no row of a stored list; the list is broadcast only when it is counted to be small."""
-    small = gone.limit(SMALL_LIST + 1).count() <= SMALL_LIST
-    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    """Rows of ``docs`` that match no row of a stored list."""
+    return docs.join(light(gone), same, "left_anti")
 
 
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
