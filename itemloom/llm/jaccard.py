@@ -2,11 +2,11 @@
 
 A document is the set of its word n-grams (hashed to 48 bits). Texts with the same set are one node. Two sets of sizes
 a and b with Jaccard similarity of at least ``percent`` differ in at most d = (a + b)(100 - p) / (100 + p) elements.
-A sketch holds the parity of every element in a bit of its own, in one of d + 3 words; words are so long that they are
+A sketch holds the parity of every element in a bit of its own, in one of d + 1 + s words; words are so long that they are
 kept as the XOR of the 64-bit codes of their elements. An element that only one of two sets holds flips one bit, so the
-Hamming distance of two sketches is at most the symmetric difference, and at least three words must be equal
-(pigeonhole). Words without elements say little; a set names them only if it has three or more, for otherwise one of
-the three equal words is another. Sets are sketched per size band, with d for the largest pair of the band; a set near the lower
+Hamming distance of two sketches is at most the symmetric difference, and at least s + 1 words must be equal
+(pigeonhole). Words without elements say little; a set names them only if it has more than s, for otherwise one of
+the s + 1 equal words is another. The spare number s follows from the band. Sets are sketched per size band, with d for the largest pair of the band; a set near the lower
 end of its band is sketched for the band below as well. Joining on (band, word number, word) misses no link.
 
 Sketch words that many sets share are never expanded into pairs. Each shared word has a leader, the node with the most
@@ -25,6 +25,7 @@ such rows alone is null; repeated rows are one node; an empty table gives no row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from itemloom.llm.words import WordHasher, mix, runs
 BITS = 48
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.5
-#: Words of a sketch beyond those that the pigeonhole needs, so that as many empty ones may go unnamed.
+#: Least number of words beyond those that the pigeonhole needs, so that as many empty ones may go unnamed.
 SPARE = 2
 #: After the first round, groups of up to this many nodes are compared pair by pair.
 FEW = 32
@@ -82,14 +83,16 @@ def sketch_keys(grams: np.ndarray, percent: int, limits: list[int]) -> np.ndarra
         above = last * 100 // percent  # largest partner in the next band
         if b < band and n > above:
             continue
-        words = most_apart(last, max(last, above), percent) + 1 + SPARE
+        words = most_apart(last, max(last, above), percent) + 1
+        spare = SPARE + int(3 * words * math.exp(-limits[b] / words))  # about as many are empty in the smallest sets
+        words += spare
         at = (grams * np.uint64(words)) >> np.uint64(BITS)  # grows with the hash, so words are slices
         starts = np.searchsorted(at, np.arange(words, dtype=np.uint64))
         empty = np.diff(np.append(starts, n)) == 0
         value = np.bitwise_xor.reduceat(np.append(codes, np.uint64(0)), starts)
         name = np.arange(words, dtype=np.uint64) + np.uint64((b + 1) << 40)
         value = np.where(empty, np.uint64(0), value)
-        chosen = slice(None) if empty.sum() > SPARE else ~empty
+        chosen = slice(None) if empty.sum() > spare else ~empty
         keys.append(mix(value ^ mix(name))[chosen])
     return np.concatenate(keys)
 
