@@ -148,3 +148,22 @@ def test_passages_are_found_and_the_rest_is_left_alone(spark, odd_docs, no_docs)
     odd = passages.repeated_passages(odd_docs).collect()
     assert {r["doc_id"] for r in odd} == {1, 2, 3, 8, None}
     assert passages.repeated_passages(no_docs).count() == 0
+
+
+def test_near_passages_about_a_common_phrase_are_all_found(spark):
+    """Edits within 27 words on both sides of a phrase that unrelated texts share, too."""
+    rnd = random.Random(12)
+    word = lambda: f"t{rnd.randrange(10**6)}"
+    fill = lambda n: [word() for _ in range(n)]
+    hot = fill(45)
+    texts = {}
+    doc = lambda middle: fill(rnd.randrange(40, 120)) + middle + fill(rnd.randrange(40, 120))
+    for i in range(100):
+        left, right = fill(30), fill(30)
+        left2, right2 = list(left), list(right)
+        left2[29 - rnd.randrange(4)], right2[rnd.randrange(4)], right2[rnd.randrange(10, 20)] = word(), word(), word()
+        texts[2 * i], texts[2 * i + 1] = doc(left + hot + right), doc(left2 + hot + right2)
+    for i in range(200):
+        texts[1000 + i] = doc(hot)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"] for r in passages.repeated_passages(docs).collect()} == set(range(200))
