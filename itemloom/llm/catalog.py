@@ -169,8 +169,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_quality_classifier")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
-    return resample.resampled(table(spark, sf_dir, "documents"), trusted)
+    labels = table(spark, sf_dir, "labels")
+    trusted, rejected = labels.filter("quality = 1 AND toxic = 0").select("doc_id"), labels.filter("quality = 0 OR toxic = 1").select("doc_id")
+    return resample.resampled(table(spark, sf_dir, "documents"), trusted, rejected=rejected)
 
 
 def _transcripts(conversations: DataFrame) -> DataFrame:

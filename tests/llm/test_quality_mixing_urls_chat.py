@@ -116,6 +116,21 @@ def test_resampling_follows_the_weights(spark, odd_docs, no_docs):
     assert resample.resampled(no_docs, trusted).count() == 0
 
 
+def test_good_texts_with_a_few_bad_words_fall(spark):
+    rnd = random.Random(7)
+    prose = lambda: [f"fine{rnd.randrange(300)}" for _ in range(rnd.randrange(60, 200))]
+    rows = []
+    for i in range(600):
+        words = prose()
+        if i % 6 == 0:
+            words[rnd.randrange(len(words))] = f"slur{i // 6 % 3}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.filter("doc_id < 300").select("doc_id")
+    got = resample.resampled(docs, labels.filter("doc_id % 6 <> 0"), share=1.0, rejected=labels.filter("doc_id % 6 = 0")).toPandas()
+    assert not got[got["doc_id"] % 6 == 0]["kept"].any() and got[got["doc_id"] % 6 != 0]["kept"].all()
+
+
 def test_kth_largest_is_exact(spark):
     rnd = random.Random(3)
     values = [rnd.choice([0.0, 1e-12, 5.0, rnd.gauss(0, 1e6), rnd.random()]) for _ in range(999)]
