@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import bpe, chat, exact, jaccard, mixing, passages, quality_rules, resample, shards, urls
+from itemloom.llm import audit, bpe, chat, exact, jaccard, lines, mixing, passages, quality_rules, resample, shards, spelling, urls
 from itemloom.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,71 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_BITS = "ABCDE"
+_ORDERED = " AND ".join(f"{a}.letter <> {b}.letter" for i, a in enumerate("pqrst") for b in "pqrst"[:i])
+_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN low < doc_id THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+b(letter, bit) AS (VALUES {", ".join(f"('{x}', {1 << i})" for i, x in enumerate(_BITS))}),
+o AS (SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order FROM b p, b q, b r, b s, b t WHERE {_ORDERED}),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter FROM o, (VALUES (1), (2), (3), (4), (5)) v(step)),
+e AS (SELECT s.filter_order, s.step, s.letter, any_value(own.bit) AS bit, coalesce(sum(b.bit) FILTER (instr(s.filter_order, b.letter) < s.step), 0) AS before
+  FROM s JOIN b own ON own.letter = s.letter JOIN b ON true GROUP BY 1, 2, 3),
+g AS (SELECT part, filter_order, step, letter,
+  sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c CROSS JOIN (SELECT filter_order, step, letter, CAST(bit AS BIGINT) AS bit, CAST(before AS BIGINT) AS before FROM e) e GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g"""
+
+
+@query("op11_filter_audit", _AUDIT)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Near words share what is left of them without the letter at one place, or one is what is left of the other.
+_SPELLING = _CRC + """,
+a AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+q AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM a WHERE length(run) >= 7 GROUP BY 1, 2),
+c AS (SELECT run, n, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+  lambda c, x: xor(c >> 8, rest[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS crc FROM q, t),
+k AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, CAST(crc % length(run) AS INTEGER)) || substr(run, CAST(crc % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM c),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+y AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, x.word, x.n FROM v JOIN x ON v.word = x.less UNION SELECT x.word, v.word, v.n FROM v JOIN x ON v.word = x.less),
+z AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM y),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN z ON z.word = v.word AND z.place = 1),
+g(word, step, last) AS (SELECT word, 0, word FROM f UNION ALL SELECT g.word, g.step + 1, f.form FROM g JOIN f ON f.word = g.last WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(last, step) AS root FROM g GROUP BY 1)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, f.form_n, e.root FROM f JOIN e ON e.word = f.word"""
+
+
+@query("op12_spelling_variants", _SPELLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, sf_dir, "documents"), changed=spelling.lost_letter)
+    return spelling.grouped(words.filter("n >= 2"), times=10)
+
+
+@query("op13_line_dedup", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS place FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key AS lost, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+s AS (SELECT k.*, lost IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN g ON key = lost)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM s GROUP BY r, doc_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.deduped(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
