@@ -84,7 +84,7 @@ def _prompt_sql():
     hints = "CASE " + TYPE2 + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.PROMPT_HINTS.items()) + " END"
     ocr_text = "CASE WHEN pos%2=0 THEN " + WS.format(c="txt") + " ELSE '' END"
     return f"""SELECT id, concat('{pm.QUESTION_LEAD}', {WS.format(c='question')}, '\n\n{pm.HINT_TITLE}\n- ', {hints},
-      CASE WHEN {ocr_text}<>'' THEN concat('\n\n{pm.OCR_TITLE}\n', substring({ocr_text},1,600)) ELSE '' END,
+      CASE WHEN {ocr_text}<>'' THEN concat('\n\n{pm.OCR_TITLE}\n', {ocr_text}) ELSE '' END,
       '\n\n(a) ',a,'\n(b) ',b,'\n(c) ',c,'\n(d) ',d,'\n\n{pm.INSTRUCTION}') AS prompt FROM (SELECT k.*, text AS txt FROM kitems k JOIN documents ON doc_id=pos)"""
 
 
@@ -185,12 +185,12 @@ def qc8(spark, sf):
 
 KEY = "lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 QAF = f"""q AS (SELECT *, {KEY.format(c='answer_text')} AS norm, concat(img_id,'_',k) AS rowkey, regexp_matches(answer_text,'[0-9]') AS digit FROM qa
-  WHERE length(question)>0 AND length(answer_text)>0 AND length(answer_text)<=40 AND length({KEY.format(c='answer_text')})>0)"""
+  WHERE length(question)>0 AND length(answer_text)>0 AND length(answer_text)<=1200 AND length({KEY.format(c='answer_text')})>0)"""
 
 
 @query("qc9_free_form_filter", f"WITH {QAF} SELECT img_id, k, norm FROM q", ("qa",))
 def qc9(spark, sf):
-    return qc.free_form_filter(views.qa(spark, sf)).select("img_id", "k", "norm")
+    return qc.free_form_filter(views.qa(spark, sf), 1200).select("img_id", "k", "norm")
 
 
 @query("qc13_metric_completeness", "SELECT * FROM (VALUES ('quality'),('toxic')) c(\"column\") JOIN LATERAL (SELECT count(*) FILTER (l.doc_id IS NULL) AS missing FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id) ON TRUE")
@@ -223,19 +223,22 @@ def jn2_links(spark, sf):
     return dd.cross_split_links(views.docgroups(spark, sf), "sha", "split", "train", "test", columns=["path", "question"])
 
 
-HAM = """SELECT concat(l.split,'-',r.split) AS scope, bit_count(xor(l.phash,r.phash))::INT AS hamming_distance, l.id AS left_id, r.id AS right_id, abs(l.brightness-r.brightness) AS brightness_difference, l.pos AS lp, r.pos AS rp
-  FROM hashes l JOIN hashes r ON l.sha<>r.sha AND ((l.split=r.split AND l.pos<r.pos) OR (l.split='train' AND r.split='test')) WHERE bit_count(xor(l.phash,r.phash))<={t}"""
+# Equal texts of a split are one entry, standing at their first row.
+HAM = """e AS (SELECT split, phash, sha, min(pos) AS pos, arg_min(id, pos) AS id, any_value(brightness) AS brightness, count(*) AS copies FROM hashes GROUP BY 1, 2, 3),
+p AS (SELECT concat(l.split,'-',r.split) AS scope, bit_count(xor(l.phash,r.phash))::INT AS hamming_distance, l.id AS left_id, r.id AS right_id, abs(l.brightness-r.brightness) AS brightness_difference,
+  l.copies AS left_copies, r.copies AS right_copies, l.pos AS lp, r.pos AS rp
+  FROM e l JOIN e r ON l.sha<>r.sha AND ((l.split=r.split AND l.pos<r.pos) OR (l.split='train' AND r.split='test')) WHERE bit_count(xor(l.phash,r.phash))<=6)"""
 
 
-@query("jn3_hamming_pairs", f"WITH p AS ({HAM.format(t=16)}) SELECT scope, hamming_distance, left_id, right_id, brightness_difference FROM p ORDER BY hamming_distance, scope, lp, rp LIMIT 1000", ("hashes",))
+@query("jn3_hamming_pairs", f"WITH {HAM} SELECT scope, hamming_distance, left_id, right_id, left_copies, right_copies, brightness_difference FROM p ORDER BY hamming_distance, scope, lp, rp LIMIT 1000", ("hashes",))
 def jn3(spark, sf):
-    near = dd.similar_pairs(views.hashes(spark, sf), "phash", "sha", "split", "train", "test", threshold=16, bits=60, columns=["id", "brightness"])
-    return near.select("scope", "hamming_distance", "left_id", "right_id", F.abs(F.col("left_brightness") - F.col("right_brightness")).alias("brightness_difference"))
+    near = dd.similar_pairs(views.hashes(spark, sf), "phash", "sha", "split", "train", "test", columns=["id", "brightness"])
+    return near.select("scope", "hamming_distance", "left_id", "right_id", "left_copies", "right_copies", F.abs(F.col("left_brightness") - F.col("right_brightness")).alias("brightness_difference"))
 
 
-@query("so1_multi_key_top", f"WITH p AS ({HAM.format(t=18)}) SELECT scope, hamming_distance, left_id, right_id FROM p ORDER BY hamming_distance, scope, lp, rp LIMIT 40", ("hashes",))
+@query("so1_multi_key_top", f"WITH {HAM} SELECT scope, hamming_distance, left_id, right_id FROM p ORDER BY hamming_distance, scope, lp, rp LIMIT 40", ("hashes",))
 def so1(spark, sf):
-    near = dd.similar_pairs(views.hashes(spark, sf), "phash", "sha", "split", "train", "test", threshold=18, keep=40, bits=60, columns=["id"])
+    near = dd.similar_pairs(views.hashes(spark, sf), "phash", "sha", "split", "train", "test", keep=40, columns=["id"])
     return near.select("scope", "hamming_distance", "left_id", "right_id")
 
 
@@ -306,11 +309,12 @@ def jn12(spark, sf):
     )
 
 
-@query("st1_union_parts", "SELECT id, 'train' AS part FROM items WHERE split='train' UNION ALL SELECT id, 'dev' FROM items WHERE split='dev' UNION ALL SELECT concat(id,'__rev'), 'copy' FROM items WHERE split='dev'", ("items",))
+@query("st1_union_parts", "SELECT id, split AS part FROM items UNION ALL SELECT concat(id,'__rev'), 'copy' FROM items WHERE split='dev'", ("items",))
 def st1(spark, sf):
     it = views.items(spark, sf).select("id", "split")
-    parts = it.filter("split = 'train'"), it.filter("split = 'dev'"), it.filter("split = 'dev'").select(F.concat("id", F.lit("__rev")).alias("id"), F.lit("copy").alias("split"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", F.col("split").alias("part"))
+    parts = [it.filter(F.col("split") == s) for s in ("train", "test", "dev")]
+    copies = parts[2].select(F.concat("id", F.lit("__rev")).alias("id"), F.lit("copy").alias("split"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(copies).select("id", F.col("split").alias("part"))
 
 
 @query("st2_distinct_first", "SELECT pos, near_key, id FROM (SELECT *, row_number() OVER (PARTITION BY near_key ORDER BY pos) AS rn FROM docgroups) WHERE rn=1", ("docgroups",))
@@ -450,12 +454,16 @@ def so4(spark, sf):
 
 # ---- curation -----------------------------------------------------------------------------------------------------
 
-@query("cu1_edit_log_problems", """WITH del AS (SELECT DISTINCT id FROM edits WHERE action='delete'), hard AS (SELECT DISTINCT id FROM edits WHERE action='mark_hard'), dl AS (SELECT id FROM del WHERE CAST(substring(id,5) AS BIGINT)%2=0)
-SELECT 0::BIGINT AS unknown_actions, 0::BIGINT AS bad_fields, (SELECT count(*) FROM del JOIN hard USING (id)) AS delete_and_hard, (SELECT count(*) FROM del) - (SELECT count(*) FROM dl) AS delete_mismatch, 0::BIGINT AS hard_mismatch""", ("edits",))
+@query("cu1_edit_log_problems", """WITH odd AS (SELECT action, field FROM edits UNION ALL SELECT concat(source, '?'), '' FROM items WHERE pos%9=0 UNION ALL SELECT 'edit_option', concat('e', lang) FROM items WHERE pos%11=0),
+del AS (SELECT DISTINCT id FROM edits WHERE action='delete'), hard AS (SELECT DISTINCT id FROM edits WHERE action='mark_hard'), dl AS (SELECT DISTINCT concat('doc_', doc_id) AS id FROM labels WHERE quality=0)
+SELECT (SELECT count(*) FROM odd WHERE action NOT IN ('delete','mark_hard','edit_option')) AS unknown_actions, (SELECT count(*) FROM odd WHERE action='edit_option' AND field NOT IN ('a','b','c','d')) AS bad_fields, (SELECT count(*) FROM (SELECT id FROM del UNION SELECT id FROM dl) JOIN hard USING (id)) AS delete_and_hard,
+(SELECT count(*) FROM del FULL JOIN dl ON dl.id=del.id WHERE del.id IS NULL OR dl.id IS NULL) AS delete_mismatch, 0::BIGINT AS hard_mismatch""", ("edits", "items"))
 def cu1(spark, sf):
-    e = views.edits(spark, sf)
-    deletes = e.filter("action = 'delete' AND CAST(substring(id, 5) AS BIGINT) % 2 = 0").select("id")
-    return cu.edit_log_problems(e, deletes)
+    it = views.items(spark, sf)
+    odd = it.filter("pos % 9 = 0").selectExpr("id", "concat(source, '?') AS action", "'' AS field", "'' AS before", "'' AS after", "1 AS seq").unionByName(
+        it.filter("pos % 11 = 0").selectExpr("id", "'edit_option' AS action", "concat('e', lang) AS field", "'' AS before", "'' AS after", "1 AS seq"))
+    deletes = table(spark, sf, "labels").filter("quality = 0").select(F.concat(F.lit("doc_"), "doc_id").alias("id"))
+    return cu.edit_log_problems(views.edits(spark, sf).unionByName(odd), deletes)
 
 
 @query("cu2_same_value", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, x, y, (x=y OR coalesce(TRY_CAST(x AS DOUBLE)=TRY_CAST(y AS DOUBLE),FALSE)) AS same FROM (SELECT *, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS x, CASE l_linenumber%3 WHEN 0 THEN concat(CAST(l_quantity AS INT),'.0') WHEN 1 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS y FROM lineitem)")
@@ -576,7 +584,7 @@ mc AS (SELECT concat('qa_',rowkey) AS id, max(t) FILTER (slot=1) AS a, max(t) FI
 
 
 def converted(spark, sf):
-    return cu.free_form_to_choices(qc.free_form_filter(views.qa(spark, sf)))
+    return cu.free_form_to_choices(qc.free_form_filter(views.qa(spark, sf), 1200))
 
 
 @query("cu9_free_form_to_choices", f"WITH {MC} SELECT * FROM mc", ("qa",))
@@ -591,7 +599,7 @@ def cu10(spark, sf):
 
 @query("wn4_nearest_candidates", f"WITH {MC} SELECT img_id, k, coalesce(h.n,0) AS same_group, (SELECT count(*) FROM near WHERE near.rowkey=q.rowkey) AS nearest FROM q LEFT JOIN have h USING (rowkey)", ("qa",))
 def wn4(spark, sf):
-    return cu.distractor_pools(qc.free_form_filter(views.qa(spark, sf)))
+    return cu.distractor_pools(qc.free_form_filter(views.qa(spark, sf), 1200))
 
 
 AUGS = ["compression", "affine"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from itemloom.catalog import views
@@ -156,11 +157,6 @@ def qc4(spark, sf):
     return qc.file_inventory(docs.filter("doc_id % 7 <> 0"), found).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("src3_file_listing")
-def src3(spark, sf):
-    return rd.read_files(spark, sf, "*.parquet", content=False).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
-
-
 # ---- embeddings ---------------------------------------------------------------------------------------------------
 
 def split_embeddings(spark, sf):
@@ -174,24 +170,27 @@ def em1(spark, sf):
     return long.select("id", F.col("dim").cast("long").alias("dim"), r6("x").alias("x"))
 
 
-class _ByteHistogram:
-    """A deterministic stand-in for an embedder: hashed letter counts of the text."""
+class LabelSimilarity:
+    """An embedder made from the data: similarities to the labels' mean vectors."""
 
-    def __call__(self, batch):
-        import numpy as np
+    def __init__(self, means):
+        self.means = means
 
-        out = np.zeros((len(batch), 16))
-        for row, text in enumerate(batch["text"]):
-            counts = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8) % 16, minlength=16)
-            out[row] = counts
-        return out
+    def __call__(self, batch):
+        return np.stack(batch["embedding"].to_numpy()).astype(float) @ self.means.T
 
 
-@query("em2_embed_plug_in", "WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)),'..'), lambda x: CAST(('0x'||x) AS INT)%16) AS b FROM documents), c AS (SELECT doc_id, dim, len(list_filter(b, lambda x: x=dim)) AS n FROM b, range(16) t(dim)) SELECT doc_id, dim, round(n/sqrt(sum(n*n) OVER (PARTITION BY doc_id)),6) AS x FROM c")
+@query("em2_embed_plug_in", """WITH ce AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1,65)) AS i FROM embeddings) GROUP BY 1,2) GROUP BY 1),
+x AS (SELECT vec_id AS id, row_number() OVER (PARTITION BY vec_id ORDER BY ce.label) - 1 AS dim, list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), m) AS x FROM embeddings, ce)
+SELECT id, dim, round(x/sqrt(sum(x*x) OVER (PARTITION BY id)),6)+0.0 AS x FROM x""")
 def em2(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    long = em.embed(docs, _ByteHistogram, "doc_id long").select("doc_id", F.posexplode("embedding").alias("dim", "x"))
-    return long.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+    emb = table(spark, sf, "embeddings")
+    means = {r["split"]: r["total"] for r in em.moment_sums(emb, "embedding", "label").orderBy(F.col("split").cast("int")).collect()}  # one vector a label
+    sizes = {str(r["label"]): r["n"] for r in emb.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    centroids = np.array([np.array(total) / sizes[label] for label, total in means.items()])
+    vectors = em.embed(emb.select(F.col("vec_id").alias("id"), "embedding"), lambda: LabelSimilarity(centroids), "id long")
+    long = vectors.select("id", F.posexplode("embedding").alias("dim", "x"))
+    return long.select("id", F.col("dim").cast("long").alias("dim"), r6("x").alias("x"))
 
 
 def projected(spark, sf):
@@ -200,11 +199,25 @@ def projected(spark, sf):
     return projection, projection.apply(df)
 
 
+# covariances of all dimensions in each split
+COV = """l AS (SELECT CASE WHEN vec_id%2=0 THEN 'train' ELSE 'test' END AS split, i, j, CAST(embedding[i+1] AS DOUBLE) AS x, CAST(embedding[j+1] AS DOUBLE) AS y FROM embeddings, range(64) a(i), range(64) b(j))"""
+
+
+@query("em3_covariance", f"WITH {COV} SELECT split, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(x,y),6)+0.0 AS covariance FROM l GROUP BY 1,2,3")
+def em3_covariance(spark, sf):
+    return rounded(em.covariance_table(split_embeddings(spark, sf), "split", "embedding"))
+
+
 @query("em3_explained_variance")
 def em3(spark, sf):
     return rounded(em.explained_variance(projected(spark, sf)[0], spark))
 
 
+@query("em3_effective_dimension", f"WITH {COV}, c AS (SELECT i, j, covar_samp(x,y) AS c FROM l GROUP BY 1,2) SELECT round(pow(sum(c) FILTER (i=j),2)/sum(c*c),6) AS effective_dimension FROM c")
+def em3_dimension(spark, sf):
+    return rounded(em.effective_dimension(projected(spark, sf)[0], spark))
+
+
 @query("em4_centroid_distance", """WITH l AS (SELECT vec_id%2 AS s, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings) GROUP BY 1,2), w AS (SELECT i, max(m) FILTER (s=0) AS a, max(m) FILTER (s=1) AS b FROM l GROUP BY 1)
 SELECT round(sqrt(sum((a-b)**2)),6) AS centroid_distance, round(sum(a*b)/(sqrt(sum(a*a))*sqrt(sum(b*b))),6)+0.0 AS centroid_cosine FROM w""")
 def em4(spark, sf):
@@ -223,6 +236,27 @@ def em5(spark, sf):
     return rounded(em.frechet_distance(projected(spark, sf)[1], "split", "train", "test", "projected"))
 
 
+@query("em5_moment_terms", """WITH l AS (SELECT vec_id%2 AS s, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1,65)) AS i FROM embeddings)),
+w AS (SELECT i, avg(x) FILTER (s=0) AS a, avg(x) FILTER (s=1) AS b, var_samp(x) FILTER (s=0) AS va, var_samp(x) FILTER (s=1) AS vb FROM l GROUP BY 1)
+SELECT round(sum((a-b)**2),6) AS mean_gap_squared, round(sum(va),6) AS variance_left, round(sum(vb),6) AS variance_right FROM w""")
+def em5_terms(spark, sf):
+    return rounded(em.frechet_terms(projected(spark, sf)[1], "split", "train", "test", "projected").drop("frechet_distance"))
+
+
+FEATURES = 512
+_U = "(CAST(('0x'||substring(md5(concat('42:',k,':',i,':{0}')),1,12)) AS BIGINT)+1)/281474976710657.0"
+RFF = f"""e AS (SELECT vec_id%2 AS s, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+b AS (SELECT 2*sum(x) AS b FROM (SELECT var_samp(x) AS x FROM (SELECT unnest(v) AS x, unnest(range(64)) AS i FROM e) GROUP BY i)),
+w AS (SELECT k, list(sqrt(-2*ln({_U.format('r')}))*cos(2*pi()*{_U.format('t')})/sqrt((SELECT b FROM b)) ORDER BY i) AS w FROM range({FEATURES}) f(k), range(64) d(i) GROUP BY k),
+m AS (SELECT k, s, avg(cos(a)) AS c, avg(sin(a)) AS n FROM (SELECT k, s, list_dot_product(v, w) AS a FROM e, w) GROUP BY 1,2),
+g AS (SELECT k, (max(c) FILTER (s=0)-max(c) FILTER (s=1))**2+(max(n) FILTER (s=0)-max(n) FILTER (s=1))**2 AS x FROM m GROUP BY 1)"""
+
+
+@query("em6_kernel_distance", f"WITH {RFF} SELECT round(avg(x),6)+0.0 AS mmd_squared, round(stddev_samp(x)/sqrt(count(*)),6)+0.0 AS standard_error, round((SELECT b FROM b),6) AS bandwidth FROM g")
+def em6(spark, sf):
+    return rounded(em.kernel_distance(split_embeddings(spark, sf), "split", "train", "test", "embedding", features=FEATURES))
+
+
 MMD = """e AS (SELECT vec_id AS id, CASE WHEN vec_id%2=0 THEN 'train' ELSE 'test' END AS s, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 k AS (SELECT least(1000, min(n)) AS n FROM (SELECT count(*) AS n FROM e GROUP BY s)),
 smp AS (SELECT id, s, v FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(concat('42:',id))) AS r FROM e) WHERE r<=(SELECT n FROM k)),
@@ -231,9 +265,9 @@ bw AS (SELECT median(d) AS b FROM (SELECT list_distance(x.v,y.v)**2 AS d FROM pb
 kk AS (SELECT x.s AS xs, y.s AS ys, avg(exp(-(list_distance(x.v,y.v)**2)/greatest(2*(SELECT b FROM bw),1e-12))) AS m FROM smp x, smp y GROUP BY 1,2)"""
 
 
-@query("em6_kernel_distance", f"WITH {MMD} SELECT round(greatest(sum(CASE WHEN xs=ys THEN m ELSE -m END),0),6)+0.0 AS mmd_squared, round((SELECT b FROM bw),6) AS bandwidth FROM kk")
-def em6(spark, sf):
-    return rounded(em.kernel_distance(split_embeddings(spark, sf), "split", "train", "test", "embedding"))
+@query("em6_sampled_kernel_distance", f"WITH {MMD} SELECT round(greatest(sum(CASE WHEN xs=ys THEN m ELSE -m END),0),6)+0.0 AS mmd_squared, round((SELECT b FROM bw),6) AS bandwidth FROM kk")
+def em6_sampled(spark, sf):
+    return rounded(em.sampled_kernel_distance(split_embeddings(spark, sf), "split", "train", "test", "embedding"))
 
 
 @query("em7_component_table")
@@ -250,19 +284,43 @@ def em11(spark, sf):
 def labelled_text(spark, sf):
     from itemloom.functions.text import problem_text
 
-    it = views.items(spark, sf).filter("split <> 'dev'")
-    return it.select("id", problem_text().alias("full_text"), (F.col("split") == "test").cast("int").alias("label"))
+    it = views.items(spark, sf)
+    return it.select("id", problem_text().alias("full_text"), (F.col("split") != "train").cast("int").alias("label"))
+
+
+GRAMS = """t AS (SELECT doc_id, regexp_replace(lower(full_text), '\\s\\s+', ' ', 'g') AS t FROM (SELECT doc_id, text AS full_text FROM documents)),
+o AS (SELECT doc_id, substring(t, i, n) AS term, count(*) AS tf FROM (SELECT doc_id, t, n, unnest(range(1, CAST(length(t)-n+2 AS BIGINT))) AS i FROM t, range(2, 6) s(n)) GROUP BY 1, 2)"""
+
+
+@query("em8_vocabulary", f"WITH {GRAMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, round(ln((1.0+(SELECT count(*) FROM documents))/(1.0+count(*)))+1.0,6) AS idf FROM o GROUP BY 1 HAVING count(*)>=3 ORDER BY total DESC, term LIMIT 50000")
+def em8_vocabulary(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return rounded(em.vocabulary(em.ngram_statistics(docs, "text"), docs.count()))
+
+
+@query("em8_roc_auc", """WITH s AS (SELECT lang, length(text) AS score, quality AS label FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang, score, sum(label) AS pos, sum(1-label) AS neg FROM s GROUP BY 1, 2),
+r AS (SELECT *, sum(neg) OVER (PARTITION BY lang ORDER BY score) AS below FROM c)
+SELECT lang, round(sum(pos*(below-neg/2.0))/(sum(pos)*sum(neg)),6) AS auc FROM r GROUP BY 1""")
+def em8_auc(spark, sf):
+    scored = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", F.length("text").cast("double").alias("score"), F.col("quality").alias("label"))
+    return rounded(em.roc_auc(scored, by="lang"))
+
+
+def with_summary(per_fold):
+    """The folds' areas with their mean and deviation; one row per fold."""
+    return per_fold.crossJoin(F.broadcast(em.auc_summary(per_fold).drop("folds")))  # a single row
 
 
 @query("em8_domain_classifier")
 def em8(spark, sf):
-    return rounded(em.domain_classifier(labelled_text(spark, sf), "full_text", "label"))
+    return rounded(with_summary(em.domain_classifier(labelled_text(spark, sf), "full_text", "label")))
 
 
 @query("em9_balanced_classifier")
 def em9(spark, sf):
     it = labelled_text(spark, sf).withColumn("label", F.expr("CAST(substring(id, 5) AS BIGINT) % 10 = 0").cast("int"))
-    return rounded(em.domain_classifier(it, "full_text", "label", balanced=True))
+    return rounded(with_summary(em.domain_classifier(it, "full_text", "label", balanced=True)))
 
 
 @query("em10_distinguishing_ngrams")
@@ -298,10 +356,10 @@ def snk2(spark, sf):
     return wr.write_tables({n: table(spark, sf, n) for n in ("documents", "labels")}, scratch(spark, "tables"))
 
 
-@query("snk4_cached_runs", "SELECT run, count(*) AS n FROM (SELECT vec_id, unnest(range(4)) AS run FROM embeddings) GROUP BY 1")
+@query("snk4_cached_runs", "SELECT run, count(*) AS n FROM (SELECT vec_id, unnest(range(8)) AS run FROM embeddings) GROUP BY 1")
 def snk4(spark, sf):
     path = scratch(spark, "runs")
-    p = views.probs(spark, sf).filter("run < 4").select(F.lit("base").alias("tag"), "run", F.lit("full").alias("view"), "id", "probs")
+    p = views.probs(spark, sf).filter("run < 8").select(F.lit("base").alias("tag"), "run", F.lit("full").alias("view"), "id", "probs")
     wr.cached_runs(spark, path, p.filter("id % 3 <> 0").drop("probs"), lambda fresh: fresh.join(p, ["tag", "run", "view", "id"]))
     out = wr.cached_runs(spark, path, p.drop("probs"), lambda fresh: fresh.join(p, ["tag", "run", "view", "id"]))
     return out.groupBy("run").agg(F.count("*").alias("n")).select(F.col("run").cast("long").alias("run"), "n")

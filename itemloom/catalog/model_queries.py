@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from itemloom import CHOICES
@@ -133,21 +135,21 @@ def ss2_batch(spark, sf):
 # ---- model output -----------------------------------------------------------------------------------------------
 
 def model_a(spark, sf):
-    return pd_.average_runs(views.probs(spark, sf).filter("run < 4"), keep=["gold", "label"])
+    return pd_.average_runs(views.probs(spark, sf).filter("run < 8"), keep=["gold", "label"])
 
 
 def model_b(spark, sf):
-    return pd_.average_runs(views.probs(spark, sf).filter("run >= 4"), keep=["gold", "label"])
+    return pd_.average_runs(views.probs(spark, sf).filter("run >= 8"), keep=["gold", "label"])
 
 
 def variants(spark, sf):
-    p = views.probs(spark, sf).withColumn("variant", F.concat(F.lit("v"), F.floor(F.col("run") / 2).cast("string")))
+    p = views.probs(spark, sf).withColumn("variant", F.concat(F.lit("v"), F.floor(F.col("run") / 4).cast("string")))
     means = F.array(*[F.avg(pr.slot(F.col("probs"), i)) for i in range(4)])
     return p.groupBy("id", "variant").agg(F.first("gold").alias("gold"), means.alias("probs"))
 
 
 def models(spark, sf):
-    p = views.probs(spark, sf).withColumn("model", F.when(F.col("run") < 4, "A").otherwise("B"))
+    p = views.probs(spark, sf).withColumn("model", F.when(F.col("run") < 8, "A").otherwise("B"))
     means = F.array(*[F.avg(pr.slot(F.col("probs"), i)) for i in range(4)])
     out = p.groupBy("id", "model").agg(F.first("gold").alias("gold"), F.first("label").alias("label"), means.alias("probs"))
     return ev.graded(out)
@@ -196,11 +198,11 @@ def mo6(spark, sf):
     return _spread(model_a(spark, sf), "id")
 
 
-@query("src4_probability_runs", f"SELECT id, run, {_r4()} FROM probs WHERE run<4 UNION ALL SELECT id, 0, {_r4()} FROM models WHERE model='B'", ("models",))
+@query("src4_probability_runs", f"SELECT id, run, {_r4()} FROM probs WHERE run<8 UNION ALL SELECT id, 0, {_r4()} FROM models WHERE model='B'", ("models",))
 def src4(spark, sf):
     from itemloom.sources.readers import as_runs
 
-    many = as_runs(views.probs(spark, sf).filter("run < 4").select("id", "run", "probs"))
+    many = as_runs(views.probs(spark, sf).filter("run < 8").select("id", "run", "probs"))
     single = as_runs(model_b(spark, sf).select("id", "probs"))
     return _spread(many.unionByName(single), "id", "run")
 
@@ -259,7 +261,7 @@ def _arg(p):
 
 
 BLEND = f"""runs_b AS (SELECT id, greatest(count(*) FILTER (p='a'),count(*) FILTER (p='b'),count(*) FILTER (p='c'),count(*) FILTER (p='d'))/count(*) AS agree FROM (
-  SELECT id, {_arg('p_')} AS p FROM probs WHERE run>=4) GROUP BY 1),
+  SELECT id, {_arg('p_')} AS p FROM probs WHERE run>=8) GROUP BY 1),
 al AS (SELECT x.id, x.gold, x.label, y.id IS NOT NULL AS covered, {', '.join(f'x.p_{c} AS f_{c}, coalesce(y.p_{c},x.p_{c}) AS s_{c}' for c in CHOICES)}, coalesce(agree,1.0) AS agree2
   FROM (SELECT * FROM models WHERE model='A') x LEFT JOIN (SELECT m.*, agree FROM models m JOIN runs_b USING (id) WHERE model='B' AND id%4<>3) y ON x.id=y.id),
 al2 AS (SELECT *, list_sort([f_a,f_b,f_c,f_d]) AS q1, list_sort([s_a,s_b,s_c,s_d]) AS q2, {_arg('f_')} AS pred1, {_arg('s_')} AS pred2 FROM al),
@@ -314,9 +316,9 @@ def mo16(spark, sf):
 
 
 @query("mo32_blend_by_type", f"""WITH {BLEND} SELECT id, label, pred, {', '.join(f'round(r_{c},6)+0.0 AS p_{c}' for c in CHOICES)} FROM (SELECT *, {_arg('r_')} AS pred FROM (
-  SELECT id, label, {', '.join(f'CASE WHEN covered THEN (1-w)*f_{c}+w*s_{c} ELSE f_{c} END AS r_{c}' for c in CHOICES)} FROM (SELECT *, CASE WHEN label<8 THEN label/10.0 ELSE 0 END AS w FROM al)))""", ("models",))
+  SELECT id, label, {', '.join(f'CASE WHEN covered THEN (1-w)*f_{c}+w*s_{c} ELSE f_{c} END AS r_{c}' for c in CHOICES)} FROM (SELECT *, label/10.0 AS w FROM al)))""", ("models",))
 def mo32(spark, sf):
-    weights = table(spark, sf, "embeddings").filter("label < 8").groupBy("label").agg((F.max("label") / F.lit(10.0)).alias("weight"))
+    weights = table(spark, sf, "embeddings").groupBy("label").agg((F.max("label") / F.lit(10.0)).alias("weight"))
     return _spread(pd_.blend_by_type(aligned(spark, sf), weights, "label"), "id", "label", "pred")
 
 
@@ -360,7 +362,7 @@ def mo29(spark, sf):
 
 @query("mo30_rotation_stability", "SELECT round(avg(e),6) AS all_runs_right, round(avg(s),6) AS any_run_right, round(avg(m),6) AS mean_run_accuracy FROM (SELECT id, min((pred=gold)::INT) AS e, max((pred=gold)::INT) AS s, avg((pred=gold)::INT) AS m FROM runs_a GROUP BY 1)", ("runs_a",))
 def mo30(spark, sf):
-    return rounded(pd_.rotation_stability(views.probs(spark, sf).filter("run < 4")))
+    return rounded(pd_.rotation_stability(views.probs(spark, sf).filter("run < 8")))
 
 
 @query("cu16_learnable_screen", """SELECT id, gold_rank FROM (SELECT id, 1+(p_a>g)::INT+(p_b>g)::INT+(p_c>g)::INT+(p_d>g)::INT AS gold_rank FROM (
@@ -369,45 +371,58 @@ def cu16(spark, sf):
     return pd_.learnable_screen(model_a(spark, sf), "gold").select("id", "gold_rank")
 
 
-class _HashModel:
-    """A deterministic stand-in for a model: logits from lengths and character sums of the shown options."""
+# ---- scorers --------------------------------------------------------------------------------------------------
 
-    def __call__(self, batch):
-        import pandas as pd
-
-        rows = [[len(o) % 7 + (sum(map(ord, o)) % 101) / 101.0 for o in shown] for shown in batch["shown"]]
-        out = pd.DataFrame(rows, columns=["l_a", "l_b", "l_c", "l_d"])
-        out["mass"] = 1.0 - 1.0 / (2.0 + out.sum(axis=1))
-        return out
+CANDIDATES = (0, 3, 5, 7)
 
 
-def scored_items(spark, sf):
-    orders = pd_.fan_out_orders(views.items(spark, sf), pr.display_orders(4)).select("id", "run", "order", "shown")
-    return pd_.score(orders, _HashModel, "id string, run int, order array<int>")
+class CentroidScorer:
+    """Logits of the shown labels: similarity to the labels' mean vectors, which Spark has aggregated from all rows."""
 
+    def __init__(self, centroids: dict):
+        self.labels, self.means = list(centroids), np.array(list(centroids.values()))
 
-def _score(c):
-    codes = f"list_sum(list_transform(string_split({c}, ''), lambda ch: unicode(ch)))"
-    return f"CASE WHEN {c}='' THEN 0.0::DOUBLE ELSE length({c})%7 + ({codes}%101)/101.0::DOUBLE END AS l_{c}"
+    def __call__(self, batch):
+        own = 8 * np.stack(batch["embedding"].to_numpy()).astype(float) @ self.means.T
+        place = {label: i for i, label in enumerate(self.labels)}
+        at = np.array([[place[x] for x in shown] for shown in batch["shown"]])
+        logits = np.take_along_axis(own, at, axis=1)
+        out = pd.DataFrame(logits, columns=["l_a", "l_b", "l_c", "l_d"])
+        out["mass"] = np.exp(logits).sum(axis=1) / np.exp(own).sum(axis=1)
+        return out
 
 
-# the stand-in's logits depend on an option's text only, so every display order gives the same original-slot values
-SCORED = f"""lg AS (SELECT id, {', '.join(_score(c) for c in CHOICES)} FROM items),
-sm AS (SELECT *, {', '.join(f"exp(l_{c}-m) AS e_{c}" for c in CHOICES)}, 1-1/(2+l_a+l_b+l_c+l_d) AS mass FROM (SELECT *, greatest(l_a,l_b,l_c,l_d) AS m FROM lg))"""
+def scored_items(spark, sf):
+    """Every vector with its own label and three others as options, in four display orders."""
+    emb = table(spark, sf, "embeddings")
+    long = emb.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = long.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("e")).orderBy("label").collect()  # labels times dimensions
+    centroids = {r["label"]: [x["m"] for x in r["e"]] for r in rows}
+    options = [(F.pmod(F.col("label") + c, F.lit(10))).alias(n) for n, c in zip(CHOICES, CANDIDATES)]
+    shown = pd_.fan_out_orders(emb.select(F.col("vec_id").alias("id"), "embedding", *options), pr.display_orders(4)).select("id", "run", "order", "shown", "embedding")
+    return pd_.score(shown, lambda: CentroidScorer(centroids), "id long, run int, order array<int>")
+
+
+# a display order moves options only, so every order gives the same probabilities in the original slots
+SCORED = """ce AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1,65)) AS i FROM embeddings) GROUP BY 1,2) GROUP BY 1),
+lg AS (SELECT vec_id AS id, (ce.label - e.label + 10) % 10 AS step, exp(8*list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), m)) AS x FROM embeddings e, ce),
+sm AS (SELECT id, max(x) FILTER (step=0) AS e_a, max(x) FILTER (step=3) AS e_b, max(x) FILTER (step=5) AS e_c, max(x) FILTER (step=7) AS e_d,
+  sum(x) FILTER (step IN (0,3,5,7))/sum(x) AS mass FROM lg GROUP BY 1)"""
 _SCORED_P = ", ".join(f"round(e_{c}/(e_a+e_b+e_c+e_d),6)+0.0 AS p_{c}" for c in CHOICES)
 
 
-@query("mo4_batch_scorer", f"WITH {SCORED} SELECT id, run, {_SCORED_P} FROM sm, (VALUES (0),(1),(2),(3)) v(run)", ("items",))
+@query("mo4_batch_scorer", f"WITH {SCORED} SELECT id, run, {_SCORED_P} FROM sm, (VALUES (0),(1),(2),(3)) v(run)")
 def mo4(spark, sf):
     return _spread(pd_.scored_probs(scored_items(spark, sf), "order"), "id", "run")
 
 
-@query("ud1_scorer_plug_in", f"WITH {SCORED} SELECT id, {_SCORED_P} FROM sm", ("items",))
+@query("ud1_scorer_plug_in", f"WITH {SCORED} SELECT id, {_SCORED_P} FROM sm")
 def ud1(spark, sf):
     return _spread(pd_.average_runs(pd_.scored_probs(scored_items(spark, sf), "order")), "id")
 
 
-@query("mo31_letter_mass_check", f"WITH {SCORED} SELECT round(avg(mass),6) AS mean_mass, round(min(mass),6) AS min_mass, 4*count(*) AS n, avg(mass)<0.3 AS too_low FROM sm", ("items",))
+@query("mo31_letter_mass_check", f"WITH {SCORED} SELECT round(avg(mass),6) AS mean_mass, round(min(mass),6) AS min_mass, 4*count(*) AS n, avg(mass)<0.3 AS too_low FROM sm")
 def mo31(spark, sf):
     return rounded(pd_.mass_check(scored_items(spark, sf)))
 
@@ -477,9 +492,9 @@ def mo23(spark, sf):
     return t.select("item_id", F.lower(F.trim("majority_answer")).alias("answer"))
 
 
-# three probes, smallest to largest: runs 0-1, model A, model B
+# three probes, smallest to largest: runs 0-3, model A, model B
 PROBES = ["p1", "p2", "p3"]
-D = f"""d0 AS (SELECT id, any_value(gold) AS gold, 'p1' AS model, avg(p_a) AS p_a, avg(p_b) AS p_b, avg(p_c) AS p_c, avg(p_d) AS p_d FROM probs WHERE run<2 GROUP BY id
+D = f"""d0 AS (SELECT id, any_value(gold) AS gold, 'p1' AS model, avg(p_a) AS p_a, avg(p_b) AS p_b, avg(p_c) AS p_c, avg(p_d) AS p_d FROM probs WHERE run<4 GROUP BY id
   UNION ALL SELECT id, gold, CASE model WHEN 'A' THEN 'p2' ELSE 'p3' END, p_a, p_b, p_c, p_d FROM models),
 d1 AS (SELECT id, model, gold, {_arg('p_')} AS pred, {PCOR} AS pc, {EBITS} AS h FROM d0),
 d2 AS (SELECT id, any_value(gold) AS gold, """ + ", ".join(f"max(pred) FILTER (model='{m}') AS pred_{m}, bool_or(pred=gold) FILTER (model='{m}') AS correct_{m}, max(pc) FILTER (model='{m}') AS p_correct_{m}, max(h) FILTER (model='{m}') AS entropy_{m}" for m in PROBES) + """ FROM d1 GROUP BY 1),
@@ -493,7 +508,7 @@ d AS (SELECT *, correct_p1::INT+correct_p2::INT+correct_p3::INT AS n_correct,
 def difficulty(spark, sf):
     p = views.probs(spark, sf)
     means = F.array(*[F.avg(pr.slot(F.col("probs"), i)) for i in range(4)])
-    small = p.filter("run < 2").groupBy("id").agg(F.first("gold").alias("gold"), means.alias("probs")).withColumn("model", F.lit("p1"))
+    small = p.filter("run < 4").groupBy("id").agg(F.first("gold").alias("gold"), means.alias("probs")).withColumn("model", F.lit("p1"))
     big = models(spark, sf).select("id", "gold", "probs", F.when(F.col("model") == "A", "p2").otherwise("p3").alias("model"))
     scored = ev.graded(small.unionByName(big))
     return ev.difficulty_table(scored, PROBES, {"p1": 0.2, "p2": 0.3, "p3": 0.5}, keep=["gold"])

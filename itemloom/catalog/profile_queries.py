@@ -75,7 +75,7 @@ def ds3(spark, sf):
 
 SIZE_LONG = """long AS (SELECT split, metric, value FROM (
   SELECT CASE WHEN pos%10<1 THEN 'validation' WHEN split='train' THEN 'train' ELSE 'test' END AS split,
-  CAST(length(question) AS DOUBLE) AS q_len, CAST(length(a) AS DOUBLE) AS a_len, CAST(pos AS DOUBLE) AS row_no FROM items WHERE split<>'dev')
+  CAST(length(question) AS DOUBLE) AS q_len, CAST(length(a) AS DOUBLE) AS a_len, CAST(pos AS DOUBLE) AS row_no FROM items)
   UNPIVOT (value FOR metric IN (q_len, a_len, row_no)))"""
 KS3 = """cum AS (SELECT metric, value, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(v) OVER w AS cv,
   sum(a) OVER p AS na, sum(b) OVER p AS nb, sum(v) OVER p AS nv
@@ -89,7 +89,7 @@ shift AS (SELECT metric, round((m3-m1)/sqrt((s1+s3)/2),4)+0.0 AS smd_validation_
 
 
 def _size_splits(spark, sf):
-    it = views.items(spark, sf).filter("split <> 'dev'")
+    it = views.items(spark, sf)
     return it.select(
         F.expr("CASE WHEN pos%10<1 THEN 'validation' WHEN split='train' THEN 'train' ELSE 'test' END").alias("split"),
         F.length("question").alias("q_len"), F.length("a").alias("a_len"), F.col("pos").alias("row_no"), "lang",
@@ -168,7 +168,7 @@ def ds10(spark, sf):
 
 @query("ds13_acceptance_verdict", f"""WITH {SIZE_LONG}, {KS3},
 c AS (SELECT lang, count(*) FILTER (s='train') AS a, count(*) FILTER (s='validation') AS b FROM (
-  SELECT lang, CASE WHEN pos%10<1 THEN 'validation' WHEN split='train' THEN 'train' ELSE 'test' END AS s FROM items WHERE split<>'dev') GROUP BY 1),
+  SELECT lang, CASE WHEN pos%10<1 THEN 'validation' WHEN split='train' THEN 'train' ELSE 'test' END AS s FROM items) GROUP BY 1),
 tv AS (SELECT 0.5*sum(abs(p-q)) AS tv FROM (SELECT a/sum(a) OVER () AS p, b/sum(b) OVER () AS q FROM c))
 SELECT round(ws,4) AS worst_smd, round(wk,4) AS worst_ks, round(tv,6)+0.0 AS worst_tv, (ws<0.1 AND wk<0.05 AND tv<=0.03) AS accepted FROM (
   SELECT max(greatest(abs(smd_validation_train),abs(smd_validation_test))) AS ws, max(greatest(ks_validation_train,ks_validation_test)) AS wk FROM shift), tv""", ("items",))

@@ -16,18 +16,16 @@ OPENINGS = [
 ]
 _OPENING_CASE = f"CASE doc_id % {len(OPENINGS)} " + " ".join(f"WHEN {i} THEN '{t} '" for i, t in enumerate(OPENINGS) if t) + " ELSE '' END"
 
-ITEM_COLUMNS = """doc_id AS pos, concat('doc_', doc_id) AS id, concat('docs/doc_', doc_id, '.txt') AS path,
-  CASE WHEN doc_id % 10 < 5 THEN 'train' WHEN doc_id % 10 < 9 THEN 'test' ELSE 'dev' END AS split, lang, source,
-  {question} AS question,
-  substring(text,61,CAST(4+doc_id%5 AS INT)) AS a, substring(text,71,CAST(4+doc_id%7 AS INT)) AS b,
-  substring(text,83,6) AS c, substring(text,91,CAST(3+doc_id%9 AS INT)) AS d,
-  substring('abcd',CAST(1+doc_id%4 AS INT),1) AS answer"""
-
-_ITEMS = "SELECT " + ITEM_COLUMNS.replace("{question}", "substring(text,1,60)") + " FROM {documents}"
-_KITEMS = (
-    "SELECT " + ITEM_COLUMNS.replace("{question}", "concat(" + _OPENING_CASE + ", substring(text,1,40))")
-    + " FROM {documents}"
-)
+# The whole text: the first half or so is the question, the rest falls into four options.
+ITEM_COLUMNS = """pos, id, path, split, lang, source, {question} AS question,
+  substring(text, size-4*part+1, part) AS a, substring(text, size-3*part+1, part) AS b,
+  substring(text, size-2*part+1, part) AS c, substring(text, size-part+1, part) AS d, answer
+FROM (SELECT *, CAST(floor(size/8) AS INT) AS part FROM (SELECT doc_id, doc_id AS pos, concat('doc_', doc_id) AS id, concat('docs/doc_', doc_id, '.txt') AS path,
+  CASE WHEN doc_id % 10 < 5 THEN 'train' WHEN doc_id % 10 < 9 THEN 'test' ELSE 'dev' END AS split, lang, source, text, CAST(length(text) AS INT) AS size,
+  substring('abcd',CAST(1+doc_id%4 AS INT),1) AS answer FROM {documents}))"""
+
+_ITEMS = "SELECT " + ITEM_COLUMNS.replace("{question}", "substring(text,1,size-4*part)")
+_KITEMS = "SELECT " + ITEM_COLUMNS.replace("{question}", "concat(" + _OPENING_CASE + ", substring(text,1,size-4*part))")
 _VOTES = """SELECT CAST(floor(event_id/5) AS BIGINT) AS item_id, CAST(1+event_id%5 AS INT) AS annotator,
   CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' WHEN 'purchase' THEN 'c' WHEN 'error' THEN 'd' END AS vote, ts
 FROM {events}"""
@@ -39,8 +37,7 @@ _EDITS = """SELECT concat('doc_',doc_id) AS id, 'delete' AS action, '' AS field,
 UNION ALL SELECT concat('doc_',doc_id),'mark_hard','','','',1 FROM {labels} WHERE toxic=0 AND quality=0
 UNION ALL SELECT id,'edit_option','a',a,concat(a,'*'),1 FROM {items} WHERE pos%7=0
 UNION ALL SELECT id,'edit_option','a',concat(a,'*'),concat(a,'**'),2 FROM {items} WHERE pos%14=0"""
-_QA = """SELECT concat('img_',u.conv_id) AS img_id, u.turn AS k, substring(u.text,1,60) AS question,
-  substring(s.text,1,CAST(1+(u.turn*7+u.conv_id)%45 AS INT)) AS answer_text
+_QA = """SELECT concat('img_',u.conv_id) AS img_id, u.turn AS k, u.text AS question, s.text AS answer_text
 FROM {conversations} u JOIN {conversations} s ON s.conv_id=u.conv_id AND s.turn=u.turn+1
 WHERE u.role='user' AND s.role='assistant'"""
 _BOXES = """SELECT DISTINCT l_orderkey AS image_id, CAST(floor(l_extendedprice) AS BIGINT)%800 AS top, CAST(l_quantity AS INT) AS lft,
@@ -49,6 +46,17 @@ _SIZES = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus='
   CAST(200 + (l_partkey*37) % 3000 AS INT) AS width, CAST(200 + (l_suppkey*91 + l_linenumber*613) % 2500 AS INT) AS height,
   CAST(floor(l_extendedprice) AS BIGINT) AS file_bytes FROM {lineitem}"""
 
+def _hash_text(count: str) -> str:
+    """64 bits of a text: the last two bits of how often each letter occurs, and the last bit for digits, blank and full stop.
+
+    Texts that differ in a few letters differ in a few bits; texts without letters crowd on few hashes.
+    """
+    letters, others = "abcdefghijklmnopqrstuvwxyz", "0123456789 ."
+    bits = [f"{count.format(c)} % 2" for c in letters + others] + [f"CAST(floor({count.format(c)} / 2) AS BIGINT) % 2" for c in letters]
+    values = [str(2**i) for i in range(63)] + ["(-9223372036854775807 - 1)"]
+    return "(" + " + ".join(f"CAST(CASE WHEN {b} = 1 THEN {v} ELSE 0 END AS BIGINT)" for b, v in zip(bits, values, strict=True)) + ")"
+
+
 # SQL text of every view; later ones read earlier ones.
 _SQL = {
     **{
@@ -61,21 +69,21 @@ _SQL = {
     "runs": """SELECT vec_id AS id, r AS run, substring('abcd',CAST(1+label%4 AS INT),1) AS gold, label,
   20*CAST(embedding[1+4*r] AS DOUBLE) AS l_a, 20*CAST(embedding[1+4*r+1] AS DOUBLE) AS l_b,
   20*CAST(embedding[1+4*r+2] AS DOUBLE) AS l_c, 20*CAST(embedding[1+4*r+3] AS DOUBLE) AS l_d
-FROM embeddings CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS t(r)""",
+FROM embeddings CROSS JOIN range(16) AS t(r)""",
     "probs": """SELECT id, run, gold, label, exp(l_a-m)/z AS p_a, exp(l_b-m)/z AS p_b, exp(l_c-m)/z AS p_c, exp(l_d-m)/z AS p_d FROM (
   SELECT *, exp(l_a-m)+exp(l_b-m)+exp(l_c-m)+exp(l_d-m) AS z FROM (SELECT *, greatest(l_a,l_b,l_c,l_d) AS m FROM runs))""",
-    # averages of the first and the second model (four runs each), with arg-max letters
+    # averages of the first and the second model (eight runs each), with arg-max letters
     "models": """SELECT *, CASE greatest(p_a,p_b,p_c,p_d) WHEN p_a THEN 'a' WHEN p_b THEN 'b' WHEN p_c THEN 'c' ELSE 'd' END AS pred FROM (
-  SELECT id, CASE WHEN run<4 THEN 'A' ELSE 'B' END AS model, any_value(gold) AS gold, any_value(label) AS label,
+  SELECT id, CASE WHEN run<8 THEN 'A' ELSE 'B' END AS model, any_value(gold) AS gold, any_value(label) AS label,
   avg(p_a) AS p_a, avg(p_b) AS p_b, avg(p_c) AS p_c, avg(p_d) AS p_d FROM probs GROUP BY 1,2)""",
-    # four variants: pairs of runs
+    # four variants of four runs
     "variants": """SELECT *, CASE greatest(p_a,p_b,p_c,p_d) WHEN p_a THEN 'a' WHEN p_b THEN 'b' WHEN p_c THEN 'c' ELSE 'd' END AS pred,
   CASE gold WHEN 'a' THEN p_a WHEN 'b' THEN p_b WHEN 'c' THEN p_c ELSE p_d END AS p_gold FROM (
-  SELECT id, concat('v', CAST(floor(run/2) AS BIGINT)) AS variant, any_value(gold) AS gold,
+  SELECT id, concat('v', CAST(floor(run/4) AS BIGINT)) AS variant, any_value(gold) AS gold,
   avg(p_a) AS p_a, avg(p_b) AS p_b, avg(p_c) AS p_c, avg(p_d) AS p_d FROM probs GROUP BY 1,2)""",
-    # the four runs of the first model with per-run arg-max letters
+    # the eight runs of the first model with per-run arg-max letters
     "runs_a": """SELECT *, CASE greatest(p_a,p_b,p_c,p_d) WHEN p_a THEN 'a' WHEN p_b THEN 'b' WHEN p_c THEN 'c' ELSE 'd' END AS pred
-  FROM probs WHERE run < 4""",
+  FROM probs WHERE run < 8""",
     "uncertain": """SELECT *, 0.40*(1-margin)+0.30*entropy+0.15*(1-confidence)+0.15*(1-agreement) AS unc_score FROM (
   SELECT id, gold, label, p_a, p_b, p_c, p_d, answer, agreement, s[4] AS confidence, s[4]-s[3] AS margin,
   -(p_a*ln(greatest(p_a,1e-12))+p_b*ln(greatest(p_b,1e-12))+p_c*ln(greatest(p_c,1e-12))+p_d*ln(greatest(p_d,1e-12)))/ln(4) AS entropy FROM (
@@ -84,8 +92,8 @@ FROM embeddings CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS t(r)""",
   SELECT id, any_value(gold) AS gold, any_value(label) AS label, avg(p_a) AS p_a, avg(p_b) AS p_b, avg(p_c) AS p_c, avg(p_d) AS p_d,
   greatest(count(*) FILTER (pred='a'), count(*) FILTER (pred='b'), count(*) FILTER (pred='c'), count(*) FILTER (pred='d'))/count(*) AS agreement
   FROM runs_a GROUP BY id)))""",
-    "hashes": "SELECT vec_id AS pos, concat('vec_',vec_id) AS id, CASE WHEN vec_id%2=0 THEN 'train' ELSE 'test' END AS split, md5(CAST(vec_id % 450 AS VARCHAR)) AS sha, CAST(floor(20*CAST(embedding[61] AS DOUBLE)*1000) AS BIGINT) AS brightness, ("
-    + "+".join(f"CASE WHEN embedding[{i + 1}]>0 THEN {2**i}::BIGINT ELSE 0 END" for i in range(60)) + ")::BIGINT AS phash FROM embeddings",
+    "hashes": "SELECT doc_id AS pos, concat('doc_',doc_id) AS id, CASE WHEN doc_id%2=0 THEN 'train' ELSE 'test' END AS split, md5(text) AS sha, length(text) AS brightness, "
+    + _hash_text("(length(text)-length(replace(text,'{0}','')))") + " AS phash FROM documents",
     "wide_votes": """SELECT item_id, max(CASE WHEN annotator=1 THEN vote END) AS answer1, max(CASE WHEN annotator=2 THEN vote END) AS answer2,
   max(CASE WHEN annotator=3 THEN vote END) AS answer3, max(CASE WHEN annotator=4 THEN vote END) AS answer4, max(CASE WHEN annotator=5 THEN vote END) AS answer5
   FROM votes GROUP BY item_id""",
@@ -166,9 +174,9 @@ def numeric_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight runs of four logits per vector, fanned out within each row."""
+    """Sixteen runs of four logits per vector, fanned out within each row."""
     emb = _read(spark, sf, "embeddings")
-    out = emb.select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("run"))
+    out = emb.select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("run"))
     return out.select(
         F.col("vec_id").alias("id"), "run", F.expr("substring('abcd', CAST(1+label%4 AS INT), 1)").alias("gold"), "label",
         F.expr("transform(slice(embedding, 1+4*run, 4), x -> 20*CAST(x AS DOUBLE))").alias("logits"),
@@ -182,10 +190,8 @@ def probs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """60-bit sign hashes with a split, a content hash and a brightness."""
-    bits = " + ".join(f"IF(embedding[{i}] > 0, {2**i}L, 0L)" for i in range(60))
-    return _read(spark, sf, "embeddings").selectExpr(
-        "vec_id AS pos", "concat('vec_', vec_id) AS id", "IF(vec_id % 2 = 0, 'train', 'test') AS split",
-        "md5(CAST(vec_id % 450 AS STRING)) AS sha",
-        "CAST(floor(20*CAST(embedding[60] AS DOUBLE)*1000) AS BIGINT) AS brightness", f"{bits} AS phash",
+    """64-bit letter hashes of texts with a split, a content hash and a length."""
+    return _read(spark, sf, "documents").selectExpr(
+        "doc_id AS pos", "concat('doc_', doc_id) AS id", "IF(doc_id % 2 = 0, 'train', 'test') AS split", "md5(text) AS sha",
+        "CAST(length(text) AS BIGINT) AS brightness", _hash_text("(length(text)-length(replace(text,'{0}','')))") + " AS phash",
     )

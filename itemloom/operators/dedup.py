@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.operators.ordering import numeric_bucket, running_sums
+from itemloom.operators.skew import join_groups
 from itemloom.session import cut_lineage
 
 
@@ -35,7 +36,7 @@ def exact_groups(df: DataFrame, key: str, split_col: str, splits: Sequence[str],
 
 def group_members(df: DataFrame, groups: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rows of the duplicate groups with their group number."""
-    return df.join(groups.select(key, "group"), key).select("group", key, *columns)
+    return join_groups(df.select(key, *columns), cut_lineage(groups.select(key, "group", "count")), key, "count").select("group", key, *columns)
 
 
 def classify_groups(groups: DataFrame, splits: Sequence[str]) -> DataFrame:
@@ -70,12 +71,12 @@ def cross_split_links(
     def first(s):
         return F.min_by(F.when(F.col(split_col) == s, F.col(id_col)), F.when(F.col(split_col) == s, F.col(position)))
     both = df.filter(F.col(key).isNotNull() & F.col(split_col).isin(left, right))
-    sides = both.groupBy(key).agg(
-        first(left).alias("__fl"), first(right).alias("__fr"),
+    sides = cut_lineage(both.groupBy(key).agg(
+        first(left).alias("__fl"), first(right).alias("__fr"), F.count("*").alias("__n"),
         F.count_if(F.col(split_col) == left).alias("__nl"), F.count_if(F.col(split_col) == right).alias("__nr"),
-    ).filter((F.col("__nl") > 0) & (F.col("__nr") > 0))
+    ).filter((F.col("__nl") > 0) & (F.col("__nr") > 0)))
     is_left = F.col(split_col) == left
-    return both.join(sides, key).select(
+    return join_groups(both, sides, key, "__n").select(
         key, split_col, id_col, *columns,
         F.when(is_left, F.col("__fr")).otherwise(F.col("__fl")).alias("partner_id"),
         F.when(is_left, F.col("__nr")).otherwise(F.col("__nl")).alias("partners"),
@@ -167,6 +168,33 @@ def hamming_pairs(hashes: DataFrame, column: str, threshold: int, bits: int = 64
         keyed, masks = split, sorted({w for _, w in steps})
 
 
+def closest_hashes(contents: DataFrame, hash_col: str, content: str, split_col: str, left: str, right: str, threshold: int, keep: int, bits: int = 64, bucket: int = 2000) -> DataFrame:
+    """Ordered hash pairs (h1, h2, distance) among which the ``keep`` closest pairs of different contents are.
+
+    The radius grows from 0 and stops as soon as the pairs within it are enough, at the threshold at the latest. A small
+    radius needs few, long runs of equal bits, so crowded neighbourhoods end the search before short runs are compared.
+    Pairs are counted from the contents of each hash value and side, never written out for that.
+    """
+    side = lambda s: F.max(F.when(F.col(split_col) == s, 1).otherwise(0))
+    one = contents.groupBy(hash_col, content).agg(side(left).alias("l"), side(right).alias("r"))
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("l", "r")]
+    values = cut_lineage(one.groupBy(F.col(hash_col).alias("h")).agg(*sums, F.sum(F.col("l") * F.col("r")).alias("shared"), F.count("*").alias("n")))
+    within = (F.col("l") * (F.col("l") - 1) + F.col("r") * (F.col("r") - 1)) / 2 + F.col("l") * F.col("r") - F.col("shared")
+    found = values.agg(F.sum(within)).first()[0] or 0.0
+    links = values.filter("n > 1").select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("distance"))
+    near = None
+    for radius in range(1, threshold + 1):
+        if found >= keep:
+            break
+        near = cut_lineage(hamming_pairs(values, "h", radius, bits, bucket))
+        one, two = (values.select(F.col("h").alias(f"h{i}"), F.col("l").alias(f"l{i}"), F.col("r").alias(f"r{i}")) for i in (1, 2))
+        pairs = F.col("l1") * F.col("l2") + F.col("r1") * F.col("r2") + F.col("l1") * F.col("r2") + F.col("r1") * F.col("l2")
+        found = (values.agg(F.sum(within)).first()[0] or 0.0) + (near.join(one, "h1").join(two, "h2").agg(F.sum(pairs)).first()[0] or 0.0)
+    if near is None:
+        return links
+    return links.unionByName(near).unionByName(near.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "distance"))
+
+
 def similar_pairs(
     df: DataFrame, hash_col: str, content: str, split_col: str, left: str, right: str, threshold: int = 6,
     keep: int = 1000, bits: int = 64, position: str = "pos", columns: Sequence[str] = (), bucket: int = 2000,
@@ -177,18 +205,13 @@ def similar_pairs(
     row. For the ``keep`` closest pairs in (distance, scope, left, right) order only the first ``2*keep + 1``
     contents of each hash value can matter, so crowded hash values are cut there without changing the result.
     """
-    contents = df.filter(F.col(split_col).isin(left, right) & F.col(hash_col).isNotNull()).groupBy(
+    contents = cut_lineage(df.filter(F.col(split_col).isin(left, right) & F.col(hash_col).isNotNull()).groupBy(
         split_col, hash_col, content
     ).agg(
         F.min(position).alias("p"), F.count("*").alias("copies"),
         *[F.min_by(c, position).alias(c) for c in columns],
-    )
-    near = hamming_pairs(contents, hash_col, threshold, bits, bucket)
-    both_ways = near.unionByName(near.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "distance"))
-    same = contents.groupBy(F.col(hash_col).alias("h1")).agg(F.count("*").alias("n")).filter("n > 1").select(
-        "h1", F.col("h1").alias("h2"), F.lit(0).alias("distance")
-    )
-    links = both_ways.unionByName(same)
+    ))
+    links = closest_hashes(contents, hash_col, content, split_col, left, right, threshold, keep, bits, bucket)
     ranked = running_sums(
         contents, [split_col, hash_col], ["p"], {"__r": F.lit(1).cast("long")}, numeric_bucket(df, position, of="p"),
         below=2 * keep + 1,
@@ -215,7 +238,8 @@ def similar_pairs(
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    """The smallest node that each node has an edge to or is, and how many edges it has; written, as it is joined by parts."""
+    return cut_lineage(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")))
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -227,15 +251,17 @@ def connected(edges: DataFrame) -> DataFrame:
     """Smallest node of each component as (node, component) for every node with an edge ``u``-``v``.
 
     Alternates two star contractions (each node links its larger neighbours, then its smaller ones, to the
-    smallest); the number of rounds grows with the logarithm of the component size, not with its diameter.
+    smallest); the number of rounds grows with the logarithm of the component size, not with its diameter. The star
+    of a large component has one node with nearly all edges, which is answered by a broadcast (``join_groups``).
     """
     current = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = _fingerprint(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_groups(both, _smallest(both), "u", "degree").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut_lineage(large)
         lowest = _smallest(large)
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_groups(large, lowest, "u", "degree").select(F.col("v").alias("u"), F.col("m").alias("v"))
         linked = small.unionByName(lowest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = cut_lineage(linked)
         after = _fingerprint(current)
@@ -255,8 +281,9 @@ def duplicate_components(df: DataFrame, keys: Sequence[str], position: str = "po
     nodes = cut_lineage(df.groupBy(*keys).agg(F.min(position).alias("node")))
     edges = None
     for k in keys:
-        first = nodes.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("node").alias("v"))
-        link = nodes.join(first, k).select(F.col("node").alias("u"), "v").filter("u <> v")
+        own = nodes.filter(F.col(k).isNotNull())
+        first = cut_lineage(own.groupBy(k).agg(F.min("node").alias("v"), F.count("*").alias("n")))
+        link = join_groups(own, first, k, "n").select(F.col("node").alias("u"), "v").filter("u <> v")
         edges = link if edges is None else edges.unionByName(link)
     labels = connected(edges)
     tagged = nodes.join(labels, "node", "left").select(

@@ -24,8 +24,11 @@ def lettered_options(options: list[Column]) -> list[Column]:
     return [F.concat(F.lit(f"({c}) "), o) for c, o in zip(CHOICES, options)]
 
 
-def user_prompt(question: Column, options: list[Column], ocr: Column | None = None, hints: bool = True, ocr_chars: int = 600) -> Column:
-    """Question, optional typed hint, optional recognized text, lettered options and instruction, line by line."""
+def user_prompt(question: Column, options: list[Column], ocr: Column | None = None, hints: bool = True, ocr_chars: int | None = None) -> Column:
+    """Question, optional typed hint, optional recognized text, lettered options and instruction, line by line.
+
+    ``ocr_chars`` cuts the recognized text, as a model with a short context may need; by default it is whole.
+    """
     def lines(*parts):
         return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     parts = [lines(F.concat(F.lit(QUESTION_LEAD), tx.strip(question)))]
@@ -33,7 +36,7 @@ def user_prompt(question: Column, options: list[Column], ocr: Column | None = No
         parts.append(lines("", HINT_TITLE, F.concat(F.lit("- "), rules.hint_for(rules.prompt_type(question)))))
     if ocr is not None:
         seen = tx.strip(F.coalesce(ocr, F.lit("")))
-        block = lines("", OCR_TITLE, F.substring(seen, 1, ocr_chars))
+        block = lines("", OCR_TITLE, seen if ocr_chars is None else F.substring(seen, 1, ocr_chars))
         usable = (seen != "") & (F.lower(seen) != "nan")
         parts.append(F.when(usable, block).otherwise(F.array().cast("array<string>")))
     parts.append(lines("", *lettered_options(options), "", INSTRUCTION))

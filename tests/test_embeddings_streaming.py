@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,14 +38,92 @@ def test_projection_and_frechet(vectors):
     assert [r.component for r in table] == [1, 2, 3] and table[0].train_std == pytest.approx(a[:, 0].std(ddof=1))
 
 
+def exact_kernel_distance(x, y, bandwidth):
+    k = lambda a, b: np.exp(-((a[:, None, :] - b[None]) ** 2).sum(axis=2) / (2 * bandwidth)).mean()
+    return k(x, x) + k(y, y) - 2 * k(x, y)
+
+
 def test_kernel_distance(vectors):
     df, x, s = vectors
-    r = em.kernel_distance(df, "split", "train", "test", "embedding", per_split=90, probes=10_000).first()
+    r = em.kernel_distance(df, "split", "train", "test", "embedding", features=4096).first()
+    gaps = ((x[:, None, :] - x[None]) ** 2).sum(axis=2)
+    assert r.bandwidth == pytest.approx(gaps[np.triu_indices(len(x), 1)].mean())
+    want = exact_kernel_distance(x[s == "train"], x[s == "test"], r.bandwidth)
+    assert abs(r.mmd_squared - want) < 4 * r.standard_error and r.standard_error < 0.1 * want
+    again = em.kernel_distance(df.repartition(7), "split", "train", "test", "embedding", features=4096).first()
+    assert again.mmd_squared == pytest.approx(r.mmd_squared)
+
+
+def test_sampled_kernel_distance(vectors):
+    df, x, s = vectors
+    r = em.sampled_kernel_distance(df, "split", "train", "test", "embedding", per_split=90, probes=10_000).first()
     assert r.mmd_squared > 0 and r.bandwidth > 0
-    same = em.kernel_distance(df.withColumn("split", F.when(F.col("id") % 2 == 0, "train").otherwise("test")), "split", "train", "test", "embedding").first()
+    same = em.sampled_kernel_distance(df.withColumn("split", F.when(F.col("id") % 2 == 0, "train").otherwise("test")), "split", "train", "test", "embedding").first()
     assert same.mmd_squared < r.mmd_squared
 
 
+def test_moments_are_those_of_all_rows(spark, vectors):
+    df, x, s = vectors
+    odd = df.repartition(40).unionByName(spark.createDataFrame([(999, "train", None)], df.schema))  # null vectors are left out
+    found = em.split_moments(odd, "split", "embedding")
+    for name in ("train", "test"):
+        own = x[s == name]
+        assert found[name].n == len(own) and np.allclose(found[name].mean, own.mean(axis=0)) and np.allclose(found[name].covariance, np.cov(own, rowvar=False))
+    both = em.pooled(found)
+    assert both.n == len(x) and np.allclose(both.covariance, np.cov(x, rowvar=False))
+    even = em.pooled(found, per_split=30)  # every split weighs thirty rows, from all of its rows
+    assert even.n == pytest.approx(60) and np.allclose(even.mean, (x[s == "train"].mean(axis=0) + x[s == "test"].mean(axis=0)) / 2)
+    cells = em.covariance_table(df, "split", "embedding").filter("split = 'test'").orderBy("i", "j").collect()
+    assert np.allclose([r.covariance for r in cells], np.cov(x[s == "test"], rowvar=False).ravel())
+    assert em.moment_sums(df.limit(0), "embedding", "split").count() == 0
+
+
+def test_frechet_of_flat_vectors(spark):
+    rng = np.random.default_rng(5)
+    flat = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 5))  # no Cholesky factor
+    rows = [(i, "train" if i < 30 else "test", [float(v) for v in r]) for i, r in enumerate(flat)]
+    df = spark.createDataFrame(rows, "id int, split string, embedding array<double>")
+    r = em.frechet_terms(df, "split", "train", "test", "embedding").first()
+    a, b = (np.cov(part, rowvar=False) for part in (flat[:30], flat[30:]))
+    root = np.sqrt(np.abs(np.linalg.eigvals(a @ b))).sum()
+    assert r.frechet_distance == pytest.approx(((flat[:30].mean(0) - flat[30:].mean(0)) ** 2).sum() + np.trace(a) + np.trace(b) - 2 * root, abs=1e-6)
+    same = em.frechet_distance(df.withColumn("split", F.lit("train")).unionByName(df.withColumn("split", F.lit("test"))), "split", "train", "test", "embedding")
+    assert same.first()[0] == pytest.approx(0, abs=1e-8)
+
+
+def plain_grams(text, low=2, high=5):
+    text = re.sub(r"\s\s+", " ", (text or "").lower())
+    return Counter(text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1))
+
+
+def test_ngram_statistics_and_vectors(spark, monkeypatch):
+    monkeypatch.setattr(em, "HELD_GRAMS", 50)
+    texts = ["Abc  abc", "abcab", None, "", "x", "abcab zzz " * 40, "éß漢字 abc"]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id int, t string, fold int").repartition(3)
+    stats = em.ngram_statistics(df, "t", "fold")
+    want = {}
+    for i, t in enumerate(texts):
+        for term, n in plain_grams(t).items():
+            have = want.get((term, i % 2), (0, 0))
+            want[term, i % 2] = (have[0] + 1, have[1] + n)
+    assert {(r.term, r.by): (r.df, r.total) for r in stats.collect()} == want
+    vocab = em.vocabulary(stats, len(texts), min_df=2, size=10)
+    totals = Counter()
+    for (term, _), (n, total) in want.items():
+        totals[term, "df"] += n
+        totals[term, "total"] += total
+    terms = sorted({t for t, _ in want if totals[t, "df"] >= 2}, key=lambda t: (-totals[t, "total"], t))[:10]
+    assert [r.term for r in vocab.orderBy(F.desc("total"), "term").collect()] == terms
+    vectorizer = em.Vectorizer.of(vocab)
+    at, weights = vectorizer(texts[1])
+    own = {t: (1 + np.log(n)) * (np.log(8 / (1 + totals[t, "df"])) + 1) for t, n in plain_grams(texts[1]).items() if t in terms}
+    norm = np.sqrt(sum(w * w for w in own.values()))
+    assert {sorted(terms)[i]: pytest.approx(w) for i, w in zip(at, weights)} == {t: w / norm for t, w in own.items()}
+    assert np.linalg.norm(weights) == pytest.approx(1) and len(vectorizer("")[0]) == 0
+    stored = em.tfidf_vectors(df, "t", vectorizer, ["id"]).orderBy("id").collect()
+    assert [list(r.features.indices) for r in stored] == [vectorizer(re.sub(r"\s\s+", " ", (t or "").lower()))[0].tolist() for t in texts]
+
+
 def test_auc_with_ties(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)
@@ -58,6 +139,9 @@ def test_domain_classifier_separates(spark):
     df = spark.createDataFrame(rows, "id int, t string, y int")
     aucs = [r.auc for r in em.domain_classifier(df, "t", "y", folds=2).collect()]
     assert len(aucs) == 2 and min(aucs) > 0.99
+    few = em.domain_classifier(df, "t", "y", folds=2, max_fit=5)  # the weights come from ten rows, all rows are scored
+    summary = em.auc_summary(few).first()
+    assert summary.folds == 2 and summary.mean_auc > 0.9
     grams = em.distinguishing_ngrams(df, "t", "y", k=5).collect()
     assert {r.side for r in grams} == {"label0", "label1"}
     assert all("mm" in g.term or g.term in "gamma delta " for g in grams if g.side == "label0")
