@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from itemloom.catalog import views
 from itemloom.catalog.base import query, table
+from itemloom.catalog.curation_queries import HAM
 from itemloom.catalog.profile_queries import r6, rounded
 from itemloom.functions import probs as pr
 from itemloom.operators import embeddings as em, images as io_, predictions as pd_, quality as qc
@@ -54,19 +55,19 @@ def r4(df):
 @query("im2_brightness_and_channels", f"""WITH {PIXELS} SELECT id, round(avg(lum/255),4) AS brightness, round(stddev_pop(lum/255),4) AS contrast, round(avg(r),4) AS red_mean, round(avg(g),4) AS green_mean, round(avg(bb),4) AS blue_mean,
   round(stddev_pop(r),4) AS red_std, round(stddev_pop(g),4) AS green_std, round(stddev_pop(bb),4) AS blue_std FROM v GROUP BY 1""")
 def im2(spark, sf):
-    t = io_.pixel_table(text_images(spark, sf))
+    t = io_.pixel_table(text_images(spark, sf), metrics=["brightness", "contrast", "red_mean", "green_mean", "blue_mean", "red_std", "green_std", "blue_std"])
     return r4(t.select("id", "brightness", "contrast", "red_mean", "green_mean", "blue_mean", "red_std", "green_std", "blue_std"))
 
 
 @query("im3_saturation_and_colorfulness", f"""WITH {PIXELS} SELECT id, round(avg(CASE WHEN greatest(r,g,bb)>1e-8 THEN (greatest(r,g,bb)-least(r,g,bb))/greatest(r,g,bb) ELSE 0 END),6) AS saturation,
   round(sqrt(var_pop(r-g)+var_pop((r+g)/2-bb))+0.3*sqrt(avg(r-g)**2+avg((r+g)/2-bb)**2),6) AS colorfulness FROM v GROUP BY 1""")
 def im3(spark, sf):
-    return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "saturation", "colorfulness"))
+    return rounded(io_.pixel_table(text_images(spark, sf), metrics=["saturation", "colorfulness"]).select("id", "saturation", "colorfulness"))
 
 
 @query("im4_gray_entropy", f"WITH {PIXELS}, c AS (SELECT id, lum, count(*) AS n FROM v GROUP BY 1,2), s AS (SELECT id, n/sum(n) OVER (PARTITION BY id) AS p FROM c) SELECT id, round(-sum(p*log2(p)),6)+0.0 AS entropy_bits FROM s GROUP BY 1")
 def im4(spark, sf):
-    return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "entropy_bits"))
+    return rounded(io_.pixel_table(text_images(spark, sf), metrics=["entropy_bits"]).select("id", "entropy_bits"))
 
 
 GRID = f"""{PIXELS.split('px AS (')[0].rstrip().rstrip(',')},
@@ -79,27 +80,27 @@ la AS (SELECT id, var_pop(n+s+wv+e-4*g) AS v FROM nb WHERE x BETWEEN 1 AND {PIXE
 
 @query("im5_edges_and_laplacian", f"WITH {GRID} SELECT doc_id AS id, round(coalesce(d,0),6) AS edge_density, round(coalesce(v,0),6) AS laplacian_variance FROM documents LEFT JOIN ed ON ed.id=doc_id LEFT JOIN la ON la.id=doc_id")
 def im5(spark, sf):
-    return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "edge_density", "laplacian_variance"))
+    return rounded(io_.pixel_table(text_images(spark, sf), metrics=["edge_density", "laplacian_variance"]).select("id", "edge_density", "laplacian_variance"))
 
 
 @query("im6_perceptual_hash")
 def im6(spark, sf):
-    return io_.pixel_table(text_images(spark, sf)).select("id", "phash", io_.hash_text(F.col("phash")).alias("phash_hex"))
-
-
-@query("im7_hue_saturation_value", f"WITH {PIXELS} SELECT id, round(avg(greatest(r,g,bb)),6) AS val_mean FROM v GROUP BY 1")
-def im7(spark, sf):
-    return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "val_mean"))
+    return io_.pixel_table(text_images(spark, sf), metrics=["phash"]).select("id", "phash", io_.hash_text(F.col("phash")).alias("phash_hex"))
 
 
 HUE = f"""{PIXELS}, hs AS (SELECT id, mx, (mx-mn) AS sp, CASE WHEN mx>1e-8 THEN (mx-mn)/mx ELSE 0 END AS sat, r, g, bb FROM (SELECT *, greatest(r,g,bb) AS mx, least(r,g,bb) AS mn FROM v)),
-hu AS (SELECT id, sat, 2*pi()*(CASE WHEN sp=0 THEN 0 WHEN mx=r THEN (g-bb)/sp + CASE WHEN g<bb THEN 6 ELSE 0 END WHEN mx=g THEN (bb-r)/sp+2 ELSE (r-g)/sp+4 END)/6 AS ang FROM hs),
-ag AS (SELECT id, avg(sat) AS sat_mean, avg(sin(ang)) FILTER (sat>0.1) AS sn, avg(cos(ang)) FILTER (sat>0.1) AS cs FROM hu GROUP BY 1)"""
+hu AS (SELECT id, mx, sat, 2*pi()*(CASE WHEN sp=0 THEN 0 WHEN mx=r THEN (g-bb)/sp + CASE WHEN g<bb THEN 6 ELSE 0 END WHEN mx=g THEN (bb-r)/sp+2 ELSE (r-g)/sp+4 END)/6 AS ang FROM hs),
+ag AS (SELECT id, avg(mx) AS val_mean, avg(sat) AS sat_mean, avg(sin(ang)) FILTER (sat>0.1) AS sn, avg(cos(ang)) FILTER (sat>0.1) AS cs FROM hu GROUP BY 1)"""
 
 
 @query("im7_hue_mean", f"WITH {HUE} SELECT id, round((degrees(atan2(sn,cs))+360)%360,6) AS hue_mean, round(sat_mean,6) AS sat_mean FROM ag")
 def im7_hue(spark, sf):
-    return rounded(io_.pixel_table(text_images(spark, sf)).select("id", "hue_mean", "sat_mean"))
+    return rounded(io_.pixel_table(text_images(spark, sf), metrics=["hue_mean", "sat_mean"]).select("id", "hue_mean", "sat_mean"))
+
+
+@query("im7_hue_saturation_value", f"WITH {HUE} SELECT id, round((degrees(atan2(sn,cs))+360)%360,6) AS hue_mean, round(sat_mean,6) AS sat_mean, round(val_mean,6) AS val_mean FROM ag")
+def im7(spark, sf):
+    return rounded(io_.pixel_table(text_images(spark, sf), metrics=["hue_mean", "sat_mean", "val_mean"]))
 
 
 @query("ud2_pixel_metrics_udf")
@@ -118,6 +119,16 @@ def im8(spark, sf):
     return rounded(io_.candidate_differences(pairs, images))
 
 
+@query("im8_near_duplicate_report", f"""WITH {HAM}, {PIXELS.split('v AS (')[0].rstrip().rstrip(',')}, k AS (SELECT * FROM p ORDER BY hamming_distance, scope, lp, rp LIMIT 1000), q AS (SELECT id, ceil(len(b)/{3 * PIXEL_WIDTH}) AS h, b FROM bytes),
+pr AS (SELECT k.*, l.h=r.h AS same_dimensions, l.b AS lb, r.b AS rb, l.h AS h FROM k JOIN q l ON l.id=lp JOIN q r ON r.id=rp),
+d AS (SELECT lp, rp, abs(coalesce(lb[i],32)-coalesce(rb[i],32)) AS x FROM (SELECT lp, rp, lb, rb, unnest(range(1, CAST(h*{3 * PIXEL_WIDTH} AS BIGINT)+1)) AS i FROM pr WHERE same_dimensions)),
+a AS (SELECT lp, rp, round(avg(x),6) AS mae, round(quantile_cont(CAST(x AS DOUBLE),0.99),6) AS p99 FROM d GROUP BY 1, 2)
+SELECT scope, hamming_distance, pr.lp AS left_id, pr.rp AS right_id, left_copies, right_copies, brightness_difference, same_dimensions, mae AS pixel_mae, p99 AS pixel_abs_difference_p99 FROM pr LEFT JOIN a ON a.lp=pr.lp AND a.rp=pr.rp""", ("hashes",))
+def im8_report(spark, sf):
+    items = views.hashes(spark, sf).withColumn("id", F.col("pos"))
+    return rounded(io_.near_duplicate_report(items, text_images(spark, sf)))
+
+
 @query("im9_crop_boxes", """SELECT l_orderkey, l_linenumber, l_partkey, file_bytes, view, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h FROM (
   SELECT *, floor(width*0.72) AS cw, floor(height*0.72) AS ch FROM sizes), LATERAL (VALUES ('center', floor((width-cw)/2), floor((height-ch)/2), cw, ch), ('tl', 0, 0, cw, ch), ('tr', width-cw, 0, cw, ch), ('bl', 0, height-ch, cw, ch), ('br', width-cw, height-ch, cw, ch)) t(view,x,y,w,h)""", ("sizes",))
 def im9(spark, sf):

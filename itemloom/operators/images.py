@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import images as im
 from itemloom.functions.hashing import seeded_key, uniform
-from itemloom.session import spread
+from itemloom.operators.dedup import similar_pairs
+from itemloom.session import cut_lineage, spread
 from itemloom.functions.images import affine_copy, crop_pixels, gaussian_blur, to_rgb
 
 # Crop families by name, the crop share, the band share, affine limits, blur radius, fill
@@ -40,10 +41,10 @@ def size_metrics(df: DataFrame, width: str = "width", height: str = "height", fi
     })
 
 
-def pixel_table(images: DataFrame, image: str = "image") -> DataFrame:
-    """Image rows with all pixel metrics as columns; one Arrow pass."""
+def pixel_table(images: DataFrame, image: str = "image", metrics: Sequence[str] = tuple(im.METRICS)) -> DataFrame:
+    """Image rows with the chosen pixel metrics as columns; one Arrow pass, which computes only these."""
     keep = [c for c in images.columns if c != image]
-    return spread(images).select(*keep, im.pixel_metrics(im.image_part(image)).alias("__m")).select(*keep, "__m.*")
+    return spread(images).select(*keep, im.pixel_metrics(im.image_part(image), metrics).alias("__m")).select(*keep, "__m.*")
 
 
 def hash_text(phash: Column) -> Column:
@@ -51,14 +52,40 @@ def hash_text(phash: Column) -> Column:
     return F.lower(F.lpad(F.hex(phash), 16, "0"))
 
 
-def candidate_differences(pairs: DataFrame, images: DataFrame, left: str = "left_id", right: str = "right_id", id_col: str = "id") -> DataFrame:
-    """Pixel differences of candidate pairs; only same-size pairs reach the pixels."""
-    def side(name, alias):
-        return images.select(F.col(id_col).alias(name), im.image_part("image").alias(alias))
-    joined = pairs.join(side(left, "__l"), left).join(side(right, "__r"), right)
-    same = (F.col("__l.width") == F.col("__r.width")) & (F.col("__l.height") == F.col("__r.height"))
-    differing = joined.select(*pairs.columns, same.alias("same_dimensions"), im.pixel_difference("__l", "__r").alias("__d"))
-    return differing.select(*pairs.columns, "same_dimensions", "__d.*")
+def candidate_differences(
+    pairs: DataFrame, images: DataFrame, left: str = "left_id", right: str = "right_id", id_col: str = "id", most: int | None = None
+) -> DataFrame:
+    """Whether the images of each candidate pair have the same size, and their pixel differences where they do.
+
+    Sizes are joined first. Only images in some pair of equal sizes are then read with their bytes, and only such pairs
+    reach Python. ``most`` states how many pairs there are at most, as after a top-k; then their ids are broadcast, so
+    other images are dropped as they are read.
+    """
+    def side(name, fields, alias):
+        return images.select(F.col(id_col).alias(name), fields.alias(alias))
+    size = F.struct("image.height", "image.width")
+    sized = pairs.join(side(left, size, "__l"), left).join(side(right, size, "__r"), right)
+    sized = cut_lineage(sized.select(*pairs.columns, (F.col("__l") == F.col("__r")).alias("same_dimensions")))
+    alike = sized.filter("same_dimensions").select(left, right).distinct()
+    ids = alike.select(F.col(left).alias("__id")).union(alike.select(F.col(right).alias("__id"))).distinct()
+    needed = images.join(F.broadcast(ids) if most is not None else ids, F.col(id_col) == F.col("__id"), "left_semi").select(id_col, im.image_part("image").alias("image"))
+    pixels = lambda name, alias: needed.select(F.col(id_col).alias(name), F.col("image").alias(alias))
+    gaps = alike.join(pixels(left, "__a"), left).join(pixels(right, "__b"), right).select(left, right, im.pixel_difference("__a", "__b").alias("__d"))
+    return sized.join(gaps.select(left, right, "__d.*"), [left, right], "left")
+
+
+def near_duplicate_report(
+    items: DataFrame, images: DataFrame, hash_col: str = "phash", content: str = "sha", split_col: str = "split", left: str = "train",
+    right: str = "test", threshold: int = 6, keep: int = 1000, position: str = "pos", id_col: str = "id", brightness: str = "brightness",
+) -> DataFrame:
+    """The ``keep`` closest pairs of different images within and across two splits, with their copies and pixel differences.
+
+    ``items`` has a hash, a content key, a split, a position, an id and a brightness for every row of ``images``.
+    """
+    near = similar_pairs(items, hash_col, content, split_col, left, right, threshold, keep, position=position, columns=[id_col, brightness])
+    gap = F.abs(F.col(f"left_{brightness}") - F.col(f"right_{brightness}")).alias("brightness_difference")
+    pairs = cut_lineage(near.select("scope", "hamming_distance", f"left_{id_col}", f"right_{id_col}", "left_copies", "right_copies", gap))
+    return candidate_differences(pairs, images, f"left_{id_col}", f"right_{id_col}", id_col, most=keep)
 
 
 def crop_boxes(df: DataFrame, family: str = "five", share: float = CROP_SHARE, width: str = "width", height: str = "height") -> DataFrame:

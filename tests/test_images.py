@@ -76,6 +76,42 @@ def test_pixel_metrics(images):
     assert got["broken"].brightness is None and got["broken"].phash is None
 
 
+def test_chosen_metrics_and_hash_match_plain_formulas(images):
+    few = io_.pixel_table(images, metrics=["contrast", "phash"])
+    assert few.columns[-2:] == ["contrast", "phash"] and {r.id: r.phash for r in few.collect()} == {r.id: r.phash for r in io_.pixel_table(images).collect()}
+    rng = np.random.default_rng(4)
+    gray = rng.integers(0, 256, (64, 96)).astype(np.uint8)
+    small = gray.astype(float).reshape(32, 2, 32, 3).mean(axis=(1, 3))
+    wave = lambda u, x: math.cos(math.pi * u * (2 * x + 1) / 64) * (math.sqrt(0.5) if u == 0 else 1) / 4
+    low = [sum(wave(u, i) * wave(v, j) * small[i, j] for i in range(32) for j in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    want = int("".join(str(int(x > middle)) for x in low), 2)
+    assert im.perceptual_hash(gray) & (2**64 - 1) == want
+    g = gray / 255
+    strength = [(abs(g[y, x + 1] - g[y, x]) + abs(g[y + 1, x] - g[y, x])) / 2 for y in range(63) for x in range(95)]
+    found = im.image_statistics(np.repeat(gray[..., None], 3, axis=2), ["edge_density", "laplacian_variance"])
+    assert found["edge_density"] == pytest.approx(np.mean(np.array(strength) > im.EDGE_THRESHOLD))
+    bends = [g[y - 1, x] + g[y + 1, x] + g[y, x - 1] + g[y, x + 1] - 4 * g[y, x] for y in range(1, 63) for x in range(1, 95)]
+    assert found["laplacian_variance"] == pytest.approx(np.var(bends))
+    thin = im.image_statistics(np.zeros((1, 5, 3), np.uint8), ["edge_density", "laplacian_variance", "hue_mean"])
+    assert thin == {"edge_density": 0, "laplacian_variance": 0, "hue_mean": None}
+
+
+def test_near_duplicate_report(spark, images):
+    rows = io_.pixel_table(images, metrics=["phash", "brightness"]).filter("phash IS NOT NULL")
+    keyed = rows.join(images.select("id", F.sha1("image.data").alias("sha")), "id")
+    position = {n: i for i, n in enumerate(sorted(pictures()))}
+    items = keyed.withColumns({"pos": F.create_map(*[F.lit(v) for kv in position.items() for v in kv])[F.col("id")], "split": F.when(F.col("id") == "copy", "test").otherwise("train")})
+    got = {(r.left_id, r.right_id): r for r in io_.near_duplicate_report(items, images).collect()}
+    r = got["changed", "copy"]
+    gap = np.abs(pictures()["changed"].astype(int) - pictures()["copy"])
+    assert r.scope == "train-test" and r.same_dimensions and r.pixel_mae == pytest.approx(gap.mean()) and r.pixel_abs_difference_p99 == pytest.approx(np.quantile(gap, 0.99))
+    assert ("changed", "ramp") in got and ("ramp", "copy") not in got  # equal contents are no near duplicates
+    sizes = {k: v.shape[:2] for k, v in pictures().items()}
+    for (a, b), r in got.items():
+        assert r.same_dimensions == (sizes[a] == sizes[b]) and (r.pixel_mae is None) == (not r.same_dimensions)
+
+
 def test_hash_text(spark):
     df = spark.createDataFrame([(-1,), (10,)], "h long")
     assert [r[0] for r in df.select(io_.hash_text(F.col("h"))).collect()] == ["f" * 16, "000000000000000a"]
