@@ -144,7 +144,7 @@ def qc6(spark, sf):
     return qc.key_set_comparison(table(spark, sf, "labels").select("doc_id"), docs, "doc_id")
 
 
-EXT = """ext AS (SELECT *, CASE WHEN o_a IS NULL OR o_a IN ('','nan','None') OR o_b='' OR o_c='' OR o_d='' THEN 'missing_option' WHEN ans NOT IN ('A','B','C','D') THEN 'bad_answer'
+EXT = """ext AS (SELECT *, CASE WHEN o_a IS NULL OR o_a IN ('','nan','None') OR o_b IN ('','nan','None') OR o_c IN ('','nan','None') OR o_d IN ('','nan','None') THEN 'missing_option' WHEN ans NOT IN ('A','B','C','D') THEN 'bad_answer'
   WHEN len(list_distinct([o_a,o_b,o_c,o_d]))<4 THEN 'duplicate_option' END AS reason FROM (
   SELECT pos, id, {t}, CASE WHEN pos%13=0 THEN 'E' ELSE upper(answer) END AS ans FROM items))""".format(
     t=", ".join(f"{WS.format(c=c)} AS o_{c}" for c in "bcd") + ", CASE WHEN pos%17=0 THEN NULL WHEN pos%19=0 THEN " + WS.format(c="b") + " ELSE " + WS.format(c="a") + " END AS o_a")

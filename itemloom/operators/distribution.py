@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.operators.ordering import column_buckets, numeric_bucket, quantile_of, running_sums
+from itemloom.operators.ordering import bucket_of, numeric_bucket, quantile_of, running_sums
+from itemloom.session import cut_lineage, shuffle_width
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
@@ -28,9 +29,7 @@ def _moments(df: DataFrame, split_col: str, splits: Sequence[str], metrics: Sequ
     """Count, mean, deviation and extremes per metric: one wide aggregate, turned into one row per metric."""
     def value(m, s):
         return F.when(_in_split(split_col, s) & ~F.isnan(m), F.col(m))
-    parts = {
-        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-    }
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.agg(*[fn(value(m, s)).alias(f"{p}_{s}_{i}") for i, m in enumerate(metrics) for s in splits for p, fn in parts.items()])
     rows = F.array(*[
         F.struct(F.lit(m).alias("metric"), *[F.col(f"{p}_{s}_{i}").alias(f"{p}_{s}") for s in splits for p in parts])
@@ -39,6 +38,44 @@ def _moments(df: DataFrame, split_col: str, splits: Sequence[str], metrics: Sequ
     return wide.select(F.inline(rows))
 
 
+def _counted_moments(splits: Sequence[str]) -> list[Column]:
+    """The same moments from distinct values with their counts; sums are taken about ``pivot``, so large offsets cost no digits."""
+    found = []
+    for s in splits:
+        n, gap = F.col(f"n_{s}"), F.col("value") - F.col("pivot")
+        total, first, second = F.max(f"total_{s}"), F.sum(n * gap), F.sum(n * gap * gap)
+        mean = F.when(total > 0, F.max("pivot") + first / total)
+        spread = F.when(total > 1, F.sqrt(F.greatest(second - first * first / total, F.lit(0.0)) / (total - 1)))
+        own = F.when(n > 0, F.col("value"))
+        found += [total.alias(f"count_{s}"), mean.alias(f"mean_{s}"), spread.alias(f"std_{s}"), F.min(own).alias(f"min_{s}"), F.max(own).alias(f"max_{s}")]
+    return found
+
+
+def _running_counts(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Distinct values of each metric with running counts ``c_<name>`` of ``n_<name>``, totals ``total_<name>`` and a ``pivot``.
+
+    The bounds of the buckets are quantiles of a mergeable sketch of the written distinct values, one row per metric
+    name. They balance the work and nothing else.
+    """
+    n = shuffle_width(counts.sparkSession)
+    ranks = F.array(*[F.lit(i / n) for i in range(1, n)])
+    sketched = counts.groupBy("metric").agg(F.kll_sketch_agg_double("value").alias("sketch"), *[F.sum(f"n_{s}").alias(f"total_{s}") for s in names])
+    table = sketched.select("metric", F.kll_sketch_get_quantile_double("sketch", ranks).alias("cuts"), *[f"total_{s}" for s in names]).collect()
+    if not table:
+        return counts.select("*", *[F.col(f"n_{s}").alias(a) for s in names for a in (f"c_{s}", f"total_{s}")], F.col("value").alias("pivot"))
+
+    def per_metric(of) -> Column:
+        cases = None
+        for row in table:
+            hit = F.col("metric") == row["metric"]
+            cases = F.when(hit, of(row)) if cases is None else cases.when(hit, of(row))
+        return cases
+    bucket = per_metric(lambda row: bucket_of(F.col("value"), sorted(set(row["cuts"]))))
+    running = running_sums(counts, ["metric"], ["value"], {f"c_{s}": f"n_{s}" for s in names}, bucket, few_groups=True)
+    totals = {f"total_{s}": per_metric(lambda row, s=s: F.lit(row[f"total_{s}"])) for s in names}
+    return running.withColumns(totals | {"pivot": per_metric(lambda row: F.lit(row["cuts"][n // 2 - 1]))})
+
+
 def metric_profile(
     df: DataFrame,
     split_col: str,
@@ -49,23 +86,17 @@ def metric_profile(
 ) -> DataFrame:
     """One row per metric: ``count_/mean_/std_/min_/max_<split>``, quantiles and ``ks_<a>_<b>``.
 
-    Equal values are counted first, so a value shared by a third of the rows is one row afterwards; the running
-    counts over distinct values give exact quantiles and the KS distance in the same pass.
+    One scan: equal values are counted first and written, so a value shared by a third of the rows is one row
+    afterwards, and bucket bounds, moments, exact quantiles and the KS distance all come from these counts.
+    Metrics without any value are left out then.
     """
     quantiles = QUARTILES if quantiles is None else quantiles
     typed = df.filter(F.col(split_col).isin(*splits)).select(split_col, *[F.col(m).cast("double").alias(m) for m in metrics])
-    moments = _moments(typed, split_col, splits, metrics)
     if not quantiles and not ks_pairs:
-        return moments
+        return _moments(typed, split_col, splits, metrics)
     long = long_metrics(typed, metrics, [split_col])
-    # both uses of these counts share one shuffle; count_if would plan them differently
-    counts = long.groupBy("metric", "value").agg(*[F.count(F.when(_in_split(split_col, s), 1)).alias(f"n_{s}") for s in splits])
-    bucket = column_buckets(typed, metrics, "metric", "value")
-    cumulative = running_sums(counts, ["metric"], ["value"], {f"c_{s}": f"n_{s}" for s in splits}, bucket, few_groups=True)
-    # one row per metric name on this side, so the hint is bounded by the length of the metric list
-    sized = cumulative.join(
-        F.broadcast(moments.select("metric", *[F.col(f"count_{s}").alias(f"total_{s}") for s in splits])), "metric"
-    )
+    counts = cut_lineage(long.groupBy("metric", "value").agg(*[F.count(F.when(_in_split(split_col, s), 1)).alias(f"n_{s}") for s in splits]))
+    sized = _running_counts(counts, splits)
     picks = [
         quantile_of(F.col(f"total_{s}"), q, F.col(f"c_{s}"), F.col(f"n_{s}"), F.col("value")).alias(f"{name}_{s}")
         for s in splits for name, q in quantiles.items()
@@ -74,7 +105,7 @@ def metric_profile(
         F.max(F.abs(F.col(f"c_{a}") / F.col(f"total_{a}") - F.col(f"c_{b}") / F.col(f"total_{b}"))).alias(f"ks_{a}_{b}")
         for a, b in ks_pairs
     ]
-    return moments.join(sized.groupBy("metric").agg(*picks, *gaps), "metric")
+    return sized.groupBy("metric").agg(*_counted_moments(splits), *picks, *gaps)
 
 
 def smd(profile_base: str, profile_other: str) -> Column:
@@ -195,6 +226,14 @@ def pooled_quantiles(df: DataFrame, metrics: Sequence[str], quantiles: dict[str,
     return profile.select("metric", *[F.col(f"{q}_all").alias(q) for q in quantiles])
 
 
+def _pooled_quantiles(counts: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """Exact quantiles per metric from counts of (metric, value, split)."""
+    sized = _running_counts(cut_lineage(counts.groupBy("metric", "value").agg(F.sum("n").alias("n_all"))), ["all"])
+    return sized.groupBy("metric").agg(*[
+        quantile_of(F.col("total_all"), q, F.col("c_all"), F.col("n_all"), F.col("value")).alias(name) for name, q in quantiles.items()
+    ])
+
+
 def density_histogram(
     df: DataFrame,
     split_col: str,
@@ -207,19 +246,20 @@ def density_histogram(
     """Density per (metric, split, bin) between pooled quantiles.
 
     ``mode="clip"`` moves outliers into the end bins; ``mode="filter"`` drops values above the upper quantile and
-    uses each split's own minimum and maximum as edges.
+    uses each split's own minimum and maximum as edges. Edges and bins come from the same counts of equal values.
     """
-    splits_long = long_metrics(df, metrics, [split_col])
+    if mode not in ("clip", "filter"):
+        raise ValueError(f"unknown mode {mode!r}")
+    typed = df.select(split_col, *[F.col(m).cast("double").alias(m) for m in metrics])
+    counts = cut_lineage(long_metrics(typed, metrics, [split_col]).groupBy("metric", "value", split_col).agg(F.count("*").alias("n")))
     if mode == "clip":
-        edges = pooled_quantiles(df, metrics, {"lo": low_q or 0.0, "hi": high_q})
+        edges = _pooled_quantiles(counts, {"lo": low_q or 0.0, "hi": high_q})
         edges = edges.withColumn("hi", F.when(F.col("hi") == F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")))
         # one row per metric: bounded by the metric list
-        joined = splits_long.join(F.broadcast(edges), "metric").withColumn(
-            "value", F.least(F.greatest("value", "lo"), F.col("hi"))
-        )
-    elif mode == "filter":
-        upper = pooled_quantiles(df, metrics, {"xmax": high_q})
-        kept = splits_long.join(F.broadcast(upper), "metric").filter(F.col("value") <= F.col("xmax"))
+        joined = counts.join(F.broadcast(edges), "metric").withColumn("value", F.least(F.greatest("value", "lo"), F.col("hi")))
+    else:
+        upper = _pooled_quantiles(counts, {"xmax": high_q})
+        kept = counts.join(F.broadcast(upper), "metric").filter(F.col("value") <= F.col("xmax"))
         edges = kept.groupBy("metric", split_col).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         edges = edges.select(
             "metric", split_col,
@@ -227,15 +267,13 @@ def density_histogram(
             F.when(F.col("hi") == F.col("lo"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
         )
         joined = kept.join(edges, ["metric", split_col])
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    counted = joined.select("metric", split_col, index.cast("int").alias("bin"), "lo", width.alias("width")).groupBy(
+    counted = joined.select("metric", split_col, "n", index.cast("int").alias("bin"), "lo", width.alias("width")).groupBy(
         "metric", split_col, "bin"
-    ).agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("width").alias("width"))
-    totals = counted.groupBy("metric", split_col).agg(F.sum("n").alias("total"))
-    return counted.join(totals, ["metric", split_col]).select(
+    ).agg(F.sum("n").alias("n"), F.first("lo").alias("lo"), F.first("width").alias("width"))
+    total = F.sum("n").over(Window.partitionBy("metric", split_col))  # as many rows as bins
+    return counted.withColumn("total", total).select(
         "metric", split_col, "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("edge"),
         "n", (F.col("n") / (F.col("total") * F.col("width"))).alias("density"),

@@ -34,32 +34,16 @@ def numeric_bucket(
     some = df.sample(fraction=BOUND_SAMPLE, seed=1)
     if by is None:
         found = some.agg(bounds).first()["bounds"]
-        return _bucket_of(value, sorted(set(found or [])))
+        return bucket_of(value, sorted(set(found or [])))
     cases = None
     for row in some.groupBy(by).agg(bounds).collect():
-        level = _bucket_of(value, sorted(set(row["bounds"] or [])))
+        level = bucket_of(value, sorted(set(row["bounds"] or [])))
         hit = F.col(by) == row[by]
         cases = F.when(hit, level) if cases is None else cases.when(hit, level)
     return F.lit(0) if cases is None else F.coalesce(cases, F.lit(0))
 
 
-def column_buckets(df: DataFrame, columns: list[str], name: str, value: str, buckets: int | None = None) -> Column:
-    """Buckets for the long form (``name``, ``value``) of several columns, with bounds taken from the wide form."""
-    n = buckets or shuffle_width(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
-    some = df.sample(fraction=BOUND_SAMPLE, seed=1)
-    found = some.agg(*[
-        F.percentile_approx(F.when(~F.isnan(c), F.col(c)), probs, 20 * n).alias(f"b{i}") for i, c in enumerate(columns)
-    ]).first()
-    cases = None
-    for i, c in enumerate(columns):
-        level = _bucket_of(F.col(value), sorted(set(found[f"b{i}"] or [])))
-        hit = F.col(name) == c
-        cases = F.when(hit, level) if cases is None else cases.when(hit, level)
-    return F.coalesce(cases, F.lit(0))
-
-
-def _bucket_of(value: Column, cuts: list) -> Column:
+def bucket_of(value: Column, cuts: list) -> Column:
     """Number of cuts below a value: nested comparisons that compile for few cuts, a filtered array for many."""
     if len(cuts) > 128:
         return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda b: b < value))
