@@ -145,7 +145,7 @@ r AS (SELECT *, CASE WHEN ('.' || host).ends_with('.example.net') AND path.start
   WHEN ('.' || host).ends_with('.net') AND path.starts_with('/') THEN 'net/' END AS rule FROM q),
 m AS (SELECT row_number() OVER () AS row_no, page_id, host, path, rule,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS side,
-  substr(md5(url), 1, 1) IN ('0', '1', '2') AS held,
+  substr(md5(host), 1, 1) IN ('0', '1', '2') AS held,
   regexp_replace(regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
     '[=&%_~+:;,#@!]', '?', 'g'), '[^a-z0./?\\-]', '*', 'g') AS marks FROM r),
 x AS MATERIALIZED (SELECT row_no, side, held, length(marks) AS len, substr('^^^' || marks, i, 4) AS gram FROM (
@@ -156,9 +156,9 @@ s AS (SELECT row_no, sum(ln(py) - ln(pn)) / max(len) AS score FROM x JOIN l4 ON
 j AS MATERIALIZED (SELECT m.*, score FROM m LEFT JOIN s USING (row_no)),
 b AS (SELECT least(greatest(floor((score + 5) / 0.02), 0), 500) AS step, count(*) FILTER (side = 'allow') AS y, count(*) FILTER (side = 'block') AS n
   FROM j WHERE held AND side IS NOT NULL AND score IS NOT NULL GROUP BY 1),
-e AS (SELECT step, round(coalesce(sum(y) OVER w, 0) / sum(y) OVER () + 1 - coalesce(sum(n) OVER w, 0) / sum(n) OVER (), 9) AS error FROM b
+e AS (SELECT step, coalesce(lag(step) OVER (ORDER BY step) + 1, step) AS low, round(coalesce(sum(y) OVER w, 0) / sum(y) OVER () + 1 - coalesce(sum(n) OVER w, 0) / sum(n) OVER (), 9) AS error FROM b
   WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-k AS (SELECT step * 0.02 - 5 AS cut FROM e ORDER BY error, step LIMIT 1)
+k AS (SELECT CASE WHEN error IS NULL THEN 0 ELSE (low + step) / 2 * 0.02 - 5 END AS cut FROM e ORDER BY error, low - step, step LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(side, CASE WHEN score < (SELECT cut FROM k) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
 
 

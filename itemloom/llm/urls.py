@@ -6,8 +6,10 @@ apart. Both models are variable-order Markov models: the estimate for a context
 Witten-Bell weights on two, one and none, in proportion to how many different symbols followed the context, and an unseen
 context counts not at all. A url's score is the mean over its characters of log p(accepted) - log p(rejected).
 
-Four fifths of the rule-decided urls (by md5 of the url) are counted; the others calibrate the cut, in steps of 0.02,
-where the sum of both error rates is smallest (of equal ones the lowest cut); without held-out urls of both sides the cut is 0. Counts cover every url. The table of
+The rule-decided urls of four fifths of the hosts (by md5 of the host) are counted; those of the other hosts, which the
+models have not seen, calibrate the cut. Scores are put into steps of 0.02; between two steps that hold scores every
+cut has the same sum of both error rates, and the cut is the middle of the interval where it is smallest (of equal ones the
+widest, then the lowest). Without held-out urls of both sides the cut is 0. Counts cover every url. The table of
 4-grams has at most 33**4 rows whatever the input, so it may be broadcast.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; an url without characters, and
@@ -88,15 +90,18 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
 
 def calibrated_cut(scores: DataFrame) -> float:
-    """Cut on (score, side) rows with the smallest sum of error rates; from a table of at most 501 steps."""
+    """Middle of the best interval for a cut on (score, side) rows; from a table of at most 501 steps."""
     steps = int(2 * SPAN / STEP)
     step = F.least(F.greatest(F.floor((F.col("score") + SPAN) / STEP), F.lit(0)), F.lit(steps)).alias("step")
     bins = scores.groupBy(step).agg(F.sum((F.col("side") == "allow").cast("int")).alias("yes"), F.sum((F.col("side") == "block").cast("int")).alias("no"))
-    below, everything = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    in_order = Window.orderBy("step")
+    below, everything = in_order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     lost = F.try_divide(F.coalesce(F.sum("yes").over(below), F.lit(0)), F.sum("yes").over(everything))
     passed = 1 - F.try_divide(F.coalesce(F.sum("no").over(below), F.lit(0)), F.sum("no").over(everything))
-    best = bins.select("step", F.round(lost + passed, 9).alias("error")).orderBy("error", "step").first()
-    return best["step"] * STEP - SPAN if best is not None and best["error"] is not None else 0.0
+    low = F.coalesce(F.lag("step").over(in_order) + 1, F.col("step"))
+    intervals = bins.select("step", low.alias("low"), F.round(lost + passed, 9).alias("error"))
+    best = intervals.orderBy("error", F.col("low") - F.col("step"), "step").first()
+    return (best["low"] + best["step"]) / 2 * STEP - SPAN if best is not None and best["error"] is not None else 0.0
 
 
 def filtered(pages: DataFrame, rules: dict[str, str], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -105,7 +110,7 @@ def filtered(pages: DataFrame, rules: dict[str, str], id_column: str = "page_id"
     rows = pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_column).alias("id"), F.col(url_column).alias("url"))
     rows = rows.withColumns({"host": host, "path": path})
     rule, side = ruled(F.col("host"), F.col("path"), rules)
-    held = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1).isin("0", "1", "2")
+    held = F.substring(F.md5("host"), 1, 1).isin("0", "1", "2")
     rows = stored(
         rows.withColumns({"rule": rule, "side": side, "held": held, "marks": symbols(F.coalesce("url", F.lit("")))}).drop("url"), "urls"
     )
