@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from itemloom.catalog import views
 from itemloom.catalog.base import query, table
 from itemloom.catalog.curation_queries import HAM
-from itemloom.catalog.profile_queries import r6, rounded
-from itemloom.functions import probs as pr
-from itemloom.operators import embeddings as em, images as io_, predictions as pd_, quality as qc
+from itemloom.catalog.model_queries import ANSWERS, VF, wide_votes
+from itemloom.catalog.profile_queries import NORM, TYPE3, r6, rounded
+from itemloom import CHOICES
+from itemloom.functions import probs as pr, text as tx
+from itemloom.operators import embeddings as em, images as io_, profile as pf, quality as qc, votes as vt
+from itemloom.plans.flows import run_report
 from itemloom.session import ensure_checkpoint_dir
 from itemloom.sources import readers as rd, writers as wr
 from itemloom.streaming import incremental as inc
@@ -339,11 +342,37 @@ def em10(spark, sf):
     return rounded(em.distinguishing_ngrams(labelled_text(spark, sf), "full_text", "label"))
 
 
-@query("ag19_run_report", "SELECT * FROM (VALUES (1)) JOIN LATERAL (SELECT concat('n_',split) AS measure, CAST(count(*) AS DOUBLE) AS value FROM items GROUP BY split UNION ALL SELECT concat('question_len_mean_',split), round(avg(length(question)),6) FROM items GROUP BY split UNION ALL SELECT 'shared_questions', CAST((SELECT count(*) FROM (SELECT question FROM items WHERE split='train' INTERSECT SELECT question FROM items WHERE split='test')) AS DOUBLE)) ON TRUE".replace("SELECT * FROM (VALUES (1)) JOIN LATERAL (", "SELECT measure, value FROM (").replace(") ON TRUE", ")"), ("items",))
-def ag19(spark, sf):
-    from itemloom.plans.flows import run_report
+def _area_sql(name, flag):
+    return f"""SELECT '{name}', avg(auc) FROM (SELECT lang, sum(pos*(below-neg/2.0))/(sum(pos)*sum(neg)) AS auc FROM (
+  SELECT *, sum(neg) OVER (PARTITION BY lang ORDER BY score) AS below FROM (SELECT lang, score, sum({flag}) AS pos, sum(1-{flag}) AS neg FROM scored GROUP BY 1, 2)) GROUP BY 1)"""
+
+
+_Q, _O = NORM.format(c="question"), [NORM.format(c=c) for c in "abcd"]
+RUN_REPORT = f"""WITH {VF}, it AS (SELECT pos, split, lang, {_Q} AS q, ({"+".join(f"length({o})" for o in _O)})/4 AS o, concat_ws(' || ', {_Q}, {", ".join(_O)}) AS p, {TYPE3} AS question_type FROM items),
+scored AS (SELECT lang, length(p) AS score, (split<>'train')::INT AS other, (pos%10=9)::INT AS dev FROM it),
+v AS (SELECT vote_entropy, consensus_ratio FROM it JOIN f ON f.item_id=it.pos WHERE split='dev'),
+c AS (SELECT question_type, count(*) FILTER (split='train') AS a, count(*) FILTER (split='test') AS b FROM it WHERE split IN ('train','test') GROUP BY 1),
+s AS (SELECT a/sum(a) OVER () AS p, b/sum(b) OVER () AS q FROM c),
+m(measure, value) AS (SELECT concat('n_', split), CAST(count(*) AS DOUBLE) FROM it GROUP BY split UNION ALL SELECT concat(split, '_question_len_mean'), avg(length(q)) FROM it GROUP BY split
+UNION ALL SELECT concat(split, '_option_len_mean'), avg(o) FROM it GROUP BY split
+UNION ALL SELECT 'train_test_question_exact_overlap', CAST(count(*) AS DOUBLE) FROM (SELECT q FROM it WHERE split='train' INTERSECT SELECT q FROM it WHERE split='test')
+UNION ALL SELECT 'train_test_full_problem_exact_overlap', CAST(count(*) AS DOUBLE) FROM (SELECT p FROM it WHERE split='train' INTERSECT SELECT p FROM it WHERE split='test')
+UNION ALL SELECT 'dev_vote_entropy_mean', avg(vote_entropy) FROM v UNION ALL SELECT 'dev_consensus_ratio_mean', avg(consensus_ratio) FROM v
+UNION ALL {_area_sql('train_test_domain_auc_mean', 'other')} UNION ALL {_area_sql('train_dev_ambiguity_auc_mean', 'dev')}
+UNION ALL SELECT 'question_type_js_distance_train_test', sqrt(greatest(sum((CASE WHEN p>0 THEN p*log2(p/((p+q)/2)) ELSE 0 END)+(CASE WHEN q>0 THEN q*log2(q/((p+q)/2)) ELSE 0 END))/2, 0)) FROM s)
+SELECT measure, round(value,6)+0.0 AS value FROM m"""
 
-    return rounded(run_report(views.items(spark, sf), "split", ["question"]))
+
+@query("ag19_run_report", RUN_REPORT, ("items", "vote_counts"))
+def ag19(spark, sf):
+    """All sixteen measures; the areas are those of a length score in every language, in place of a classifier's folds."""
+    it = views.items(spark, sf)
+    votes = vt.vote_features(wide_votes(spark, sf), ANSWERS)
+    length = F.length(tx.problem_signature("question_norm", [f"{c}_norm" for c in CHOICES])).cast("double").alias("score")
+    flags = {"train_test_domain_auc_mean": F.col("split") != "train", "train_dev_ambiguity_auc_mean": F.col("pos") % 10 == 9}
+    scored = pf.normalize_columns(it)
+    areas = {n: em.roc_auc(scored.select("lang", length, flag.cast("int").alias("label")), by="lang") for n, flag in flags.items()}
+    return rounded(run_report(it, votes=votes, areas=areas))
 
 
 # ---- sinks --------------------------------------------------------------------------------------------------------

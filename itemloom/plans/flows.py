@@ -8,22 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom import CHOICES
-from itemloom.functions import rules
+from itemloom.functions import rules, text as tx
 from itemloom.operators import curation as cu, dedup as dd, distribution as ds, predictions as pd_, profile as pf, quality as qc
 from itemloom.operators import splitting as sp
 
 
-def run_report(items: DataFrame, split_col: str, length_columns: Sequence[str], base: str = "train", other: str = "test") -> DataFrame:
-    """Key/value report: rows and mean lengths per split and questions shared by two splits."""
-    per_split = items.groupBy(split_col).agg(
-        F.count("*").cast("double").alias("n"), *[F.avg(F.length(c)).alias(f"{c}_len_mean") for c in length_columns]
-    )
-    names = ["n", *[f"{c}_len_mean" for c in length_columns]]
-    long = per_split.unpivot([split_col], names, "kind", "value").select(F.concat_ws("_", "kind", split_col).alias("measure"), "value")
-    shared = qc.text_overlap(items, split_col, base, other, {"question": F.col("question")}).select(
-        F.lit("shared_questions").alias("measure"), F.col("shared").cast("double").alias("value")
-    )
-    return long.unionByName(shared)
+def run_report(
+    items: DataFrame, splits: Sequence[str] = ("train", "dev", "test"), votes: DataFrame | None = None, areas: dict[str, DataFrame] | None = None,
+    base: str = "train", other: str = "test", voted: str = "dev", position: str = "pos",
+) -> DataFrame:
+    """Key/value report of a text run.
+
+    Rows, mean question and mean option length of every split; normalized questions and whole problems shared by two splits; the
+    distance of their question types; with ``votes`` (item_id, vote_entropy, consensus_ratio), means over the items of one
+    split; with ``areas`` (measure name to a table with one ``auc`` per fold), mean areas. Counts and means come from one wide
+    aggregate, which is turned into rows.
+    """
+    features = pf.text_features(items)
+    if votes is not None:
+        known = votes.select(F.col("item_id").alias("__item"), "vote_entropy", "consensus_ratio")
+        features = features.join(known, F.col(position) == F.col("__item"), "left")
+    own = {s: F.col("split") == s for s in splits}
+    measures = {f"n_{s}": F.count_if(own[s]).cast("double") for s in splits}
+    measures |= {f"{s}_question_len_mean": F.avg(F.when(own[s], F.col("question_char_len"))) for s in splits}
+    measures |= {f"{s}_option_len_mean": F.avg(F.when(own[s], F.col("option_char_mean"))) for s in splits}
+    if votes is not None:
+        measures |= {f"{voted}_{c}_mean": F.avg(F.when(F.col("split") == voted, F.col(c))) for c in ("vote_entropy", "consensus_ratio")}
+    wide = features.agg(*[m.alias(n) for n, m in measures.items()])
+    long = wide.unpivot([], list(measures), "measure", "value")
+    keys = {"question": F.col("question_norm"), "full_problem": tx.problem_signature("question_norm", [f"{c}_norm" for c in CHOICES])}
+    shared = qc.text_overlap(features, "split", base, other, keys)
+    long = long.unionByName(shared.select(F.concat(F.lit(f"{base}_{other}_"), "kind", F.lit("_exact_overlap")).alias("measure"), F.col("shared").cast("double").alias("value")))
+    types = ds.jensen_shannon(features, "split", base, other, "question_type")
+    long = long.unionByName(types.select(F.lit(f"question_type_js_distance_{base}_{other}").alias("measure"), F.col("js_distance").alias("value")))
+    for name, per_fold in (areas or {}).items():
+        long = long.unionByName(per_fold.agg(F.avg("auc").alias("value")).select(F.lit(name).alias("measure"), "value"))
+    return long
 
 
 def profile_flow(items: DataFrame, splits: Sequence[str] = ("train", "test", "dev"), hash_col: str | None = None) -> dict[str, DataFrame]:
@@ -40,7 +60,7 @@ def profile_flow(items: DataFrame, splits: Sequence[str] = ("train", "test", "de
         "blank": qc.blank_counts(items, ["question", *CHOICES]),
         "in_split_duplicates": qc.in_split_duplicates(features, "split"),
         "choice_overview": pf.choice_overview(items),
-        "report": run_report(items, "split", ["question"], base, other),
+        "report": run_report(items, splits, base=base, other=other),
     }
     if hash_col:
         groups = dd.exact_groups(items, hash_col, "split", splits)
