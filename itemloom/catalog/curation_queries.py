@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from itemloom import CHOICES
@@ -10,6 +12,7 @@ from itemloom.catalog.base import query, table
 from itemloom.catalog.profile_queries import NORM, TYPE1, TYPE2, r6, rounded
 from itemloom.functions import answers as an, hashing as hs, rules, text as tx
 from itemloom.operators import curation as cu, dedup as dd, ocr, ordering, profile as pf, prompts as pm, quality as qc, splitting as sp
+from itemloom.session import ensure_checkpoint_dir
 from itemloom.sources import readers as rd, schema as sc
 
 SPLITS = ["train", "test", "dev"]
@@ -666,6 +669,37 @@ def src1(spark, sf):
     return both.groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("s"))
 
 
+@query("src1_csv_round_trip", "SELECT split, id, nullif(question,'') AS question, answer, CASE WHEN split='dev' THEN NULL ELSE nullif(a,'') END AS a FROM items", ("items",))
+def src1_csv(spark, sf):
+    """Splits written and read as CSV: whole texts with line breaks and quotes, and a column that one split lacks."""
+    root = f"{ensure_checkpoint_dir(spark)}/splits-{uuid.uuid4().hex[:12]}"
+    it = views.items(spark, sf)
+    for split in ("train", "test", "dev"):
+        columns = ["id", "question", "answer"] + ([] if split == "dev" else ["a"])
+        part = it.filter(F.col("split") == split).select(*columns)
+        part.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{split}.csv")
+    return rd.read_splits(spark, root).select("split", "id", "question", "answer", "a")
+
+
+EDIT_CELLS = ("id", "action", "field", "before", "after")
+
+
+@query("src2_edit_records", """SELECT id, action, field, before, after, FALSE AS bad FROM edits
+UNION ALL SELECT concat('doc_', doc_id), 'delete', NULL, NULL, NULL, TRUE FROM labels WHERE quality=0
+UNION ALL SELECT concat('doc_', doc_id), 'delete', NULL, NULL, NULL, TRUE FROM labels WHERE toxic=1""", ("edits",))
+def src2(spark, sf):
+    """An edit log as text, with records of too few and of too many cells among the others."""
+    path = f"{ensure_checkpoint_dir(spark)}/edits-{uuid.uuid4().hex[:12]}"
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in EDIT_CELLS]
+    labels = table(spark, sf, "labels")
+    name = F.concat(F.lit("doc_"), "doc_id")
+    lines = views.edits(spark, sf).select(F.concat_ws(",", *quoted).alias("value"))
+    lines = lines.unionByName(labels.filter("quality = 0").select(F.concat(name, F.lit(",delete")).alias("value")))
+    lines = lines.unionByName(labels.filter("toxic = 1").select(F.concat(name, F.lit(",delete,,,,more")).alias("value")))
+    lines.write.text(path)
+    return rd.read_records(spark, path, EDIT_CELLS, header=False).select(*EDIT_CELLS, F.col("bad_record").isNotNull().alias("bad"))
+
+
 @query("src6_flatten_qa", f"SELECT u.conv_id, CAST(floor(u.turn/2) AS INT) AS k, {NORM.format(c='u.text')} AS question, {NORM.format(c='s.text')} AS answer_text FROM conversations u JOIN conversations s ON s.conv_id=u.conv_id AND s.turn=u.turn+1 WHERE u.turn%2=0")
 def src6(spark, sf):
     c = table(spark, sf, "conversations")

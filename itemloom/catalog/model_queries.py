@@ -66,6 +66,24 @@ def vt5(spark, sf):
     return w.select("item_id", *[F.element_at(v, i + 1).alias(f"n_{c}") for i, c in enumerate(CHOICES)])
 
 
+@query("vt4_detected_votes", "SELECT layout, item_id, n_a, n_b, n_c, n_d FROM vote_counts, (VALUES ('annotators'), ('counts'), ('string'), ('mapping')) l(layout)", ("vote_counts",))
+def vt4(spark, sf):
+    """The same votes in four layouts, whose columns are found by name."""
+    wide = wide_votes(spark, sf)
+    letters = F.filter(F.array(*ANSWERS), lambda v: v.isNotNull())
+    each = [F.size(letters) - F.size(F.array_remove(letters, c)) for c in CHOICES]
+    mapping = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f"'{c}': "), n.cast("string")) for c, n in zip(CHOICES, each)]), F.lit("}"))
+    layouts = {
+        "annotators": wide, "counts": wide.select("item_id", *[n.alias(f"{c}_votes") for c, n in zip(CHOICES, each)]),
+        "string": wide.select("item_id", F.concat(F.array_join(letters, "|"), F.lit("|")).alias("human_votes")), "mapping": wide.select("item_id", mapping.alias("vote_dist")),
+    }
+    out = None
+    for name, frame in layouts.items():
+        counts = vt.vote_vector(frame).select(F.lit(name).alias("layout"), "item_id", *[F.element_at("votes", i + 1).cast("long").alias(f"n_{c}") for i, c in enumerate(CHOICES)])
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 @query("vt6_vote_pattern", f"WITH {VF} SELECT item_id, coalesce(pattern,'') AS vote_pattern FROM f", ("vote_counts",))
 def vt6(spark, sf):
     return vt.with_patterns(vt.vote_vector(wide_votes(spark, sf))).select("item_id", "vote_pattern")

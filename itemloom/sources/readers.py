@@ -40,6 +40,18 @@ def read_edit_list(spark: SparkSession, path: str, columns: Sequence[str]) -> Da
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
 
 
+def read_records(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
+    """CSV records as text with what did not fit: ``bad_record`` holds the raw text of records with too few or too many
+    cells, else null, and ``source_file`` the file that a record came from. Quoted line breaks belong to their record, and
+    empty cells are empty text; in a bad record, cells that are empty or lacking are null. Nothing is dropped.
+    """
+    schema = ", ".join([*(f"`{c}` string" for c in columns), "bad_record string"])
+    reader = spark.read.option("header", header).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\u0000")
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_record").option("enforceSchema", True).schema(schema).csv(path)
+    cells = [F.when(F.col("bad_record").isNull() & F.col(c).isNull(), "").otherwise(F.col(c)).alias(c) for c in columns]
+    return rows.select(*cells, "bad_record", F.col("_metadata.file_name").alias("source_file"))
+
+
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
     """Decoded pixels; an unreadable file is a row with width -1 unless dropped."""
     df = spark.read.format("image").option("dropInvalid", drop_invalid).option("recursiveFileLookup", True).load(path)

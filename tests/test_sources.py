@@ -27,6 +27,16 @@ def test_edit_list_keeps_blanks(spark, tmp_path):
     assert got[0].before == "" and got[0].after == "NA" and got[1].after == ""
 
 
+def test_records_keep_what_does_not_fit(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,action,note\nx,edit,"two\nlines, ""quoted"""\nshort\ny,delete,\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("id,action,note\nz,delete,too,many\n", encoding="utf-8")
+    got = {r.id: r for r in rd.read_records(spark, str(tmp_path), ["id", "action", "note"]).collect()}
+    assert set(got) == {"x", "short", "y", "z"}
+    assert got["x"].note == 'two\nlines, "quoted"' and got["x"].bad_record is None and got["y"].note == ""
+    assert got["short"].bad_record.startswith("short") and got["short"].action is None
+    assert got["z"].bad_record.startswith("z,delete,too,many") and (got["x"].source_file, got["z"].source_file) == ("a.csv", "b.csv")
+
+
 def test_flatten_python_literals(spark):
     text = "[{'question': 'a  b', 'answer': ' x '}, {'question': 'c', 'answer': 'y'}]"
     got = rd.flatten_qa(spark.createDataFrame([("g", text)], "img string, qa string"), "img", "qa").orderBy("k").collect()
