@@ -2,10 +2,11 @@
 
 Lines are normalised (A-Z lower-cased, digits as 0, words joined by one space) and hashed. Per host and line the number
 of distinct documents is counted; lines above the host's limit are removed, and a document that is depleted by that is
-rejected. Copies must not make their own lines frequent, so documents count as distinct when the rest of their text
-differs: each line goes with the smallest hash over the 8-word windows that start in the document's other lines. Exact
-copies agree in it always and near copies mostly, while unrelated documents that share a line do not. Lines of a shared
-block of several lines may see the block's own windows as the smallest; they then count lower, never higher.
+rejected. Copies must not make their own lines frequent, so documents count as distinct when their own text differs. That
+takes two counts: a plain one finds the lines that stand in more documents than the limit; then each document with such
+lines is named by the smallest hash over the 8-word windows that start in its other lines, and the names are counted.
+Exact copies agree in their name always and near copies mostly, while unrelated documents that share a block of lines, of
+whatever length, do not. A document of such lines only is named by all of its windows, so its copies agree too.
 
 The limit of a host is the larger of ``min_documents`` and ``share`` of its documents. A document is depleted when lines
 were removed and fewer than ``min_words`` words remain or more than ``max_lost`` of its words went.
@@ -36,12 +37,12 @@ _NO_CHARACTER = b" \t\n\v\f\r" + bytes(range(0x80, 0xC0))
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _SIGNATURE = (
     "row_no long, id {kind}, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, lines array<struct<line:long,rest:long,words:int>>"
+    "n_repeat_words long, lines array<struct<line:long,own:long,words:int>>"
 )
 
 
 def _profile(text: bytes, hasher: WordHasher) -> tuple:
-    """Base figures of a text and its distinct lines: hash, smallest window hash elsewhere, words over all repeats."""
+    """Base figures of a text and its distinct lines: hash, smallest hash of a window that starts in it, words over all repeats."""
     words = text.split()
     n = len(words)
     chars = len(text.translate(None, _NO_CHARACTER))
@@ -62,11 +63,8 @@ def _profile(text: bytes, hasher: WordHasher) -> tuple:
         for line, (_, c), m in zip(plain, full, np.minimum.reduceat(padded, starts).tolist(), strict=True):
             sizes[line] = sizes.get(line, 0) + c
             least[line] = min(m, least.get(line, int(low)))
-    two = sorted(least.values())[:2] + [int(low)]
-    names = [line_hash(x) for x in sizes]
     lines = [
-        {"line": h, "rest": _signed(two[1] if least[line] == two[0] else two[0]), "words": words_of}
-        for h, (line, words_of) in zip(names, sizes.items(), strict=True)
+        {"line": line_hash(line), "own": None if least[line] == int(low) else _signed(least[line]), "words": words_of} for line, words_of in sizes.items()
     ]
     return n, chars, symbols, dup_lines, repeat, lines
 
@@ -100,7 +98,7 @@ def _repeated(windows: np.ndarray, n: int) -> int:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
-    kind = pa.list_(pa.struct([("line", pa.int64()), ("rest", pa.int64()), ("words", pa.int32())]))
+    kind = pa.list_(pa.struct([("line", pa.int64()), ("own", pa.int64()), ("words", pa.int32())]))
     names = ["row_no", "id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
     for batch in batches:
         for at in range(0, len(batch), 500):
@@ -111,6 +109,12 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:4], *made, pa.array(lines, kind)], names)
 
 
+def _over_limit(counts: DataFrame, hosts: DataFrame, least: int) -> DataFrame:
+    """(h, l): the lines of (host, line, n_documents) above their host's limit, which is ``least`` or more."""
+    over = counts.filter(F.col("n_documents") > least).join(hosts, counts["host"].eqNullSafe(hosts["host"])).filter(F.col("n_documents") > F.col("most"))
+    return stored(over.select(counts["host"].alias("h"), F.col("line").alias("l")), "frequent-lines")
+
+
 def line_rules(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
     min_documents: int = 20, share: float = 0.005, min_words: int = 20, max_lost: float = 0.6, min_length: int = 20,
@@ -130,13 +134,12 @@ def line_rules(
     hosts = seen.groupBy("host").agg(F.greatest(F.lit(float(min_documents)), F.count("*") * share).alias("most"))
     # inline is a narrow generator: host and one line at a time
     lines = seen.select("row_no", "host", F.inline("lines"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("rest").alias("n_documents"))
-    # no line below the smallest limit can be above its host's
-    above = stored(
-        counts.filter(F.col("n_documents") > min_documents).join(hosts, counts["host"].eqNullSafe(hosts["host"]))
-        .filter(F.col("n_documents") > F.col("most")).select(counts["host"].alias("h"), F.col("line").alias("l")),
-        "frequent-lines",
-    )
+    often = _over_limit(lines.groupBy("host", "line").agg(F.count("*").alias("n_documents")), hosts, min_documents)
+    marked = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left").withColumn("often", F.col("l").isNotNull())
+    own = F.coalesce(F.min(F.when(~F.col("often"), F.col("own"))), F.min("own"), F.lit(0))
+    named = marked.groupBy("row_no").agg(own.alias("name"), F.max("often").alias("any_often")).filter("any_often")
+    again = marked.filter("often").select("row_no", "host", "line").join(named.select(F.col("row_no").alias("n_row"), "name"), F.col("row_no") == F.col("n_row"))
+    above = _over_limit(again.groupBy("host", "line").agg(F.count_distinct("name").alias("n_documents")), hosts, min_documents)
     lost = (
         lines.join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
         .groupBy("row_no").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("removed"))

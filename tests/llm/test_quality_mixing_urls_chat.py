@@ -68,6 +68,58 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert out[60]["text"] == dict((r[0], r[1]) for r in rows)[60]
 
 
+def plain_rules(rows, least=20, share=0.005, min_words=20, max_lost=0.6):
+    """(id, n_lost_words, kept) by counting names of documents line by line."""
+    hasher, docs = WordHasher(), []
+    for i, text, host in rows:
+        words = (text or "").encode().split()
+        windows = quality_rules.runs(hasher(words), 8).tolist()
+        sizes, own, at = Counter(), {}, 0
+        for line in (text or "").encode().split(b"\n"):
+            n = len(line.split())
+            if n:
+                key = quality_rules.normalised(line)
+                sizes[key] += n
+                own.setdefault(key, []).extend(windows[at : at + n])
+                at += n
+        docs.append((i, host, len(words), sizes, own))
+    limit = {h: max(least, share * n) for h, n in Counter(d[1] for d in docs).items()}
+    plain = Counter((d[1], line) for d in docs for line in d[3])
+    often = {k for k, n in plain.items() if n > limit[k[0]]}
+    names = {}
+    for k, (_, host, _, sizes, own) in enumerate(docs):
+        signed = lambda lines: [quality_rules._signed(x) for line in lines for x in own[line]]
+        name = min(signed([x for x in sizes if (host, x) not in often]), default=None)
+        name = min(signed(sizes), default=0) if name is None else name
+        for line in sizes:
+            if (host, line) in often:
+                names.setdefault((host, line), set()).add(name)
+    above = {k for k, found in names.items() if len(found) > limit[k[0]]}
+    out = []
+    for (i, host, n, sizes, _), (_, text, _) in zip(docs, rows):
+        figures = base(text)
+        failed = n < 20 or 100 * figures[4] > 30 * n
+        lost = sum(c for line, c in sizes.items() if (host, line) in above)
+        out.append((i, lost, not failed and not (lost > 0 and (n - lost < min_words or lost > max_lost * n))))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("footer", [1, 2, 8, 20])
+def test_lines_of_a_shared_block_get_their_true_count(spark, odd_docs, footer):
+    rnd = random.Random(footer)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    block = "\n".join(prose(6) for _ in range(footer))
+    rows = [(i, f"{prose(15)}\n{prose(15)}\n{block}", "site") for i in range(100, 160)]
+    copy = f"{prose(40)}\n{prose(40)}\n{prose(9)}"
+    rows += [(i, copy, "site") for i in range(200, 260)]  # copies do not make their own lines frequent
+    rows += [(i, f"{copy}\n{block}", "site") for i in range(300, 330)] + [(400 + i, block, "site") for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(odd_docs.select("doc_id", "text", "source"))
+    got = quality_rules.line_rules(docs).collect()
+    assert Counter((r["doc_id"], r["n_lost_words"], r["kept"]) for r in got) == plain_rules([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    lost = {r["doc_id"]: r["n_lost_words"] for r in got}
+    assert all(lost[i] == 6 * footer for i in range(100, 160)) and all(lost[i] == 0 for i in range(200, 260))
+
+
 def test_raking_meets_its_targets_and_the_sample_its_budget(spark, odd_docs, no_docs):
     rnd = random.Random(1)
     cells = [(s, l, t, rnd.randrange(50, 4000)) for s in "abc" for l in ("en", "de") for t in ("prose", "legal")]
