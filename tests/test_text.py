@@ -96,7 +96,9 @@ def test_prompt_with_and_without_recognized_text(spark):
     df = spark.createDataFrame([(" 몇 층? ", "w" * 700), ("색?", " nan "), ("x", None)], "q string, o string")
     out = [r[0] for r in df.select(pm.user_prompt(F.col("q"), [F.lit(c) for c in "wxyz"], F.col("o"))).collect()]
     assert out[0].split("\n")[0] == "질문: 몇 층?"
-    assert "w" * 600 in out[0] and "w" * 601 not in out[0]
+    assert "w" * 700 in out[0]  # whole, unless a length is asked for
+    short = df.select(pm.user_prompt(F.col("q"), [F.lit(c) for c in "wxyz"], F.col("o"), ocr_chars=600)).first()[0]
+    assert "w" * 600 in short and "w" * 601 not in short
     assert pm.OCR_TITLE not in out[1] and pm.OCR_TITLE not in out[2]
     assert out[2].endswith("(a) w\n(b) x\n(c) y\n(d) z\n\n" + pm.INSTRUCTION)
 
