@@ -309,7 +309,7 @@ def _grams(c):
 
 @query("txt12_ngram_sets", "SELECT id, gram FROM (SELECT id, unnest(" + _grams("a") + ") AS gram FROM items)", ("items",))
 def txt12(spark, sf):
-    return views.items(spark, sf).select("id", F.explode(tx.ngram_set(F.col("a"))).alias("gram"))
+    return pf.normalize_columns(views.items(spark, sf), ["a"]).select("id", F.explode(tx.ngram_set(F.col("a_norm"))).alias("gram"))
 
 
 def _jac(x, y):
@@ -325,8 +325,8 @@ SIM_COLS = [x + y for x, y in PAIRS]
 
 @query("txt13_ngram_jaccard", f"WITH {SIMS} SELECT id, round(ab,6)+0.0 AS similarity FROM sims", ("items",))
 def txt13(spark, sf):
-    sim = tx.jaccard(tx.ngram_set(F.col("a")), tx.ngram_set(F.col("b")))
-    return views.items(spark, sf).select("id", r6(sim).alias("similarity"))
+    sim = tx.jaccard(tx.ngram_set(F.col("a_norm")), tx.ngram_set(F.col("b_norm")))
+    return pf.normalize_columns(views.items(spark, sf), ["a", "b"]).select("id", r6(sim).alias("similarity"))
 
 
 @query("txt14_option_similarity", f"WITH {SIMS} SELECT id, round(({'+'.join(SIM_COLS)})/6,6)+0.0 AS option_similarity_mean, round(greatest({','.join(SIM_COLS)}),6)+0.0 AS option_similarity_max FROM sims", ("items",))

@@ -76,18 +76,15 @@ def letters(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All length-n character windows in order; empty when the text is shorter than n."""
-    chars = letters(text)
-    size = F.length(text)
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(chars, i, n), ""),
-    )
-    return F.when(size >= n, windows).otherwise(F.array().cast("array<string>"))
+    """All runs of n characters, one for each start, in one pass over the text; none when the text is shorter.
+
+    No run starts in the middle of a character that takes two units.
+    """
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{n}}}))"), F.lit(1))
 
 
 def ngram_set(text: Column, n: int = 2) -> Column:
-    """Distinct n-grams of the lower-cased, blank-free text; shorter text is its own only gram."""
+    """Distinct n-grams of the lower-cased, blank-free text, which is to be normalized before; shorter text is its own only gram."""
     t = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
     return (
         F.when(F.length(t) == 0, F.array().cast("array<string>"))

@@ -78,13 +78,14 @@ def text_features(df: DataFrame) -> DataFrame:
 
 
 def option_similarity(df: DataFrame, suffix: str = "") -> DataFrame:
-    """Mean and maximum bigram similarity over the six option pairs."""
-    out = df.withColumns({f"__g_{c}": tx.ngram_set(F.col(c + suffix)) for c in CHOICES})
+    """Mean and maximum bigram similarity over the six option pairs; columns without a suffix are normalized first."""
+    out = df if suffix else df.withColumns({f"{c}__plain": tx.normalize_text(F.col(c)) for c in CHOICES})
+    out = out.withColumns({f"__g_{c}": tx.ngram_set(F.col(c + (suffix or "__plain"))) for c in CHOICES})
     pairs = [(x, y) for i, x in enumerate(CHOICES) for y in CHOICES[i + 1:]]
     out = out.withColumn("__sims", F.array(*[tx.jaccard(F.col(f"__g_{x}"), F.col(f"__g_{y}")) for x, y in pairs]))
     mean = F.aggregate("__sims", F.lit(0.0), lambda acc, s: acc + s) / len(pairs)
     return out.withColumns({"option_similarity_mean": mean, "option_similarity_max": F.array_max("__sims")}).drop(
-        "__sims", *[f"__g_{c}" for c in CHOICES]
+        "__sims", *[f"__g_{c}" for c in CHOICES], *([] if suffix else [f"{c}__plain" for c in CHOICES])
     )
 
 
@@ -131,8 +132,9 @@ def top_prefixes(df: DataFrame, column: str, chars: int = 12, k: int = 30) -> Da
 
 
 def top_tokens(df: DataFrame, column: str, k: int = 40, stop_words: Sequence[str] = rules.STOP_WORDS) -> DataFrame:
-    """Most frequent lower-cased tokens longer than one character, stop words removed."""
-    tokens = spread(df.select(column)).select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[가-힣A-Za-z0-9]+"), F.lit(0))).alias("token"))
+    """Most frequent tokens of the normalized, lower-cased text that are longer than one character, stop words removed."""
+    text = F.lower(tx.normalize_text(F.col(column)))
+    tokens = spread(df.select(column)).select(F.explode(F.regexp_extract_all(text, F.lit("[가-힣A-Za-z0-9]+"), F.lit(0))).alias("token"))
     kept = tokens.filter((F.length("token") > 1) & ~F.col("token").isin(*stop_words))
     return top_values(kept, "token", k)
 

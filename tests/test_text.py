@@ -111,3 +111,13 @@ def test_option_features(spark):
     assert r.numeric_option_count == 1 and r.question_has_digit and r.question_has_question_mark
     assert (r.answer_char_len, r.wrong_char_mean) == (2, pytest.approx(5 / 3))
     assert r.option_similarity_max == 0.0
+
+
+def test_tokens_and_ngrams_of_compatible_forms(spark):
+    df = spark.createDataFrame([("ＡＢＣ　abc ﬁne ①②",), (None,)], "t string")
+    assert {r.token: r.n for r in pf.top_tokens(df, "t").collect()} == {"abc": 2, "fine": 1, "12": 1}
+    sets = [sorted(r[0]) for r in pf.normalize_columns(df, ["t"]).select(tx.ngram_set(F.col("t_norm"))).collect()]
+    assert sets == [sorted({"ab", "bc", "ca", "cf", "fi", "in", "ne", "e1", "12"}), []]
+    rows = spark.createDataFrame([("ＡＢ", "ab", "a b", "x", "k")], "a string, b string, c string, d string, id string")
+    got = pf.option_similarity(rows)
+    assert got.columns == [*rows.columns, "option_similarity_mean", "option_similarity_max"] and got.first().option_similarity_mean == 0.5
