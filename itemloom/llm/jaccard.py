@@ -229,21 +229,21 @@ def near_duplicates(
     ``component`` names the component by its smallest node and is null for an empty set.
     """
     rows = stored(sketched(docs, id_column, text_column, n, percent), "sketches")
-    names = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
-    keyed = rows.select("node", F.explode("keys").alias("key"))
-    # words of copies only are counted as shared here, and have a single node in the next step
+    # copies are one node from here on: its words leave once, and one of its rows stands for it
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
+        F.min("id").alias("least"), F.min(F.struct("id", "text_key")).alias("row"), F.first("keys").alias("keys")
+    )
+    nodes = stored(nodes, "nodes")
+    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(shared.select(F.col("key").alias("k"), "size"), "shared")
-    members = stored(keyed.join(shared, F.col("key") == F.col("k")).groupBy("key", "node").agg(F.max("size").alias("size")), "shared-rows")
+    members = stored(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size"), "shared-nodes")
     # the node whose words are shared most is the middle of its group: the others differ from it by their own edits only
     weight = stored(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     pairs = stored(led(members.select("node", "key"), weight, 1), "pairs")
     # one row of every node that takes part; only these texts are read again
     taking = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
-    chosen = (
-        rows.select("node", "id", "text_key").join(taking, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("r"))
-        .select(F.col("r.id").alias("r_id"), F.col("r.text_key").alias("r_key"))
-    )
+    chosen = nodes.join(taking, "node", "left_semi").select(F.col("row.id").alias("r_id"), F.col("row.text_key").alias("r_key"))
     same = F.col(id_column).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_column) == F.col("r_key"))
     texts = docs.select(id_column, text_column).join(light(stored(chosen, "chosen")), same, "left_semi")
     sets = stored(node_sets(texts, id_column, text_column, n).dropDuplicates(["node"]), "sets")
@@ -262,8 +262,8 @@ def near_duplicates(
         found = stored(later_pairs(pairs, diffs, percent), "compared")
         labels = extended(labels, _links(found))
         keys = followed(found.filter("star = 1"), percent, "center", "leader")
-    least = names.join(labels, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "least")
-    ids = stored(least, "nodes")
+    least = nodes.select("node", "least").join(labels, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "least")
+    ids = stored(least, "least")
     lowest = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(ids.join(lowest, "component").select(F.col("node").alias("m_node"), F.col("component").alias("m_component"), "component_id"), "named")
     # null nodes match nothing and name themselves
