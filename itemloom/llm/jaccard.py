@@ -5,18 +5,19 @@ a and b with Jaccard similarity of at least ``percent`` differ in at most d = (a
 A sketch holds the parity of every element in a bit of its own, in one of d + 1 + s words; words are so long that they are
 kept as the XOR of the 64-bit codes of their elements. An element that only one of two sets holds flips one bit, so the
 Hamming distance of two sketches is at most the symmetric difference, and at least s + 1 words must be equal
-(pigeonhole). Words without elements say little; a set names them only if it has more than s, for otherwise one of
-the s + 1 equal words is another. The spare number s follows from the band. Sets are sketched per size band, with d for the largest pair of the band; a set near the lower
+(pigeonhole). Words without elements say little; a set whose partners are at most t elements away has all but t words in
+common with each of them, and names its empty words only if all of these might be empty. The spare number s keeps that
+rare for the largest sets of a band, whose partners are farthest away. Sets are sketched per size band, with d for the largest pair of the band; a set near the lower
 end of its band is sketched for the band below as well. Joining on (band, word number, word) misses no link.
 
 Sketch words that many sets share are never expanded into pairs. Each shared word has a leader, the node with the most
 shared words (the middle of a group of copies), and every other node is compared with the leader only, by exact
-intersection. What two followers x and y have to say to
+intersection; groups of a few nodes are compared pair by pair at once. What two followers x and y have to say to
 each other is found through their differences from the leader: if they are similar, these differences D(x), D(y)
 overlap in at least (|D(x)| + |D(y)| - d) / 2 elements, so they share an element among the first |D| - overlap + 1 in
 any common order (those the leader lacks come first). Such elements, named after the leader, are the shared words of
 the next round, where differences are kept relative to the first leader, the centre. Words whose nodes already are in one component are done. Leaders are taken in one fixed order, so this
-ends; groups of a few nodes are compared pair by pair at once. No group is capped and no link between components is lost.
+ends. No group is capped and no link between components is lost.
 
 Defined results: null or empty text, or text without words, has no n-grams and is linked with nothing; with fewer words
 than n the whole sequence is the one n-gram; rows with a null id are linked but name no component, and a component of
@@ -43,8 +44,12 @@ BITS = 48
 BAND = 1.5
 #: Least number of words beyond those that the pigeonhole needs, so that as many empty ones may go unnamed.
 SPARE = 2
-#: After the first round, groups of up to this many nodes are compared pair by pair.
+#: Groups of up to this many nodes are compared pair by pair in the first round, where whole sets move for a pair.
+FIRST_FEW = 8
+#: The same for later rounds, where only differences move.
 FEW = 32
+#: Sets that a task remembers, so that copies it meets again send no words.
+RECENT = 200_000
 
 
 def band_limits(size: int) -> list[int]:
@@ -84,8 +89,9 @@ def sketch_keys(grams: np.ndarray, percent: int, limits: list[int]) -> np.ndarra
         if b < band and n > above:
             continue
         words = most_apart(last, max(last, above), percent) + 1
-        spare = SPARE + int(3 * words * math.exp(-limits[b] / words))  # about as many are empty in the smallest sets
-        words += spare
+        words += SPARE + int(2 * words * math.exp(-last / words))  # twice what is empty in the largest sets
+        largest = last if b < band else n * 100 // percent  # partner whose words of this band are met here
+        spare = words - 1 - most_apart(n, largest, percent)
         at = (grams * np.uint64(words)) >> np.uint64(BITS)  # grows with the hash, so words are slices
         starts = np.searchsorted(at, np.arange(words, dtype=np.uint64))
         empty = np.diff(np.append(starts, n)) == 0
@@ -111,13 +117,18 @@ def _binary(docs: DataFrame, id_column: str, text_column: str, extra: list[Colum
 
 
 def sketched(docs: DataFrame, id_column: str, text_column: str, n: int, percent: int) -> DataFrame:
-    """(id, text_key, n_shingles, node, keys) of every row; node is null for an empty set."""
+    """(id, text_key, n_shingles, node, keys) of every row; node is null for an empty set.
+
+    ``keys`` is empty for a copy of a set that the same task has met among its last ones.
+    """
     rows = _binary(docs, id_column, text_column, [F.xxhash64(text_column).alias("text_key")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, limits = WordHasher(), band_limits(1)
+        hasher, limits, met = WordHasher(), band_limits(1), set()
         for batch in batches:
             for at in range(0, len(batch), 500):
+                if len(met) > RECENT:
+                    met.clear()
                 part = batch.slice(at, 500)
                 sizes, nodes, keys = [], [], []
                 for text in part.column(2).to_pylist():
@@ -126,7 +137,9 @@ def sketched(docs: DataFrame, id_column: str, text_column: str, n: int, percent:
                         limits = band_limits(len(grams))
                     sizes.append(len(grams))
                     nodes.append(node_of(grams) if len(grams) else None)
-                    keys.append(_signed(sketch_keys(grams, percent, limits)) if len(grams) else np.empty(0, np.int64))
+                    new = nodes[-1] is not None and nodes[-1] not in met
+                    met.add(nodes[-1])
+                    keys.append(_signed(np.unique(sketch_keys(grams, percent, limits))) if new else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     ["id", "text_key", "n_shingles", "node", "keys"],
@@ -153,20 +166,23 @@ def node_sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> Data
 
 
 def first_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(leader, node, a, b, linked, diff): exact verdict, sizes, and what differs, elements that the leader lacks first."""
+    """(leader, node, star, a, b, linked, diff): exact verdict, sizes, and for a star what differs, elements that the leader lacks first.
+
+    ``sets`` are partitioned by node for both joins alike, so they are made and shuffled once.
+    """
     return (
-        pairs.join(sets.select(F.col("node").alias("leader"), F.col("grams").alias("x")), "leader")
-        .join(sets.select("node", F.col("grams").alias("y")), "node")
+        pairs.join(sets.select(F.col("node").alias("leader"), F.col("grams").alias("x")).hint("merge"), "leader")
+        .join(sets.select("node", F.col("grams").alias("y")).hint("merge"), "node")
         .select(
-            "leader", "node", F.size("x").alias("a"), F.size("y").alias("b"), F.size(F.array_intersect("x", "y")).alias("common"),
-            F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("diff"),
+            "leader", "node", "star", F.size("x").alias("a"), F.size("y").alias("b"), F.size(F.array_intersect("x", "y")).alias("common"),
+            F.when(F.col("star") == 1, F.concat(F.array_except("y", "x"), F.array_except("x", "y"))).alias("diff"),
         )
         .withColumn("linked", 100 * F.col("common") >= percent * (F.col("a") + F.col("b") - F.col("common"))).drop("common")
     )
 
 
 def later_pairs(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
-    """(center, leader, node, a, b, linked, diff) of (center, leader, node) from both differences to the centre.
+    """(center, leader, node, star, a, b, linked, diff) of (center, leader, node, star) from both differences to the centre.
 
     Where the node differs from the leader, its own deviations from the centre come first: they are its own edits,
     while the leader's edits are missing in everybody else as well.
@@ -177,11 +193,12 @@ def later_pairs(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
         "center", "leader", "node", "star", "a", "b", F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("diff")
     )
     union = F.col("a") + F.col("b") + F.size("diff")  # twice the union
-    return both.withColumn("linked", 100 * (F.col("a") + F.col("b") - F.size("diff")) >= percent * union)
+    linked = 100 * (F.col("a") + F.col("b") - F.size("diff")) >= percent * union
+    return both.select("center", "leader", "node", "star", "a", "b", linked.alias("linked"), F.when(F.col("star") == 1, F.col("diff")).alias("diff"))
 
 
 def followed(found: DataFrame, percent: int, *context: str) -> DataFrame:
-    """(center, node, key): the shared words of the next round from compared pairs."""
+    """(center, node, key): the shared words of the next round from compared stars."""
     a, b, apart = F.col("a"), F.col("b"), F.size("diff")
     out, whole = 100 - percent, 100 + percent
     # sizes of partners of the node: up to b * 100 / percent, from b * percent / 100
@@ -192,7 +209,7 @@ def followed(found: DataFrame, percent: int, *context: str) -> DataFrame:
     overlap = F.greatest(F.lit(1), F.ceil((apart + other - most) / F.lit(2)))
     first = (apart - overlap + 1).cast("int")
     words = F.transform(F.slice("diff", F.lit(1), first), lambda e: F.xxhash64(*[F.col(c) for c in context], e))
-    shared = found.filter(first > 0).withColumn("words", words)
+    shared = found.filter((F.col("star") == 1) & (first > 0)).withColumn("words", words)
     return shared.select(F.col(context[0]).alias("center"), "node", F.explode("words").alias("key")).distinct()
 
 
@@ -229,26 +246,28 @@ def near_duplicates(
     ``component`` names the component by its smallest node and is null for an empty set.
     """
     rows = stored(sketched(docs, id_column, text_column, n, percent), "sketches")
-    # copies are one node from here on: its words leave once, and one of its rows stands for it
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("least"), F.min(F.struct("id", "text_key")).alias("row"), F.first("keys").alias("keys")
-    )
+    # copies are one node from here on, and one of its rows stands for it
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_key")).alias("row"))
     nodes = stored(nodes, "nodes")
-    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = stored(shared.select(F.col("key").alias("k"), "size"), "shared")
-    members = stored(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size"), "shared-nodes")
+    # the same plan at every size: words are counted inside the tasks, then meet the shared ones by a shuffle
+    keyed = rows.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("n1"), F.max("node").alias("n2")).filter("n1 <> n2")
+    shared = stored(shared.select(F.col("key").alias("k")), "shared")
+    members = keyed.join(shared.hint("merge"), F.col("key") == F.col("k")).select("key", "node").distinct()
+    members = stored(members, "shared-nodes")
     # the node whose words are shared most is the middle of its group: the others differ from it by their own edits only
-    weight = stored(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    pairs = stored(led(members.select("node", "key"), weight, 1), "pairs")
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size")).withColumnRenamed("key", "k"), "sizes")
+    weight = members.join(sizes, F.col("key") == F.col("k")).groupBy("node").agg(F.sum("size").alias("weight"))
+    weight = stored(weight, "weights")
+    pairs = stored(led(members, weight, FIRST_FEW), "pairs")
     # one row of every node that takes part; only these texts are read again
     taking = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
     chosen = nodes.join(taking, "node", "left_semi").select(F.col("row.id").alias("r_id"), F.col("row.text_key").alias("r_key"))
     same = F.col(id_column).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_column) == F.col("r_key"))
     texts = docs.select(id_column, text_column).join(light(stored(chosen, "chosen")), same, "left_semi")
-    sets = stored(node_sets(texts, id_column, text_column, n).dropDuplicates(["node"]), "sets")
+    sets = node_sets(texts, id_column, text_column, n).dropDuplicates(["node"])
     found = stored(first_pairs(pairs, sets, percent), "compared")
-    diffs = found.select(F.col("leader").alias("center"), "node", "b", "diff")
+    diffs = found.filter("star = 1").select(F.col("leader").alias("center"), "node", "b", "diff")
     labels = stored(components(_links(found)), "labels")
     keys = followed(found, percent, "leader")
     while True:
@@ -261,7 +280,7 @@ def near_duplicates(
             break
         found = stored(later_pairs(pairs, diffs, percent), "compared")
         labels = extended(labels, _links(found))
-        keys = followed(found.filter("star = 1"), percent, "center", "leader")
+        keys = followed(found, percent, "center", "leader")
     least = nodes.select("node", "least").join(labels, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "least")
     ids = stored(least, "least")
     lowest = ids.groupBy("component").agg(F.min("least").alias("component_id"))
