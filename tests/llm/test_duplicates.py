@@ -167,3 +167,10 @@ def test_near_passages_about_a_common_phrase_are_all_found(spark):
         texts[1000 + i] = doc(hot)
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     assert {r["doc_id"] for r in passages.repeated_passages(docs).collect()} == set(range(200))
+
+
+def test_copies_met_again_and_leaders_from_the_start_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FIRST_FEW", 2)
+    rows = clusters(11, groups=2, size=25)
+    rows += [(1000 + i, t) for i, t in rows] + [(2000 + i, t.upper()) for i, t in rows[:20]] + rows[:10]
+    assert sorted(got_components(spark, rows, 5, 80)) == sorted(brute_components(rows, 5, 80))
