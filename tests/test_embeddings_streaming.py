@@ -190,3 +190,26 @@ def test_arrival_screen(spark, tmp_path):
     stream = spark.readStream.schema("k string, ts timestamp").parquet(src)
     inc.run_available(inc.screen_arrivals(stream, held, "k"), out, state)
     assert sorted((r.k, r.leaked) for r in spark.read.parquet(out).collect()) == [("k1", False), ("k2", True)]
+
+
+def test_grams_of_many_texts_are_counted_in_few_sorted_runs(monkeypatch):
+    """Small and very large alphabets, blanks and zero characters; terms are looked up once a run, not once a text."""
+    rng = np.random.default_rng(3)
+    wide = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 200))) for _ in range(20)] + ["\U0001f600é\0\0é", "", "a"]
+    small = ["".join(rng.choice(list("abc "), 40)) for _ in range(200)]
+    for texts in (wide, small, [""], []):
+        got = {}
+        for terms, gram, row, tf in em._grams(texts, 2, 5):
+            assert len(set(terms)) == len(terms)
+            got |= {(terms[g], int(r)): int(n) for g, r, n in zip(gram, row, tf)}
+        want = {(t[i : i + n], k) for k, t in enumerate(texts) for n in range(2, 6) for i in range(len(t) - n + 1)}
+        assert got.keys() == want and all(n == sum(texts[k].startswith(t, i) for i in range(len(texts[k]))) for (t, k), n in list(got.items())[:500])
+    calls = []
+    counted = em._grams
+    monkeypatch.setattr(em, "_grams", lambda *a: calls.append(1) or counted(*a))
+    vectorizer = em.Vectorizer(["ab", "abc"], [1.0, 2.0], 2, 5)
+    made = list(vectorizer.many(small))
+    assert len(made) == len(small) and len(calls) == 1
+    for (at, weights), text in zip(made, small):
+        own = [(1 + np.log(n)) * idf for t, idf in (("ab", 1.0), ("abc", 2.0)) if (n := text.count(t))]
+        assert len(at) == len(own) and weights.tolist() == pytest.approx([w / np.linalg.norm(own) for w in own])
