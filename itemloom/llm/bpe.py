@@ -169,6 +169,19 @@ class Codec:
         return tuple(out[w] for w in wanted)
 
 
+def slices(rows: Iterator[tuple], texts: list[str]) -> Iterator[list[tuple]]:
+    """The rows of ``texts`` in runs of about ``CHUNK`` characters, so that a task never holds the ids of a whole batch."""
+    held, size = [], 0
+    for text, row in zip(texts, rows, strict=True):
+        held.append(row)
+        size += len(text)
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def codec(path: str, pattern: str) -> Codec:
     """Built once per worker process and vocabulary, so that tasks that follow one another share its table."""
     held = sys.modules.setdefault("_itemloom_worker", ModuleType("_itemloom_worker")).__dict__.setdefault("codecs", {})
@@ -195,10 +208,11 @@ def encode(
         own = codec(path, pattern)
         gc.disable()  # the table holds no cycles, and scanning it again and again costs more than the merges
         for batch in batches:
-            rows = list(own.rows(batch.column(1).to_pylist(), columns))
-            cells = zip(*rows, strict=True) if rows else [[] for _ in columns]
-            made = [pa.array(list(c), arrow[FIELDS[n]]) for n, c in zip(columns, cells, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", *columns])
+            texts, start = batch.column(1).to_pylist(), 0
+            for rows in slices(own.rows(texts, columns), texts):
+                made = [pa.array(list(c), arrow[FIELDS[n]]) for n, c in zip(columns, zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), *made], ["id", *columns])
+                start += len(rows)
 
     schema = ", ".join([f"id {kind}", *(f"{c} {FIELDS[c]}" for c in columns)])
     return chosen.mapInArrow(work, schema).withColumnRenamed("id", id_column)

@@ -116,3 +116,12 @@ def test_bpe_decodes_split_characters_and_refills_its_table(spark, known, monkey
     got = {r["doc_id"]: r["decoded"] for r in bpe.decode(ids, PATH, P.PATTERN).collect()}
     assert got[1] == texts[0] and got[2] == "" and got[3] != "😀"
     assert bpe.encode(ids.limit(0).select("doc_id", F.lit("").alias("text")), PATH, P.PATTERN).count() == 0
+
+
+def test_bpe_hands_rows_on_before_a_batch_ends(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 10)
+    own = bpe.Codec(PATH, P.PATTERN)
+    texts = ["word and word", "a", "", "more words", "b" * 25, "c"]
+    runs = list(bpe.slices(own.rows(texts, ("n_tokens",)), texts))
+    assert [len(r) for r in runs] == [1, 3, 1, 1] and [x for r in runs for x in r] == list(own.rows(texts, ("n_tokens",)))
+    assert list(bpe.slices(own.rows([], ("n_tokens",)), [])) == []
