@@ -121,3 +121,16 @@ def test_tokens_and_ngrams_of_compatible_forms(spark):
     rows = spark.createDataFrame([("ＡＢ", "ab", "a b", "x", "k")], "a string, b string, c string, d string, id string")
     got = pf.option_similarity(rows)
     assert got.columns == [*rows.columns, "option_similarity_mean", "option_similarity_max"] and got.first().option_similarity_mean == 0.5
+
+
+def test_only_texts_that_may_change_leave_for_python(spark):
+    import re
+    import unicodedata
+
+    safe = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)]) if re.match(f"[{tx.COMPATIBLE}]", c)]
+    assert len(safe) > 30_000 and all(unicodedata.is_normalized("NFKC", x + c) for c in safe for x in ("", "e", "가", "か"))
+    texts = ["plain", "Grüße, l’été", "가격은 얼마", "", None, "ﬁ", "e\u0301", "Ａ１", "x\u00a0y", "½", "😀 ㎏", "각\u11a8", "a\nﬁ"]
+    assert column(spark, tx.nfkc(F.col("t")), texts) == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    sent = spark.createDataFrame([(t,) for t in texts[:4]], "t string").select(tx.nfkc(F.col("t")).alias("t"))
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and column(spark, F.col("t").rlike(f"[^{tx.COMPATIBLE}]"), texts[:4]) == [False] * 4
