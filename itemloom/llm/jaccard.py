@@ -198,7 +198,7 @@ def later_pairs(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
 
 
 def followed(found: DataFrame, percent: int, *context: str) -> DataFrame:
-    """(center, node, key): the shared words of the next round from compared stars."""
+    """(center, node, words): the words of the next round from compared stars, one row a star, so that they are joined as few rows."""
     a, b, apart = F.col("a"), F.col("b"), F.size("diff")
     out, whole = 100 - percent, 100 + percent
     # sizes of partners of the node: up to b * 100 / percent, from b * percent / 100
@@ -210,13 +210,26 @@ def followed(found: DataFrame, percent: int, *context: str) -> DataFrame:
     first = (apart - overlap + 1).cast("int")
     words = F.transform(F.slice("diff", F.lit(1), first), lambda e: F.xxhash64(*[F.col(c) for c in context], e))
     shared = found.filter((F.col("star") == 1) & (first > 0)).withColumn("words", words)
-    return shared.select(F.col(context[0]).alias("center"), "node", F.explode("words").alias("key")).distinct()
+    return shared.select(F.col(context[0]).alias("center"), "node", "words")
 
 
 def _links(found: DataFrame) -> DataFrame:
     return found.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
 
+def groups_of(members: DataFrame, *context: str) -> DataFrame:
+    """(k, size, x, y, *context) of every key: how many nodes have it, and two hashes of which ones."""
+    which = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    groups = members.groupBy("key").agg(F.count("*").alias("size"), *which, *[F.min(c).alias(c) for c in context])
+    return stored(groups.withColumnRenamed("key", "k"), "groups")
+
+
+def once(members: DataFrame, groups: DataFrame, *context: str) -> DataFrame:
+    """``members`` of one key for every set of nodes: similar texts share many words, which all say the same."""
+    kept = stored(groups.groupBy("size", "x", "y", *context).agg(F.min("k").alias("k")).select("k"), "kept")
+    return members.join(kept, F.col("key") == F.col("k")).drop("k")
+
+
 def led(members: DataFrame, weight: DataFrame, few: int, *context: str) -> DataFrame:
     """(*context, leader, node, star): pairs to compare among the nodes of every key.
 
@@ -256,10 +269,10 @@ def near_duplicates(
     members = keyed.join(shared.hint("merge"), F.col("key") == F.col("k")).select("key", "node").distinct()
     members = stored(members, "shared-nodes")
     # the node whose words are shared most is the middle of its group: the others differ from it by their own edits only
-    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size")).withColumnRenamed("key", "k"), "sizes")
-    weight = members.join(sizes, F.col("key") == F.col("k")).groupBy("node").agg(F.sum("size").alias("weight"))
+    groups = groups_of(members)
+    weight = members.join(groups, F.col("key") == F.col("k")).groupBy("node").agg(F.sum("size").alias("weight"))
     weight = stored(weight, "weights")
-    pairs = stored(led(members, weight, FIRST_FEW), "pairs")
+    pairs = stored(led(once(members, groups), weight, FIRST_FEW), "pairs")
     # one row of every node that takes part; only these texts are read again
     taking = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
     chosen = nodes.join(taking, "node", "left_semi").select(F.col("row.id").alias("r_id"), F.col("row.text_key").alias("r_key"))
@@ -272,10 +285,12 @@ def near_duplicates(
     keys = followed(found, percent, "leader")
     while True:
         keys = keys.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
-        keys = stored(keys.select("center", "node", "key", F.coalesce("component", "node").alias("component")), "keys")
+        keys = keys.select("center", "node", F.explode("words").alias("key"), F.coalesce("component", "node").alias("component"))
+        keys = stored(keys.distinct(), "keys")
         unsettled = keys.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
         unsettled = stored(unsettled.select(F.col("key").alias("k")), "unsettled")
-        pairs = stored(led(keys.join(unsettled, F.col("key") == F.col("k")).select("center", "node", "key"), weight, FEW, "center"), "pairs")
+        members = stored(keys.join(unsettled, F.col("key") == F.col("k")).select("center", "node", "key"), "unsettled-nodes")
+        pairs = stored(led(once(members, groups_of(members, "center"), "center"), weight, FEW, "center"), "pairs")
         if pairs.isEmpty():
             break
         found = stored(later_pairs(pairs, diffs, percent), "compared")

@@ -174,3 +174,20 @@ def test_copies_met_again_and_leaders_from_the_start_match_all_pairs(spark, monk
     rows = clusters(11, groups=2, size=25)
     rows += [(1000 + i, t) for i, t in rows] + [(2000 + i, t.upper()) for i, t in rows[:20]] + rows[:10]
     assert sorted(got_components(spark, rows, 5, 80)) == sorted(brute_components(rows, 5, 80))
+
+
+def test_keys_with_the_same_nodes_are_compared_once(spark):
+    rows = [(k, n) for k in range(40) for n in (7, 8)] + [(50, n) for n in (7, 8, 9)] + [(60, n) for n in (7, 9)]
+    members = spark.createDataFrame(rows, "key long, node long")
+    kept = jaccard.once(members, jaccard.groups_of(members)).collect()
+    assert sorted(tuple(r) for r in kept) == [(0, 7), (0, 8), (50, 7), (50, 8), (50, 9), (60, 7), (60, 9)]
+    about = members.withColumn("center", members["key"] % 2)  # the same nodes about another centre say something else
+    kept = jaccard.once(about, jaccard.groups_of(about, "center"), "center").collect()
+    assert sorted((r["key"], r["node"]) for r in kept if r["key"] < 50) == [(0, 7), (0, 8), (1, 7), (1, 8)]
+
+
+def test_differences_meet_the_labels_as_one_row_a_star(spark):
+    found = [(1, 2, 1, 100, 100, False, list(range(60))), (1, 3, 1, 100, 100, True, list(range(40)))]
+    stars = spark.createDataFrame(found, "leader long, node long, star int, a int, b int, linked boolean, diff array<long>")
+    got = {r["node"]: r["words"] for r in jaccard.followed(stars, 80, "leader").collect()}
+    assert set(got) == {2, 3} and all(len(w) > 1 for w in got.values())
