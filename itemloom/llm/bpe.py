@@ -103,14 +103,18 @@ class Codec:
                 out[group[word]].append(i)
         return out
 
+    def forget(self) -> None:
+        """Empty the table: a worker lives on and serves other operators, which need its memory."""
+        self.first.clear()
+        self.later.clear()
+
     def learn(self, first: set[str], later: set[str]) -> None:
         """Add the parts that the table lacks."""
         new_first, new_later = first - self.first.keys(), later - self.later.keys()
         if not new_first and not new_later:
             return
         if len(self.first) + len(self.later) + len(new_first) + len(new_later) > CACHE_PARTS:
-            self.first.clear()
-            self.later.clear()
+            self.forget()
             new_first, new_later = first, later
         cut = [(self.first, p, self.find(p)) for p in new_first] + [(self.later, p, self.find(" " + p)) for p in new_later]
         ids_of = self.merge(list({piece for _, _, pieces in cut for piece in pieces}))
@@ -207,12 +211,16 @@ def encode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         gc.disable()  # the table holds no cycles, and scanning it again and again costs more than the merges
-        for batch in batches:
-            texts, start = batch.column(1).to_pylist(), 0
-            for rows in slices(own.rows(texts, columns), texts):
-                made = [pa.array(list(c), arrow[FIELDS[n]]) for n, c in zip(columns, zip(*rows, strict=True), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), *made], ["id", *columns])
-                start += len(rows)
+        try:
+            for batch in batches:
+                texts, start = batch.column(1).to_pylist(), 0
+                for rows in slices(own.rows(texts, columns), texts):
+                    made = [pa.array(list(c), arrow[FIELDS[n]]) for n, c in zip(columns, zip(*rows, strict=True), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), *made], ["id", *columns])
+                    start += len(rows)
+        finally:
+            own.forget()
+            gc.enable()
 
     schema = ", ".join([f"id {kind}", *(f"{c} {FIELDS[c]}" for c in columns)])
     return chosen.mapInArrow(work, schema).withColumnRenamed("id", id_column)

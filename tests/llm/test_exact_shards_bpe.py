@@ -125,3 +125,18 @@ def test_bpe_hands_rows_on_before_a_batch_ends(monkeypatch):
     runs = list(bpe.slices(own.rows(texts, ("n_tokens",)), texts))
     assert [len(r) for r in runs] == [1, 3, 1, 1] and [x for r in runs for x in r] == list(own.rows(texts, ("n_tokens",)))
     assert list(bpe.slices(own.rows([], ("n_tokens",)), [])) == []
+
+
+def test_bpe_leaves_no_table_in_the_worker(spark, odd_docs):
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        codecs = getattr(sys.modules.get("_itemloom_worker"), "codecs", {})
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"id": [sum(len(c.first) + len(c.later) for c in codecs.values())]})
+
+    assert bpe.encode(odd_docs, PATH, P.PATTERN).count() == odd_docs.count()
+    bpe.encode(odd_docs, PATH, P.PATTERN).collect()
+    assert {r["id"] for r in spark.range(0, 64, 1, 8).mapInArrow(held, "id long").collect()} == {0}
