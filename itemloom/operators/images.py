@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from itemloom.functions import images as im
 from itemloom.functions.hashing import seeded_key, uniform
 from itemloom.operators.dedup import similar_pairs
 from itemloom.session import cut_lineage, spread
-from itemloom.functions.images import affine_copy, crop_pixels, gaussian_blur, to_rgb
+from itemloom.functions.images import SLICE, affine_copy, crop_pixels, gaussian_blur, to_rgb
 
 # Crop families by name, the crop share, the band share, affine limits, blur radius, fill
 # colour, longest allowed side.
@@ -137,23 +138,31 @@ def augmented_copies(images: DataFrame, kinds: tuple[str, ...] = ("blur", "affin
     """Blurred and affine copies as image structs in row order (BGR), ids tagged with the kind."""
     sized = images.select(id_col, F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                           F.col("image.nChannels").alias("nChannels"), F.col("image.data").alias("data")).filter("height > 0")
-    wanted = affine_parameters(sized, seed, id_col).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    # an image goes to Python once for all its copies
+    wanted = affine_parameters(sized, seed, id_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                rgb = to_rgb(r.height, r.width, r.nChannels, r.data)
-                if r.kind == "blur":
-                    out = gaussian_blur(rgb, BLUR_RADIUS)
-                elif r.kind == "affine":
-                    out = affine_copy(rgb, r.sx, r.tx, r.sy, r.ty, FILL_COLOR)
-                else:
-                    raise ValueError(f"unknown kind {r.kind!r}")
-                rows.append((f"{getattr(r, id_col)}__{r.kind}", r.kind, r.height, r.width, 3, out[:, :, ::-1].tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "kind", "height", "width", "nChannels", "data"])
-
-    flat = wanted.mapInPandas(run, "id string, kind string, height int, width int, nChannels int, data binary")
+            at = {n: batch.column(i) for i, n in enumerate(columns)}
+            for first in range(0, len(batch), SLICE):
+                rows = []
+                for i in range(first, min(first + SLICE, len(batch))):
+                    one = {n: at[n][i].as_py() for n in columns if n != "data"}
+                    rgb = to_rgb(one["height"], one["width"], one["nChannels"], at["data"][i].as_buffer())
+                    for kind in kinds:
+                        if kind == "blur":
+                            out = gaussian_blur(rgb, BLUR_RADIUS)
+                        elif kind == "affine":
+                            out = affine_copy(rgb, one["sx"], one["tx"], one["sy"], one["ty"], FILL_COLOR)
+                        else:
+                            raise ValueError(f"unknown kind {kind!r}")
+                        rows.append((f"{one[id_col]}__{kind}", kind, one["height"], one["width"], 3, out[:, :, ::-1].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kept, strict=True)], names)
+
+    columns = wanted.columns
+    names = ["id", "kind", "height", "width", "nChannels", "data"]
+    kept = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    flat = wanted.mapInArrow(run, "id string, kind string, height int, width int, nChannels int, data binary")
     image = F.struct(F.col("id").alias("origin"), "height", "width", "nChannels", F.lit(16).alias("mode"), "data")
     return flat.select("id", "kind", image.alias("image"))
 

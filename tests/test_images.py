@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,48 @@ def test_sizes(spark):
     assert [r.orientation for r in rows] == ["square", "portrait", "landscape", "landscape"]
     assert (rows[2].target_width, rows[2].target_height) == (1024, 512) and rows[0].target_width == 105
     assert rows[2].megapixels == 4.5
+
+
+def plain_affine(rgb, sx, tx, sy, ty, fill):
+    """Every weight where it is used."""
+    h, w = rgb.shape[:2]
+    out = np.zeros((h, w, 3))
+
+    def weight(t):
+        t = abs(t)
+        return 1.5 * t**3 - 2.5 * t**2 + 1 if t <= 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2 if t < 2 else 0.0
+
+    for y in range(h):
+        for x in range(w):
+            u, v = x + 0.5 + sx * (y + 0.5) + tx, sy * (x + 0.5) + y + 0.5 + ty
+            if u < 0 or u >= w or v < 0 or v >= h:
+                out[y, x] = fill
+                continue
+            u, v = u - 0.5, v - 0.5
+            for j in range(math.floor(v) - 1, math.floor(v) + 3):
+                for i in range(math.floor(u) - 1, math.floor(u) + 3):
+                    out[y, x] += weight(u - i) * weight(v - j) * rgb[min(max(j, 0), h - 1), min(max(i, 0), w - 1)]
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def test_affine_copy_makes_its_weights_once(monkeypatch):
+    calls, known = [], im.cubic_weights
+    monkeypatch.setattr(im, "cubic_weights", lambda t: calls.append(1) or known(t))
+    rgb = np.random.default_rng(4).integers(0, 256, (13, 17, 3)).astype(np.uint8)
+    for args in ((0.03, 1.7, -0.05, -0.4), (0.0, 0.0, 0.0, 0.0), (0.0, 2.0, 0.0, -1.0)):
+        assert np.abs(im.affine_copy(rgb, *args, (255, 254, 253)).astype(int) - plain_affine(rgb, *args, (255, 254, 253))).max() <= 1
+    assert len(calls) == 6
+
+
+def test_images_go_to_python_once_and_in_views(images, capsys):
+    copies = io_.augmented_copies(images)
+    copies.explain()
+    assert "Generate" not in capsys.readouterr().out.split("MapInArrow")[-1]
+    got = {r["id"]: r["image"]["data"] for r in copies.collect()}
+    assert len(got) == 14
+    ramp = pictures()["ramp"]
+    assert np.array_equal(np.frombuffer(got["ramp__blur"], np.uint8).reshape(ramp.shape)[:, :, ::-1], im.gaussian_blur(ramp, 1.0))
+    rows = pa.array([{"height": 1, "width": 2, "nChannels": 3, "data": bytes([i % 256] * 6)} for i in range(2 * im.SLICE + 1)] + [None])
+    parts = list(im._slices(rows))
+    assert [len(p) for p in parts] == [im.SLICE, im.SLICE, 2] and parts[2][1] is None
+    assert parts[1][3][0, 0, 0] == (im.SLICE + 3) % 256 and not parts[0][0].flags.owndata
