@@ -191,3 +191,24 @@ def test_differences_meet_the_labels_as_one_row_a_star(spark):
     stars = spark.createDataFrame(found, "leader long, node long, star int, a int, b int, linked boolean, diff array<long>")
     got = {r["node"]: r["words"] for r in jaccard.followed(stars, 80, "leader").collect()}
     assert set(got) == {2, 3} and all(len(w) > 1 for w in got.values())
+
+
+def test_split_windows_are_the_minima_of_wide_ranges_among_new_positions():
+    rnd = np.random.default_rng(6)
+    for _ in range(60):
+        size, width = 40, 8
+        values = rnd.integers(0, rnd.choice([3, 1 << 40]), size).astype(np.uint64)
+        new = np.flatnonzero(rnd.random(size) < rnd.choice([0.1, 0.6, 1]))
+        c = int(rnd.integers(0, size))
+        got = sorted((int(new[i]), a, b) for i, a, b in passages.windows_around(values[new], new, size, c, width))
+        want, seen, todo = [], set(new.tolist()), [(0, size - 1)]
+        while todo:
+            a, b = todo.pop()
+            inside = [m for m in range(a, b + 1) if m in seen]
+            if b - a + 1 < width or not inside:
+                continue
+            at = [m for m in inside if values[m] == min(values[k] for k in inside)]
+            want += [(m, a, b) for m in at]
+            if c not in at:
+                todo.append((max([a, *(m + 1 for m in at if m < c)]), min([b, *(m - 1 for m in at if m > c)])))
+        assert got == sorted(want)
