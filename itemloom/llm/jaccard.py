@@ -14,9 +14,10 @@ Sketch words that many sets share are never expanded into pairs. Each shared wor
 shared words (the middle of a group of copies), and every other node is compared with the leader only, by exact
 intersection; groups of a few nodes are compared pair by pair at once. What two followers x and y have to say to
 each other is found through their differences from the leader: if they are similar, these differences D(x), D(y)
-overlap in at least (|D(x)| + |D(y)| - d) / 2 elements, so they share an element among the first |D| - overlap + 1 in
-any common order (those the leader lacks come first). Such elements, named after the leader, are the shared words of
-the next round, where differences are kept relative to the first leader, the centre. Words whose nodes already are in one component are done. Leaders are taken in one fixed order, so this
+overlap in at least (|D(x)| + |D(y)| - d) / 2 elements. Elements that nodes of one component only have count for nothing;
+among the others, the rarest first, x and y share one where both have their overlap left. Such elements, named after the
+leader, are the shared words of the next round, and only nodes that have their overlap left there are compared;
+differences are kept relative to the first leader, the centre. Words whose nodes already are in one component are done. Leaders are taken in one fixed order, so this
 ends. No group is capped and no link between components is lost.
 
 Defined results: null or empty text, or text without words, has no n-grams and is linked with nothing; with fewer words
@@ -198,19 +199,55 @@ def later_pairs(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
 
 
 def followed(found: DataFrame, percent: int, *context: str) -> DataFrame:
-    """(center, node, words): the words of the next round from compared stars, one row a star, so that they are joined as few rows."""
+    """(center, about, node, linked, b, apart, overlap, words) of compared stars, one row a star, so that they are joined as few rows.
+
+    ``words`` name the elements of the difference after the leader; any partner has at least ``overlap`` of them.
+    """
     a, b, apart = F.col("a"), F.col("b"), F.size("diff")
-    out, whole = 100 - percent, 100 + percent
-    # sizes of partners of the node: up to b * 100 / percent, from b * percent / 100
-    most = F.floor((b + F.floor(b * 100 / F.lit(percent))) * out / F.lit(whole))
     # if the node is linked to the leader, a partner in another component is not, and is this far from the leader at least
-    least = F.floor((a + F.ceil(b * percent / F.lit(100))) * out / F.lit(whole)) + 1
-    other = F.when(F.col("linked"), F.greatest(least, apart - most)).otherwise(F.greatest(F.lit(1), apart - most))
-    overlap = F.greatest(F.lit(1), F.ceil((apart + other - most) / F.lit(2)))
-    first = (apart - overlap + 1).cast("int")
-    words = F.transform(F.slice("diff", F.lit(1), first), lambda e: F.xxhash64(*[F.col(c) for c in context], e))
-    shared = found.filter((F.col("star") == 1) & (first > 0)).withColumn("words", words)
-    return shared.select(F.col(context[0]).alias("center"), "node", "words")
+    least = F.when(F.col("linked"), _most_apart(a + F.ceil(b * percent / F.lit(100)), percent) + 1).otherwise(1)
+    most = _widest(percent)
+    overlap = F.greatest(F.lit(1), F.ceil((apart + F.greatest(least, apart - most) - most) / F.lit(2))).cast("int")
+    words = F.transform("diff", lambda e: F.xxhash64(*[F.col(c) for c in context], e))
+    stars = found.filter("star = 1").select(
+        F.col(context[0]).alias("center"), F.xxhash64(*context).alias("about"), "node", "linked", "b", apart.alias("apart"), overlap.alias("overlap"), words.alias("words")
+    )
+    return stars.filter(F.col("overlap") <= F.col("apart"))
+
+
+def _most_apart(sizes: Column, percent: int) -> Column:
+    """:func:`most_apart` of the sum of two sizes."""
+    return F.floor(sizes * (100 - percent) / F.lit(100 + percent))
+
+
+def _widest(percent: int) -> Column:
+    """Largest difference from any partner of a node of size b, which has up to b * 100 / percent elements."""
+    return _most_apart(F.col("b") + F.floor(F.col("b") * 100 / F.lit(percent)), percent)
+
+
+def open_words(stars: DataFrame, percent: int) -> DataFrame:
+    """(center, key, node, component, linked, b, apart, left, rank): words of ``followed`` stars that may lead to links between components.
+
+    Elements that one component alone has are in no overlap that matters. The others are ranked by how many stars have
+    them; ``left`` counts those of the node from this one on. Similar nodes meet in the first element that they share, where both have
+    their overlap left. So a word is kept as far as this allows, then as far as any node that has met there allows.
+    """
+    facts = ["center", "component", "linked", "b", "apart", "overlap"]
+    each = stars.select("about", "node", "component", F.explode("words").alias("key"))
+    shared = each.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").cast("int").alias("rank"))
+    shared = stored(shared.filter("c1 <> c2").select(F.col("key").alias("k"), "rank"), "unsettled")
+    held = each.join(shared, F.col("key") == F.col("k")).groupBy("about", "node").agg(F.sort_array(F.collect_list(F.struct("rank", "key"))).alias("held"))
+    held = held.withColumnsRenamed({"about": "h_about", "node": "h_node"})
+    enough = stars.join(held, (F.col("about") == F.col("h_about")) & (F.col("node") == F.col("h_node"))).filter(F.size("held") >= F.col("overlap"))
+    first = F.slice("held", F.lit(1), F.size("held") - F.col("overlap") + 1)
+    counted = F.transform(first, lambda w, i: F.struct(w["key"].alias("key"), w["rank"].alias("rank"), (F.size("held") - i).alias("left")))
+    keys = stored(enough.select("node", *facts[:-1], F.inline(counted)), "keys")
+    met = keys.groupBy("key").agg(
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("apart").alias("low"), F.min(F.when(~F.col("linked"), F.col("apart"))).alias("far")
+    ).filter("c1 <> c2")
+    met = stored(met.select(F.col("key").alias("k"), "low", "far"), "met")
+    nearest = F.when(F.col("linked"), F.col("far")).otherwise(F.col("low"))
+    return keys.join(met, F.col("key") == F.col("k")).filter(2 * F.col("left") >= F.col("apart") + nearest - _widest(percent)).drop("k", "low", "far")
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -218,36 +255,58 @@ def _links(found: DataFrame) -> DataFrame:
 
 
 def groups_of(members: DataFrame, *context: str) -> DataFrame:
-    """(k, size, x, y, *context) of every key: how many nodes have it, and two hashes of which ones."""
+    """(k, size, x, y, rank, *context) of every key: how many nodes have it, and two hashes of which ones."""
     which = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    groups = members.groupBy("key").agg(F.count("*").alias("size"), *which, *[F.min(c).alias(c) for c in context])
+    rank = F.min("rank") if "rank" in members.columns else F.lit(0)
+    groups = members.groupBy("key").agg(F.count("*").alias("size"), *which, rank.alias("rank"), *[F.min(c).alias(c) for c in context])
     return stored(groups.withColumnRenamed("key", "k"), "groups")
 
 
 def once(members: DataFrame, groups: DataFrame, *context: str) -> DataFrame:
-    """``members`` of one key for every set of nodes: similar texts share many words, which all say the same."""
-    kept = stored(groups.groupBy("size", "x", "y", *context).agg(F.min("k").alias("k")).select("k"), "kept")
+    """``members`` of one key for every set of nodes, the first by rank: similar texts share many words, which all say the same."""
+    kept = stored(groups.groupBy("size", "x", "y", *context).agg(F.min(F.struct("rank", "k")).alias("first")).select("first.k"), "kept")
     return members.join(kept, F.col("key") == F.col("k")).drop("k")
 
 
-def led(members: DataFrame, weight: DataFrame, few: int, *context: str) -> DataFrame:
+#: What :func:`open_words` tells of the node of a word.
+FACTS = ["component", "b", "apart", "left"]
+
+
+def may_link(percent: int) -> Column:
+    """Whether two nodes of a word of :func:`open_words`, the other one's facts named t_, can be similar and are in two components."""
+    overlap = F.col("apart") + F.col("t_apart") - _most_apart(F.col("b") + F.col("t_b"), percent)
+    return (F.col("component") != F.col("t_component")) & (2 * F.least("left", "t_left") >= overlap)
+
+
+def led(members: DataFrame, weight: DataFrame, few: int, *context: str, may: Column | None = None) -> DataFrame:
     """(*context, leader, node, star): pairs to compare among the nodes of every key.
 
     With more than ``few`` nodes, each goes with the heaviest node (of equal ones the largest) and ``star`` is true.
-    Otherwise all are compared, less than ``few`` per node, and nothing is left for a next round.
+    Otherwise all are compared, less than ``few`` per node, and nothing is left for a next round. With ``may``, the
+    condition for pairs, only ``few`` nodes outside the largest component need be compared, with all others.
     """
-    ranked = members.join(weight.withColumnRenamed("node", "w_node"), F.col("node") == F.col("w_node")).select("key", "node", "weight", *context)
+    facts = [] if may is None else FACTS
+    ranked = members.join(weight.withColumnRenamed("node", "w_node"), F.col("node") == F.col("w_node")).select("key", "node", "weight", *context, *facts)
     ranked = stored(ranked, "ranked")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("size"))
-    leaders = stored(leaders.select(F.col("key").alias("k"), F.col("top.node").alias("leader"), "size"), "leaders")
+    top = F.max(F.struct("weight", "node")).alias("top")
+    if may is None:
+        leaders = ranked.groupBy("key").agg(top, F.count("*").alias("others"))
+    else:
+        # nodes outside the largest component of a key
+        parts = ranked.groupBy("key", "component").agg(top, F.count("*").alias("n"))
+        leaders = parts.groupBy("key").agg(F.max("top").alias("top"), (F.sum("n") - F.max("n")).alias("others"), F.max(F.struct("n", "component")).alias("main"))
+    main = [] if may is None else [F.col("main.component").alias("main")]
+    leaders = stored(leaders.select(F.col("key").alias("k"), F.col("top.node").alias("leader"), "others", *main), "leaders")
     same = F.col("key") == F.col("k")
-    pairs = ranked.join(leaders.filter(F.col("size") > few), same).filter("node <> leader").select(*context, "leader", "node", F.lit(1).alias("star"))
+    pairs = ranked.join(leaders.filter(F.col("others") > few), same).filter("node <> leader").select(*context, "leader", "node", F.lit(1).alias("star"))
     if few > 2:
-        small = ranked.join(leaders.filter(F.col("size") <= few), same).select("key", "node", *context)
-        twin = small.select(F.col("key").alias("k2"), F.col("node").alias("leader"))
-        pairs = pairs.unionByName(
-            small.join(twin, (F.col("key") == F.col("k2")) & (F.col("node") < F.col("leader"))).select(*context, "leader", "node", F.lit(0).alias("star"))
-        )
+        small = ranked.join(leaders.filter(F.col("others") <= few).drop("leader"), same)
+        twin = small.select(F.col("key").alias("k2"), F.col("node").alias("leader"), *[F.col(c).alias(f"t_{c}") for c in facts])
+        both = (F.col("key") == F.col("k2")) & (F.col("node") < F.col("leader"))
+        if may is not None:  # those outside meet all
+            small = small.filter("component <> main")
+            both = (F.col("key") == F.col("k2")) & may & ((F.col("node") < F.col("leader")) | (F.col("t_component") == F.col("main")))
+        pairs = pairs.unionByName(small.join(twin, both).select(*context, "leader", "node", F.lit(0).alias("star")))
     return pairs.groupBy(*context, "leader", "node").agg(F.max("star").alias("star"))
 
 
@@ -284,13 +343,11 @@ def near_duplicates(
     labels = stored(components(_links(found)), "labels")
     keys = followed(found, percent, "leader")
     while True:
-        keys = keys.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
-        keys = keys.select("center", "node", F.explode("words").alias("key"), F.coalesce("component", "node").alias("component"))
-        keys = stored(keys.distinct(), "keys")
-        unsettled = keys.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
-        unsettled = stored(unsettled.select(F.col("key").alias("k")), "unsettled")
-        members = stored(keys.join(unsettled, F.col("key") == F.col("k")).select("center", "node", "key"), "unsettled-nodes")
-        pairs = stored(led(once(members, groups_of(members, "center"), "center"), weight, FEW, "center"), "pairs")
+        stars = keys.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
+        members = stored(open_words(stars.withColumn("component", F.coalesce("component", "node")), percent), "unsettled-nodes")
+        if members.isEmpty():
+            break
+        pairs = stored(led(once(members, groups_of(members, "center"), "center"), weight, FEW, "center", may=may_link(percent)), "pairs")
         if pairs.isEmpty():
             break
         found = stored(later_pairs(pairs, diffs, percent), "compared")

@@ -193,6 +193,22 @@ def test_differences_meet_the_labels_as_one_row_a_star(spark):
     assert set(got) == {2, 3} and all(len(w) > 1 for w in got.values())
 
 
+def test_copies_too_far_apart_are_not_compared_in_later_rounds(spark, monkeypatch):
+    rnd = random.Random(4)
+    middle = [f"t{i}" for i in range(160)]
+    rows = list(enumerate(" ".join(edited(middle, rnd, rnd.choice([1, 2, 3, 5, 6, 8]))) for _ in range(90)))
+    later, real = [], jaccard.later_pairs
+    monkeypatch.setattr(jaccard, "later_pairs", lambda pairs, *rest: later.append(pairs.count()) or real(pairs, *rest))
+    assert sorted(got_components(spark, rows, 5, 80)) == sorted(brute_components(rows, 5, 80))
+    assert sum(later) < len(rows)
+
+
+def test_links_to_the_largest_component_are_found_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    rows = clusters(21, groups=3, size=70)
+    assert sorted(got_components(spark, rows, 3, 80)) == sorted(brute_components(rows, 3, 80))
+
+
 def test_split_windows_are_the_minima_of_wide_ranges_among_new_positions():
     rnd = np.random.default_rng(6)
     for _ in range(60):
