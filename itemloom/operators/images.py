@@ -42,10 +42,13 @@ def size_metrics(df: DataFrame, width: str = "width", height: str = "height", fi
     })
 
 
-def pixel_table(images: DataFrame, image: str = "image", metrics: Sequence[str] = tuple(im.METRICS)) -> DataFrame:
-    """Image rows with the chosen pixel metrics as columns; one Arrow pass, which computes only these."""
+def pixel_table(images: DataFrame, image: str = "image", metrics: Sequence[str] = tuple(im.METRICS), side: int | None = im.THUMBNAIL) -> DataFrame:
+    """Image rows with the chosen pixel metrics as columns; one Arrow pass, which computes only these.
+
+    Larger images are measured on thumbnails with this longer side, or as they are without ``side``.
+    """
     keep = [c for c in images.columns if c != image]
-    return spread(images).select(*keep, im.pixel_metrics(im.image_part(image), metrics).alias("__m")).select(*keep, "__m.*")
+    return spread(images).select(*keep, im.pixel_metrics(im.image_part(image), metrics, side).alias("__m")).select(*keep, "__m.*")
 
 
 def hash_text(phash: Column) -> Column:

@@ -1,12 +1,16 @@
 import math
+import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from itemloom import catalog
 from itemloom.functions import images as im
 from itemloom.operators import images as io_, quality as qc
 from itemloom.sources import readers as rd
@@ -202,3 +206,37 @@ def test_images_go_to_python_once_and_in_views(images, capsys):
     parts = list(im._slices(rows))
     assert [len(p) for p in parts] == [im.SLICE, im.SLICE, 2] and parts[2][1] is None
     assert parts[1][3][0, 0, 0] == (im.SLICE + 3) % 256 and not parts[0][0].flags.owndata
+
+
+@pytest.fixture(scope="module")
+def texts(tmp_path_factory):
+    """Documents table: one text whose image is higher than a thumbnail, and 3,000 short ones, some with a mean half way between two figures."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij XYZ0189.,", k=rng.randint(2, 9)))
+    long = " ".join(word() for _ in range(40_000))
+    short = [" ".join(word() for _ in range(rng.randint(1, 120))) for _ in range(3_000)]
+    root = tmp_path_factory.mktemp("texts")
+    pq.write_table(pa.table({"doc_id": pa.array(range(3_001), pa.int64()), "text": [long, *short]}), root / "documents.parquet")
+    assert len(long) > 256 * 768
+    return str(root)
+
+
+def equals_its_sql(spark, folder, name):
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    df = catalog.load().QUERIES[name](spark, folder)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.load().ORACLE[name]}) ORDER BY id").fetchall()
+    assert [tuple(r) for r in df.orderBy("id").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["im2_brightness_and_channels"])
+def test_long_texts_and_ties_equal_sql(spark, texts, name):
+    equals_its_sql(spark, texts, name)
+
+
+def test_whole_images_and_thumbnails():
+    noise = pictures()["noise"]
+    whole = im.image_statistics(noise, ["red_mean", "contrast"], side=None)
+    assert whole["red_mean"] == pytest.approx(noise[..., 0].mean() / 255)
+    assert whole["contrast"] > 2 * im.image_statistics(noise, ["contrast"])["contrast"] > 0  # a thumbnail evens out noise
