@@ -213,3 +213,14 @@ def test_grams_of_many_texts_are_counted_in_few_sorted_runs(monkeypatch):
     for (at, weights), text in zip(made, small):
         own = [(1 + np.log(n)) * idf for t, idf in (("ab", 1.0), ("abc", 2.0)) if (n := text.count(t))]
         assert len(at) == len(own) and weights.tolist() == pytest.approx([w / np.linalg.norm(own) for w in own])
+
+
+def test_weights_come_from_all_rows(spark, monkeypatch):
+    """No row is left out of a fit unless a caller asks for it."""
+    fitted = []
+    fit = em.fit_classifier
+    monkeypatch.setattr(em, "sample_rows", lambda *a, **k: pytest.fail("rows were sampled"))
+    monkeypatch.setattr(em, "fit_classifier", lambda vectors, rows, *a: fitted.append((vectors.count(), rows)) or fit(vectors, rows, *a))
+    df = spark.createDataFrame([(i, f"{'alpha beta' if i % 4 else 'gamma delta'} {i}", int(i % 4 > 0)) for i in range(60)], "id int, t string, y int")
+    assert em.distinguishing_ngrams(df, "t", "y", k=5).count() == 10
+    assert fitted == [(60, 60)]
