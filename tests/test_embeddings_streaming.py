@@ -224,3 +224,5 @@ def test_weights_come_from_all_rows(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{'alpha beta' if i % 4 else 'gamma delta'} {i}", int(i % 4 > 0)) for i in range(60)], "id int, t string, y int")
     assert em.distinguishing_ngrams(df, "t", "y", k=5).count() == 10
     assert fitted == [(60, 60)]
+    assert em.domain_classifier(df, "t", "y", folds=2).count() == 2
+    assert sum(n for n, _ in fitted[1:]) == 60  # with two folds, every row is fitted on once
