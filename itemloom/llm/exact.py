@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.store import shielded, stored, without
+from itemloom.llm.store import passing, shielded, stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -153,10 +153,11 @@ def first_of_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``docs`` with one row of every group of equal texts; same columns."""
     inner, place, back = shielded(docs)
     own, text = place[id_column], F.coalesce(F.col(place[text_column]), F.lit(""))
-    verdict = exact_duplicates(inner, own, place[text_column], **options).filter("NOT kept").select(
-        F.col(own).alias("v_id"), F.col("text_key").alias("v_key"), F.col(own).eqNullSafe(F.col("keep_id")).alias("tie")
-    )
-    gone = stored(verdict, "copies")
+    with passing(docs.sparkSession):
+        verdict = exact_duplicates(inner, own, place[text_column], **options).filter("NOT kept").select(
+            F.col(own).alias("v_id"), F.col("text_key").alias("v_key"), F.col(own).eqNullSafe(F.col("keep_id")).alias("tie")
+        )
+        gone = stored(verdict, "copies", outlives=True)
     keyed = inner.withColumn("doc_key", options.get("key", text_key)(options.get("normalise", ascii_lower)(text)))
     same = F.col(own).eqNullSafe(F.col("v_id")) & (F.col("doc_key") == F.col("v_key"))
     others = without(keyed, gone.filter("NOT tie"), same)

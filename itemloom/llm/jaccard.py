@@ -27,6 +27,7 @@ such rows alone is null; repeated rows are one node; an empty table gives no row
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.graph import components, extended
-from itemloom.llm.store import light, shielded, stored, without
+from itemloom.llm.store import discarded, light, passing, shielded, stored, without
 from itemloom.llm.words import WordHasher, mix, runs
 
 #: Bits of an n-gram hash. Two sets of 1,000 hold a false match with a chance of 4e-9.
@@ -49,6 +50,8 @@ SPARE = 2
 FIRST_FEW = 8
 #: The same for later rounds, where only differences move.
 FEW = 32
+#: Pairs of the first round that are compared at once, or half as many as there are sets if that is more.
+AT_ONCE = 50_000
 #: Sets that a task remembers, so that copies it meets again send no words.
 RECENT = 200_000
 
@@ -166,14 +169,14 @@ def node_sets(docs: DataFrame, id_column: str, text_column: str, n: int) -> Data
     return _binary(docs, id_column, text_column, []).mapInArrow(work, "node long, grams array<long>")
 
 
-def first_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def first_pairs(pairs: DataFrame, sets: DataFrame, among: Column, percent: int) -> DataFrame:
     """(leader, node, star, a, b, linked, diff): exact verdict, sizes, and for a star what differs, elements that the leader lacks first.
 
-    ``sets`` are partitioned by node for both joins alike, so they are made and shuffled once.
+    ``sets`` (node, grams, leads) tell which nodes are leaders; ``among`` holds for every ``node`` of the pairs.
     """
     return (
-        pairs.join(sets.select(F.col("node").alias("leader"), F.col("grams").alias("x")).hint("merge"), "leader")
-        .join(sets.select("node", F.col("grams").alias("y")).hint("merge"), "node")
+        pairs.join(sets.filter("leads").select(F.col("node").alias("leader"), F.col("grams").alias("x")).hint("merge"), "leader")
+        .join(sets.filter(among).select("node", F.col("grams").alias("y")).hint("merge"), "node")
         .select(
             "leader", "node", "star", F.size("x").alias("a"), F.size("y").alias("b"), F.size(F.array_intersect("x", "y")).alias("common"),
             F.when(F.col("star") == 1, F.concat(F.array_except("y", "x"), F.array_except("x", "y"))).alias("diff"),
@@ -182,6 +185,18 @@ def first_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def compared_in_turn(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """:func:`first_pairs` of stored pairs and sets, some pairs after the others.
+
+    The leader's set moves once for every pair, and a set has the more partners the more texts there are. So the nodes
+    are dealt out by hash, and what moves at once is a fixed share of the sets themselves.
+    """
+    turns = max(1, math.ceil(pairs.count() / max(AT_ONCE, sets.count() // 2)))
+    turn = F.pmod(F.xxhash64("node"), F.lit(turns))
+    found = [stored(first_pairs(pairs.filter(turn == i), sets, turn == i, percent), "compared") for i in range(turns)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def later_pairs(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
     """(center, leader, node, star, a, b, linked, diff) of (center, leader, node, star) from both differences to the centre.
 
@@ -317,28 +332,34 @@ def near_duplicates(
 
     ``component`` names the component by its smallest node and is null for an empty set.
     """
-    rows = stored(sketched(docs, id_column, text_column, n, percent), "sketches")
+    sketches = stored(sketched(docs, id_column, text_column, n, percent), "sketches")
+    rows = stored(sketches.drop("keys"), "rows")
     # copies are one node from here on, and one of its rows stands for it
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_key")).alias("row"))
     nodes = stored(nodes, "nodes")
     # the same plan at every size: words are counted inside the tasks, then meet the shared ones by a shuffle
-    keyed = rows.select("node", F.explode("keys").alias("key"))
+    keyed = sketches.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("n1"), F.max("node").alias("n2")).filter("n1 <> n2")
     shared = stored(shared.select(F.col("key").alias("k")), "shared")
     members = keyed.join(shared.hint("merge"), F.col("key") == F.col("k")).select("key", "node").distinct()
     members = stored(members, "shared-nodes")
+    discarded(docs.sparkSession, sketches.stored_at)  # all words; most belong to one set only
     # the node whose words are shared most is the middle of its group: the others differ from it by their own edits only
     groups = groups_of(members)
     weight = members.join(groups, F.col("key") == F.col("k")).groupBy("node").agg(F.sum("size").alias("weight"))
     weight = stored(weight, "weights")
     pairs = stored(led(once(members, groups), weight, FIRST_FEW), "pairs")
     # one row of every node that takes part; only these texts are read again
-    taking = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
+    leaders = pairs.select(F.col("leader").alias("node")).distinct()
+    taking = pairs.select("node").unionByName(leaders).distinct()
     chosen = nodes.join(taking, "node", "left_semi").select(F.col("row.id").alias("r_id"), F.col("row.text_key").alias("r_key"))
     same = F.col(id_column).eqNullSafe(F.col("r_id")) & (F.xxhash64(text_column) == F.col("r_key"))
     texts = docs.select(id_column, text_column).join(light(stored(chosen, "chosen")), same, "left_semi")
     sets = node_sets(texts, id_column, text_column, n).dropDuplicates(["node"])
-    found = stored(first_pairs(pairs, sets, percent), "compared")
+    leads = leaders.select(F.col("node").alias("l_node")).hint("merge")
+    sets = stored(sets.join(leads, F.col("node") == F.col("l_node"), "left").select("node", "grams", F.col("l_node").isNotNull().alias("leads")), "sets")
+    found = compared_in_turn(pairs, sets, percent)
+    discarded(docs.sparkSession, sets.stored_at)
     diffs = found.filter("star = 1").select(F.col("leader").alias("center"), "node", "b", "diff")
     labels = stored(components(_links(found)), "labels")
     keys = followed(found, percent, "leader")
@@ -371,13 +392,15 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     inner, place, back = shielded(docs)
     own, text = place[id_column], place[text_column]
-    found = near_duplicates(inner, own, text, n, percent).filter("component IS NOT NULL").select(
-        "component", F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), "text_key").alias("row")
-    )
-    found = stored(found, "members")
-    groups = found.groupBy("component").agg(F.min("row").alias("top"), F.count("*").alias("size")).filter("size > 1")
-    groups = stored(groups.select(F.col("component").alias("c"), "top"), "tops")
-    gone = found.join(groups, F.col("component") == F.col("c")).filter(~F.col("row").eqNullSafe(F.col("top"))).select(
-        F.col("row.id").alias("v_id"), F.col("row.text_key").alias("v_key")
-    )
-    return back(without(inner, stored(gone, "near-copies"), F.col(own).eqNullSafe(F.col("v_id")) & (F.xxhash64(text) == F.col("v_key"))))
+    with passing(docs.sparkSession):
+        found = near_duplicates(inner, own, text, n, percent).filter("component IS NOT NULL").select(
+            "component", F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), "text_key").alias("row")
+        )
+        found = stored(found, "members")
+        groups = found.groupBy("component").agg(F.min("row").alias("top"), F.count("*").alias("size")).filter("size > 1")
+        groups = stored(groups.select(F.col("component").alias("c"), "top"), "tops")
+        gone = found.join(groups, F.col("component") == F.col("c")).filter(~F.col("row").eqNullSafe(F.col("top"))).select(
+            F.col("row.id").alias("v_id"), F.col("row.text_key").alias("v_key")
+        )
+        gone = stored(gone, "near-copies", outlives=True)
+    return back(without(inner, gone, F.col(own).eqNullSafe(F.col("v_id")) & (F.xxhash64(text) == F.col("v_key"))))

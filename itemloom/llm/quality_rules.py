@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from itemloom.llm.store import shielded, stored
+from itemloom.llm.store import passing, shielded, stored
 from itemloom.llm.words import WordHasher, runs
 
 SYMBOLS = b"#*$%&|<>"
@@ -177,12 +177,13 @@ def apply_rules(
     """
     inner, place, back = shielded(docs)
     own, text, host = place[id_column], place[text_column], place[host_column]
-    found = line_rules(inner, own, text, host, **options).filter("NOT kept OR size(removed_lines) > 0").select(
-        F.col(own).alias("r_id"), F.col("text_key").alias("r_key"), F.col("rule_host").alias("r_host"), F.col("kept").alias("r_kept"),
-        F.col("removed_lines").alias("r_lines"),
-    )
-    # rows that agree in id, text and host have one verdict
-    found = stored(found.dropDuplicates(["r_id", "r_key", "r_host"]), "verdicts")
+    with passing(docs.sparkSession):
+        found = line_rules(inner, own, text, host, **options).filter("NOT kept OR size(removed_lines) > 0").select(
+            F.col(own).alias("r_id"), F.col("text_key").alias("r_key"), F.col("rule_host").alias("r_host"), F.col("kept").alias("r_kept"),
+            F.col("removed_lines").alias("r_lines"),
+        )
+        # rows that agree in id, text and host have one verdict
+        found = stored(found.dropDuplicates(["r_id", "r_key", "r_host"]), "verdicts", outlives=True)
     same = (
         F.col(own).eqNullSafe(F.col("r_id")) & (F.xxhash64(text) == F.col("r_key")) & F.col(host).cast("string").eqNullSafe(F.col("r_host"))
     )

@@ -1,10 +1,16 @@
+import os
 import random
 import re
+import subprocess
+import tempfile
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from itemloom.llm import jaccard, passages
+from itemloom.llm import exact, jaccard, passages, quality_rules
 from itemloom.llm.graph import components, extended
+from itemloom.llm.store import SHUFFLE_CLEANUP, stored
+from itemloom.session import ensure_checkpoint_dir
 
 
 def grams(text, n):
@@ -228,3 +234,35 @@ def test_split_windows_are_the_minima_of_wide_ranges_among_new_positions():
             if c not in at:
                 todo.append((max([a, *(m + 1 for m in at if m < c)]), min([b, *(m - 1 for m in at if m > c)])))
         assert got == sorted(want)
+
+
+def test_stages_leave_only_the_tables_that_their_results_read(spark):
+    """Words, sets and pairs are deleted on the way, and the rows that a stage returns can be read twice afterwards."""
+    folder = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/itemloom"
+    docs = spark.createDataFrame(clusters(3, groups=2, size=20), "doc_id long, text string").withColumn("source", F.lit("a"))
+    for stage, kept in ((quality_rules.apply_rules, "verdicts"), (exact.first_of_copies, "copies"), (jaccard.one_of_each, "near-copies")):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        out = stage(docs)
+        assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if not x.startswith(".")] == [kept]
+        assert out.count() == len(out.collect()) > 0
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    def files():
+        top = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+        own = [os.path.join(top, d) for d in os.listdir(top) if d.startswith("blockmgr-")]
+        return set(subprocess.run(["find", *own, "-name", "shuffle_*.data"], capture_output=True, text=True).stdout.split())
+
+    setting, before = spark.conf.get(SHUFFLE_CLEANUP, None), files()
+    rows = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    assert sorted(r["count"] for r in rows.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert files() <= before and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_pairs_compared_in_turn_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "AT_ONCE", 5)
+    sizes, first = [], jaccard.first_pairs
+    monkeypatch.setattr(jaccard, "first_pairs", lambda pairs, sets, *a: sizes.append((pairs.count(), sets.count())) or first(pairs, sets, *a))
+    rows = clusters(3, groups=2, size=20)
+    assert sorted(got_components(spark, rows, 3, 80)) == sorted(brute_components(rows, 3, 80))
+    assert len(sizes) > 1 and all(n < m for n, m in sizes)
