@@ -266,3 +266,16 @@ def test_pairs_compared_in_turn_match_all_pairs(spark, monkeypatch):
     rows = clusters(3, groups=2, size=20)
     assert sorted(got_components(spark, rows, 3, 80)) == sorted(brute_components(rows, 3, 80))
     assert len(sizes) > 1 and all(n < m for n, m in sizes)
+
+
+def test_windows_of_a_text_that_repeats_itself_are_one_for_each_centre(spark):
+    """Nothing goes on for one text alone, and windows with the same key and centre do not multiply from round to round."""
+    rows = [(1, 7, 0, 5, 0, 9, True), (1, 7, 0, 6, 2, 9, True), (1, 8, 0, 5, 3, 9, True), (1, 8, 0, 5, 2, 7, False), (2, 8, 0, 3, 0, 9, False)]
+    opened = spark.createDataFrame(rows, "node long, key long, h int, c int, l int, r int, failed boolean")
+    got = passages._shared(opened).select("node", "key", "h", "c", "l", "r", "failed").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 8, 0, 5, 2, 9, True), (2, 8, 0, 3, 0, 9, False)]
+    x, y = np.arange(100, 160, dtype=np.uint32), np.tile(np.arange(7, dtype=np.uint32), 60)
+    parents = [{"key": 9, "h": 0, "lc": 0, "ll": 0, "lr": 50, "c": c, "l": c, "r": len(y) - 5, "el": -1, "er": -1, "go": 2} for c in range(0, 350, 7)]
+    found = passages._next_windows(x, y, parents, parents, 46)
+    assert len(found) == len({(w["key"], w["h"], w["c"]) for w in found}) <= passages.SPLITS * len(y)
+    assert all(w["l"] <= w["c"] <= w["r"] < len(y) for w in found)
